@@ -140,3 +140,130 @@ SELECT p_partkey, {numeric_text_sql('size_txt')} AS size_txt, brand_txt FROM dir
 """
 
 _ = tokens_sql  # used by feature queries
+
+# ----------------------------------------------------------------------------------------
+# features
+# ----------------------------------------------------------------------------------------
+
+from tableprep.plans.sqltext import terms_sql  # noqa: E402
+
+
+def _text_feats(c: str) -> str:
+    t = tokens_sql(c)
+    return (f"CAST(length({c}) AS BIGINT) AS {c}_len, CAST(len({t}) AS BIGINT) AS {c}_word_count, "
+            f"CAST(len(list_distinct({t})) AS BIGINT) AS {c}_unique_words, "
+            f"{r6(f'length(regexp_replace({c}, {chr(39)}[^\\p{{Lu}}]{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})) / (length({c}) + 1)')} "
+            f"AS {c}_uppercase_ratio")
+
+
+def _date_parts(c: str) -> str:
+    return (f"CAST(year({c}) AS BIGINT) AS {c}_year, CAST(month({c}) AS BIGINT) AS {c}_month, "
+            f"CAST(day({c}) AS BIGINT) AS {c}_day, CAST(isodow({c}) - 1 AS BIGINT) AS {c}_weekday")
+
+
+ORACLE["text_features"] = f"SELECT doc_id, {_text_feats('text')} FROM documents"
+ORACLE["datetime_features"] = f"SELECT o_orderkey, {_date_parts('o_orderdate')} FROM orders"
+ORACLE["datetime_features_events"] = f"SELECT event_id, {_date_parts('ts')} FROM events"
+
+
+def _freq_cte(table: str, c: str) -> str:
+    return (f"f_{c} AS (SELECT {c} AS v, count(*) / (SELECT count({c}) FROM {table}) AS freq "
+            f"FROM {table} WHERE {c} IS NOT NULL GROUP BY {c})")
+
+
+ORACLE["frequency_encode"] = f"""
+WITH {_freq_cte('orders', 'o_orderpriority')}, {_freq_cte('orders', 'o_orderstatus')}
+SELECT o_orderkey, {r6('coalesce(a.freq, 0.0)')} AS o_orderpriority_freq, {r6('coalesce(b.freq, 0.0)')} AS o_orderstatus_freq
+FROM orders LEFT JOIN f_o_orderpriority a ON o_orderpriority = a.v LEFT JOIN f_o_orderstatus b ON o_orderstatus = b.v
+"""
+
+ORACLE["frequency_encode_join"] = f"""
+WITH {_freq_cte('lineitem', 'l_partkey')}
+SELECT l_orderkey, l_linenumber, l_partkey, {r6('coalesce(a.freq, 0.0)')} AS l_partkey_freq
+FROM lineitem LEFT JOIN f_l_partkey a ON l_partkey = a.v
+"""
+
+_PAIRS = [(a, b) for i, a in enumerate(_LN) for b in _LN[i + 1:]]
+ORACLE["interactions"] = ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+                          + ", ".join(f"{r6(f'{a} * {b}')} AS {a}_x_{b}" for a, b in _PAIRS) + " FROM lineitem")
+
+ORACLE["interactions_array"] = "\nUNION ALL\n".join(
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST({k} AS BIGINT) AS pair, "
+    f"{r6(f'{a} * {b}')} AS product FROM lineitem" for k, (a, b) in enumerate(_PAIRS))
+
+_P3 = ["l_quantity", "l_discount", "l_tax"]
+ORACLE["polynomial2"] = ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(
+    f"{r6(f'{a} * {b}')} AS {a + '_pow2' if a == b else a + '_x_' + b}"
+    for i, a in enumerate(_P3) for b in _P3[i:]) + " FROM lineitem")
+
+ORACLE["feature_engineer"] = f"""
+WITH {_freq_cte('orders', 'o_orderstatus')}, {_freq_cte('orders', 'o_orderpriority')}
+SELECT o_orderkey, o_custkey, {r6('o_totalprice')} AS o_totalprice,
+       {r6('o_custkey * o_totalprice')} AS o_custkey_x_o_totalprice,
+       {_date_parts('o_orderdate')}, {_text_feats('o_orderstatus')}, {_text_feats('o_orderpriority')},
+       {r6('coalesce(a.freq, 0.0)')} AS o_orderstatus_freq, {r6('coalesce(b.freq, 0.0)')} AS o_orderpriority_freq
+FROM orders LEFT JOIN f_o_orderstatus a ON o_orderstatus = a.v LEFT JOIN f_o_orderpriority b ON o_orderpriority = b.v
+"""
+
+# ----------------------------------------------------------------------------------------
+# encoding
+# ----------------------------------------------------------------------------------------
+
+ORACLE["onehot_long"] = """
+WITH s AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS i FROM orders),
+p AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS i FROM orders),
+ns AS (SELECT count(DISTINCT o_orderstatus) AS k FROM orders)
+SELECT o_orderkey, CAST(i AS BIGINT) AS slot, 1.0 AS value FROM s
+UNION ALL
+SELECT o_orderkey, CAST(i + (SELECT k FROM ns) AS BIGINT) AS slot, 1.0 AS value FROM p
+"""
+
+ORACLE["ordinal_encode"] = """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS BIGINT) AS o_orderstatus_ord,
+       CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS o_orderpriority_ord FROM orders
+"""
+
+ORACLE["target_encode"] = f"""
+WITH a AS (SELECT o_orderstatus AS v, avg(o_totalprice) AS m FROM orders GROUP BY 1),
+b AS (SELECT o_orderpriority AS v, avg(o_totalprice) AS m FROM orders GROUP BY 1)
+SELECT o_orderkey, {r6('coalesce(a.m, 0.0)')} AS o_orderstatus_te, {r6('coalesce(b.m, 0.0)')} AS o_orderpriority_te
+FROM orders LEFT JOIN a ON o_orderstatus = a.v LEFT JOIN b ON o_orderpriority = b.v
+"""
+
+_FOLD = "CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 5"
+ORACLE["target_encode_oof"] = f"""
+WITH o AS (SELECT *, {_FOLD} AS fold FROM orders),
+a AS (SELECT x.o_orderkey, (SELECT avg(y.o_totalprice) FROM o y WHERE y.o_orderstatus = x.o_orderstatus
+                            AND y.fold <> x.fold) AS ms,
+             (SELECT avg(y.o_totalprice) FROM o y WHERE y.o_orderpriority = x.o_orderpriority
+                            AND y.fold <> x.fold) AS mp FROM o x)
+SELECT o_orderkey, {r6('coalesce(ms, 0.0)')} AS o_orderstatus_te, {r6('coalesce(mp, 0.0)')} AS o_orderpriority_te FROM a
+"""
+
+_CLEAN_DOCS = f"cd AS (SELECT doc_id, {clean_text_sql('text')} AS text FROM documents)"
+
+
+def _tfidf_sql(k: int, ngrams: int, sublinear: bool) -> str:
+    tfw = "(1 + ln(tf))" if sublinear else "tf"
+    return f"""
+WITH {_CLEAN_DOCS},
+tm AS (SELECT doc_id, {terms_sql('text', ngrams)} AS terms FROM cd),
+occ AS (SELECT doc_id, unnest(terms) AS term FROM tm),
+st AS (SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_freq FROM occ GROUP BY term),
+vocab AS (SELECT * FROM st ORDER BY term_count DESC, term LIMIT {k}),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM occ GROUP BY doc_id, term),
+n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT doc_id, tf.term, {tfw} * (ln((1.0 + n) / (1.0 + doc_freq)) + 1) AS w FROM tf JOIN vocab USING (term), n)
+SELECT doc_id, term, {r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM w
+"""
+
+
+ORACLE["tfidf_top_terms"] = f"""
+WITH {_CLEAN_DOCS},
+tm AS (SELECT doc_id, {terms_sql('text', 2)} AS terms FROM cd),
+occ AS (SELECT doc_id, unnest(terms) AS term FROM tm)
+SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_freq FROM occ GROUP BY term
+ORDER BY term_count DESC, term LIMIT 1000
+"""
+ORACLE["tfidf_weights"] = _tfidf_sql(5000, 2, False)
+ORACLE["tfidf_sublinear"] = _tfidf_sql(50000, 1, True)

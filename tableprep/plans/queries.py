@@ -205,3 +205,163 @@ def q_numeric_convert(spark, sf):
     df = view(spark, sf, "dirty_part")
     out, converted = C.infer_numeric(df, ["size_txt", "brand_txt"])
     return out.select("p_partkey", "size_txt", "brand_txt")
+
+
+# ----------------------------------------------------------------------------------------
+# features
+# ----------------------------------------------------------------------------------------
+
+from tableprep.functions.datetime import datetime_parts  # noqa: E402
+from tableprep.operators import encode as E  # noqa: E402
+from tableprep.operators import features as FE  # noqa: E402
+
+
+@query
+def q_text_features(spark, sf):
+    df = read_table(spark, sf, "documents")
+    cols = FE.text_feature_columns("text")
+    return df.select("doc_id", *cols[:3], r6(cols[3]).alias("text_uppercase_ratio"))
+
+
+@query
+def q_datetime_features(spark, sf):
+    return read_table(spark, sf, "orders").select("o_orderkey", *datetime_parts("o_orderdate"))
+
+
+@query
+def q_datetime_features_events(spark, sf):
+    return read_table(spark, sf, "events").select("event_id", *datetime_parts("ts"))
+
+
+@query
+def q_frequency_encode(spark, sf):
+    df = read_table(spark, sf, "orders")
+    cols = ["o_orderpriority", "o_orderstatus"]
+    maps = FE.frequency_maps(df, cols)
+    out = df
+    for i, c in enumerate(cols):
+        m = maps.where(F.col("ci") == i).select("value", "freq")
+        out = FE.apply_lookup(out, c, m, f"{c}_freq", m.count())
+    return out.select("o_orderkey", *[r6(F.col(f"{c}_freq")).alias(f"{c}_freq") for c in cols])
+
+
+@query
+def q_frequency_encode_join(spark, sf):
+    """Frequency of each line's part among all lines, through the broadcast-join path."""
+    df = read_table(spark, sf, "lineitem")
+    maps = FE.frequency_maps(df, ["l_partkey"]).select("value", "freq")
+    n = maps.count()
+    out = FE.apply_lookup(df, "l_partkey", maps, "l_partkey_freq", max(n, FE.LITERAL_MAP_ENTRIES + 1))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", r6(F.col("l_partkey_freq")).alias("l_partkey_freq"))
+
+
+@query
+def q_interactions(spark, sf):
+    df = read_table(spark, sf, "lineitem")
+    cols = FE.interaction_columns(LINE_NUMERIC)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     *[r6(c).alias(n) for c, n in zip(cols, [f"{a}_x_{b}" for i, a in enumerate(LINE_NUMERIC)
+                                                              for b in LINE_NUMERIC[i + 1:]])])
+
+
+@query
+def q_interactions_array(spark, sf):
+    """Pair products of a wide input held as one array column, exploded to long form."""
+    df = read_table(spark, sf, "lineitem").withColumn("arr", F.array(*[F.col(c) for c in LINE_NUMERIC]))
+    out = df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.posexplode(FE.interaction_array("arr", len(LINE_NUMERIC))).alias("pair", "product"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("pair").cast("bigint"),
+                      r6(F.col("product")).alias("product"))
+
+
+@query
+def q_polynomial2(spark, sf):
+    df = read_table(spark, sf, "lineitem")
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    poly = FE.polynomial_columns(cols, 2)
+    names = [df.select(c).columns[0] for c in poly]
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     *[r6(c).alias(n) for c, n in zip(poly, names)])
+
+
+@query
+def q_feature_engineer(spark, sf):
+    df = read_table(spark, sf, "orders")
+    model = FE.FeatureEngineer(FE.FeatureEngineeringConfig(passthrough=("o_orderkey",))).fit(df)
+    out = model.transform(df)
+    return out.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+# ----------------------------------------------------------------------------------------
+# encoding
+# ----------------------------------------------------------------------------------------
+
+ORDER_CATS = ["o_orderstatus", "o_orderpriority"]
+
+
+@query
+def q_onehot_long(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    df = read_table(spark, sf, "orders")
+    idx, ohe = E.onehot_stages(ORDER_CATS)
+    asm = VectorAssembler(inputCols=[f"{c}_oh" for c in ORDER_CATS], outputCol="v")
+    out = Pipeline(stages=[idx, ohe, asm]).fit(df).transform(df)
+    arr = out.select("o_orderkey", F.posexplode(vector_to_array("v")).alias("slot", "value"))
+    return arr.where(F.col("value") != 0).select("o_orderkey", F.col("slot").cast("bigint"), "value")
+
+
+@query
+def q_ordinal_encode(spark, sf):
+    df = read_table(spark, sf, "orders")
+    out = E.ordinal_indexer(ORDER_CATS).fit(df).transform(df)
+    return out.select("o_orderkey", *[F.col(f"{c}_ord").cast("bigint").alias(f"{c}_ord") for c in ORDER_CATS])
+
+
+@query
+def q_target_encode(spark, sf):
+    df = read_table(spark, sf, "orders")
+    out = E.TargetEncoder(ORDER_CATS, "o_totalprice").fit(df).transform(df)
+    return out.select("o_orderkey", *[r6(F.col(f"{c}_te")).alias(f"{c}_te") for c in ORDER_CATS])
+
+
+@query
+def q_target_encode_oof(spark, sf):
+    df = read_table(spark, sf, "orders")
+    model = E.TargetEncoder(ORDER_CATS, "o_totalprice", folds=5, id_col="o_orderkey").fit(df)
+    out = model.transform_oof(df)
+    return out.select("o_orderkey", *[r6(F.col(f"{c}_te")).alias(f"{c}_te") for c in ORDER_CATS])
+
+
+def _clean_docs(spark, sf):
+    return read_table(spark, sf, "documents").select("doc_id", clean_text("text").alias("text"))
+
+
+@query
+def q_tfidf_top_terms(spark, sf):
+    docs = _clean_docs(spark, sf).select(E.terms(F.col("text"), 2).alias("terms"))
+    return E.top_terms(docs, 1000)
+
+
+@query
+def q_tfidf_weights(spark, sf):
+    out = E.tfidf_long(_clean_docs(spark, sf), "doc_id", "text", E.TfidfConfig(5000, 2))
+    return out.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@query
+def q_tfidf_sublinear(spark, sf):
+    out = E.tfidf_long(_clean_docs(spark, sf), "doc_id", "text", E.TfidfConfig(50000, 1, sublinear_tf=True))
+    return out.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@query
+def q_hashing_tf(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    docs = _clean_docs(spark, sf).withColumn("tokens", E.terms(F.col("text"), 1))
+    tf, norm = E.hashing_stages("text", "tokens", "h", 5000)
+    out = norm.transform(tf.transform(docs))
+    a = vector_to_array("h")
+    return out.select("doc_id", F.size(F.filter(a, lambda x: x != 0)).cast("bigint").alias("nnz"),
+                      r6(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))).alias("l2"))

@@ -24,8 +24,16 @@ def numeric_text_sql(expr: str) -> str:
 
 def tokens_sql(expr: str) -> str:
     """Whitespace tokens without empty strings."""
-    return f"list_filter(string_split_regex({expr}, '\\s+'), x -> x <> '')"
+    return f"list_filter(string_split_regex({expr}, '\\s+'), lambda x: x <> '')"
 
 
 def r6(expr: str) -> str:
     return f"round({expr}, 6)"
+
+
+def terms_sql(expr: str, ngrams: int = 2) -> str:
+    """Word tokens (2+ word characters) and, for ngrams=2, adjacent pairs joined by a space."""
+    t = f"regexp_extract_all({expr}, '\\b\\w\\w+\\b')"
+    if ngrams < 2:
+        return t
+    return f"list_concat({t}, list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
