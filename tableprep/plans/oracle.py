@@ -145,7 +145,7 @@ _ = tokens_sql  # used by feature queries
 # features
 # ----------------------------------------------------------------------------------------
 
-from tableprep.plans.sqltext import terms_sql  # noqa: E402
+from tableprep.plans.sqltext import sig10, terms_sql  # noqa: E402
 
 
 def _text_feats(c: str) -> str:
@@ -267,3 +267,72 @@ ORDER BY term_count DESC, term LIMIT 1000
 """
 ORACLE["tfidf_weights"] = _tfidf_sql(5000, 2, False)
 ORACLE["tfidf_sublinear"] = _tfidf_sql(50000, 1, True)
+
+# ----------------------------------------------------------------------------------------
+# scaling and selection
+# ----------------------------------------------------------------------------------------
+
+_CC = ["o_totalprice", "k13", "k_const"]
+
+
+def _div(e: str) -> str:
+    return f"CASE WHEN ({e}) = 0 OR ({e}) IS NULL THEN 1.0 ELSE ({e}) END"
+
+
+ORACLE["scale_standard"] = (f"WITH {v('const_features')}, s AS (SELECT " + ", ".join(
+    f"stddev_pop({c}) AS s_{c}" for c in _CC) + " FROM const_features)\nSELECT o_orderkey, " + ", ".join(
+    f"{r6(f'{c} / {_div(f's_{c}')}')} AS {c}" for c in _CC) + " FROM const_features, s")
+
+ORACLE["scale_minmax"] = (f"WITH {v('const_features')}, s AS (SELECT " + ", ".join(
+    f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in _CC) + " FROM const_features)\nSELECT o_orderkey, " + ", ".join(
+    f"{r6(f'({c} - a_{c}) / {_div(f'b_{c} - a_{c}')}')} AS {c}" for c in _CC) + " FROM const_features, s")
+
+ORACLE["scale_robust"] = (f"WITH {v('const_features')}, s AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) AS b_{c}"
+    for c in _CC) + " FROM const_features)\nSELECT o_orderkey, " + ", ".join(
+    f"{r6(f'({c} - m_{c}) / {_div(f'b_{c} - a_{c}')}')} AS {c}" for c in _CC) + " FROM const_features, s")
+
+ORACLE["select_variance"] = f"WITH {v('const_features')}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, {sig10(f'var_pop({c})')} AS statistic, var_pop({c}) > 0.01 AS kept FROM const_features"
+    for c in _CC)
+
+_LF = ("lf AS (SELECT *, l_extendedprice * (1 - l_discount) AS net_price, 1.0 AS const_one FROM lineitem)")
+_CN = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net_price", "const_one"]
+
+
+def _corr(a: str, b: str) -> str:
+    return f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
+
+
+ORACLE["select_correlation"] = (
+    f"WITH {_LF}, pairs AS (" + "\nUNION ALL\n".join(
+        f"SELECT '{b}' AS feature, {j} AS j, abs({_corr(a, b)}) AS r FROM lf"
+        for j, b in enumerate(_CN) for a in _CN[:j]) + "),\n"
+    "feats AS (" + " UNION ALL ".join(f"SELECT '{b}' AS feature" for b in _CN) + "),\n"
+    "m AS (SELECT feature, max(r) AS mr FROM pairs GROUP BY feature)\n"
+    f"SELECT feats.feature, {sig10('mr')} AS statistic, (mr IS NULL OR mr <= 0.95) AS kept "
+    "FROM feats LEFT JOIN m USING (feature)")
+
+_OF = ("f AS (SELECT o_orderstatus AS y, o_totalprice AS x0, CAST(o_custkey AS DOUBLE) AS x1, "
+       "CAST(o_orderkey % 13 AS DOUBLE) AS x2, 7.0 AS x3 FROM orders)")
+_ON = ["o_totalprice", "o_custkey", "k13", "k_const"]
+ORACLE["select_kbest_anova"] = (
+    f"WITH {_OF},\ng AS (SELECT y, count(*) AS n, " + ", ".join(
+        f"sum(x{i}) AS s{i}, sum(x{i} * x{i}) AS q{i}" for i in range(4)) + " FROM f GROUP BY y),\n"
+    "t AS (SELECT sum(n) AS n, count(*) AS k, " + ", ".join(
+        f"sum(s{i}) AS s{i}, sum(q{i}) AS q{i}, sum(s{i} * s{i} / n) AS b{i}" for i in range(4)) + " FROM g),\n"
+    "fs AS (" + "\nUNION ALL\n".join(
+        f"SELECT '{nm}' AS feature, {i} AS idx, CASE WHEN (b{i} - s{i} * s{i} / n) = 0 AND (q{i} - b{i}) = 0 THEN NULL "
+        f"ELSE ((b{i} - s{i} * s{i} / n) / (k - 1)) / ((q{i} - b{i}) / (n - k)) END AS fv FROM t"
+        for i, nm in enumerate(_ON)) + ")\n"
+    f"SELECT feature, {sig10('fv')} AS statistic, "
+    "row_number() OVER (ORDER BY fv IS NULL, fv DESC, idx) <= 2 AS kept FROM fs")
+
+_RN = ["l_quantity", "l_discount", "l_tax", "net_price"]
+ORACLE["select_kbest_regression"] = (
+    f"WITH {_LF},\nfs AS (" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, {i} AS idx, ({_corr(c, 'l_extendedprice')}) AS r, count(*) AS n FROM lf"
+        for i, c in enumerate(_RN)) + "),\n"
+    "ff AS (SELECT feature, idx, r * r / (1 - r * r) * (n - 2) AS fv FROM fs)\n"
+    f"SELECT feature, {sig10('fv')} AS statistic, "
+    "row_number() OVER (ORDER BY fv IS NULL, fv DESC, idx) <= 2 AS kept FROM ff")

@@ -365,3 +365,87 @@ def q_hashing_tf(spark, sf):
     a = vector_to_array("h")
     return out.select("doc_id", F.size(F.filter(a, lambda x: x != 0)).cast("bigint").alias("nnz"),
                       r6(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))).alias("l2"))
+
+
+# ----------------------------------------------------------------------------------------
+# scaling and selection
+# ----------------------------------------------------------------------------------------
+
+from tableprep.operators import scale as S  # noqa: E402
+from tableprep.operators import select as SEL  # noqa: E402
+
+CONST_COLS = ["o_totalprice", "k13", "k_const"]
+
+
+def _scaled(spark, sf, method):
+    df = view(spark, sf, "const_features")
+    out = S.scale_columns(df, CONST_COLS, S.ScalingConfig(method=method))
+    return out.select("o_orderkey", *[r6(F.col(c)).alias(c) for c in CONST_COLS])
+
+
+@query
+def q_scale_standard(spark, sf):
+    return _scaled(spark, sf, "standard")
+
+
+@query
+def q_scale_minmax(spark, sf):
+    return _scaled(spark, sf, "minmax")
+
+
+@query
+def q_scale_robust(spark, sf):
+    return _scaled(spark, sf, "robust")
+
+
+def _selection(spark, df, names, label, cfg):
+    vec = S.assemble(df, names)
+    sel = SEL.FeatureSelector("features", "selected", label, cfg)
+    scores, keep = sel.statistics(vec)
+    return SEL.selection_report(spark, names, scores, keep)
+
+
+def _line_features(spark, sf):
+    return read_table(spark, sf, "lineitem").withColumn(
+        "net_price", F.col("l_extendedprice") * (1 - F.col("l_discount"))).withColumn("const_one", F.lit(1.0))
+
+
+def _order_features(spark, sf):
+    return read_table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"),
+        (F.col("o_orderkey") % 13).cast("double").alias("k13"), F.lit(7.0).alias("k_const"))
+
+
+ORDER_FEATURES = ["o_totalprice", "o_custkey", "k13", "k_const"]
+
+
+@query
+def q_select_variance(spark, sf):
+    return _selection(spark, view(spark, sf, "const_features"), CONST_COLS, None,
+                      SEL.FeatureSelectionConfig(method="variance"))
+
+
+@query
+def q_select_correlation(spark, sf):
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "net_price", "const_one"]
+    return _selection(spark, _line_features(spark, sf), names, None,
+                      SEL.FeatureSelectionConfig(method="correlation"))
+
+
+@query
+def q_select_kbest_anova(spark, sf):
+    return _selection(spark, _order_features(spark, sf), ORDER_FEATURES, "o_orderstatus",
+                      SEL.FeatureSelectionConfig(method="kbest", k=2, task="classification"))
+
+
+@query
+def q_select_kbest_regression(spark, sf):
+    names = ["l_quantity", "l_discount", "l_tax", "net_price"]
+    return _selection(spark, _line_features(spark, sf), names, "l_extendedprice",
+                      SEL.FeatureSelectionConfig(method="kbest", k=2, task="regression"))
+
+
+@query
+def q_select_model(spark, sf):
+    return _selection(spark, _order_features(spark, sf), ORDER_FEATURES, "o_orderstatus",
+                      SEL.FeatureSelectionConfig(method="model", task="classification"))

@@ -37,3 +37,9 @@ def terms_sql(expr: str, ngrams: int = 2) -> str:
     if ngrams < 2:
         return t
     return f"list_concat({t}, list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
+
+
+def sig10(expr: str) -> str:
+    """Round to 10 significant digits (same arithmetic as the Spark side)."""
+    p = f"pow(10.0, floor(log10(abs({expr}))))"
+    return f"CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {p}, 9) * {p} END"
