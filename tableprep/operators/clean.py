@@ -255,6 +255,14 @@ class DataCleanerModel(Model):
         self.features = features
         self.row_id = row_id
         self.report = report
+        self.apply_dedup = config.drop_duplicates
+
+    def without_dedup(self) -> "DataCleanerModel":
+        """Same cleaning without the row-dropping step (for scoring new rows)."""
+        m = DataCleanerModel(self.config, self.names, self.dropped, self.converted, self.fills, self.bounds,
+                             self.text_cols, self.features, self.row_id, self.report)
+        m.apply_dedup = False
+        return m
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cfg = self.config
@@ -274,7 +282,7 @@ class DataCleanerModel(Model):
                 e = clean_text(e, **cfg.text_options())
             exprs[c] = e
         out = out.select(*[exprs[c].alias(c) for c in out.columns])
-        if cfg.drop_duplicates:
+        if self.apply_dedup:
             if self.row_id:
                 out = dedup_keep_first(out, self.features, self.row_id)
             else:

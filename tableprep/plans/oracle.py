@@ -336,3 +336,87 @@ ORACLE["select_kbest_regression"] = (
     "ff AS (SELECT feature, idx, r * r / (1 - r * r) * (n - 2) AS fv FROM fs)\n"
     f"SELECT feature, {sig10('fv')} AS statistic, "
     "row_number() OVER (ORDER BY fv IS NULL, fv DESC, idx) <= 2 AS kept FROM ff")
+
+# ----------------------------------------------------------------------------------------
+# models, metrics, run log
+# ----------------------------------------------------------------------------------------
+
+_B100 = "CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 100"
+ORACLE["hash_split"] = (f"SELECT o_orderkey, {_B100} AS bucket, "
+                        f"CASE WHEN {_B100} < 20 THEN 'test' ELSE 'train' END AS split FROM orders")
+
+_RULE = """CASE WHEN is_sparse THEN CASE WHEN task = 'classification' THEN 'LogisticRegression(sgd-log)' ELSE 'LinearRegression(sgd)' END
+  WHEN n_features > 500 THEN CASE WHEN task = 'classification' THEN 'LinearSVC(sgd-hinge)' ELSE 'LinearRegression(sgd)' END
+  WHEN n_samples < 1000 THEN CASE WHEN task = 'classification' THEN 'LogisticRegression' ELSE 'LinearRegression' END
+  WHEN n_samples < 10000 THEN CASE WHEN task = 'classification' THEN 'DecisionTreeClassifier(depth=10)' ELSE 'RandomForestRegressor(100)' END
+  ELSE CASE WHEN task = 'classification' THEN 'RandomForestClassifier(200)' ELSE 'RandomForestRegressor(200)' END END"""
+
+
+def _prof(name, table, label, d, sparse, is_string):
+    return (f"SELECT '{name}' AS dataset, count(*) AS n_samples, CAST({d} AS BIGINT) AS n_features, {sparse} AS is_sparse, "
+            f"CASE WHEN {is_string} OR count(DISTINCT {label}) < 20 THEN 'classification' ELSE 'regression' END AS task "
+            f"FROM {table}")
+
+
+ORACLE["model_rule"] = f"WITH {v('text_corpus')}, p AS (" + "\nUNION ALL\n".join([
+    _prof("orders_status", "orders", "o_orderstatus", 4, "false", "true"),
+    _prof("lineitem_price", "lineitem", "l_extendedprice", 3, "false", "false"),
+    _prof("text_quality", "text_corpus", "quality", 1000, "true", "false"),
+    _prof("customer_segment", "customer", "c_mktsegment", 2, "false", "true"),
+    _prof("embeddings_label", "embeddings", "label", 64, "false", "false"),
+    _prof("labels_toxic", "labels", "toxic", 1, "false", "false")]) + f")\nSELECT *, {_RULE} AS model_name FROM p"
+
+ORACLE["metric_accuracy_f1"] = f"""
+WITH {v('baseline_pred')},
+n AS (SELECT count(*) AS n FROM baseline_pred),
+cls AS (SELECT o_orderstatus AS c FROM baseline_pred UNION SELECT pred_status FROM baseline_pred),
+per AS (SELECT c,
+          (SELECT count(*) FROM baseline_pred WHERE o_orderstatus = c) AS support,
+          (SELECT count(*) FROM baseline_pred WHERE pred_status = c) AS predicted,
+          (SELECT count(*) FROM baseline_pred WHERE o_orderstatus = c AND pred_status = c) AS tp FROM cls)
+SELECT {r6('sum(tp) / (SELECT n FROM n)')} AS accuracy,
+       {r6('sum(CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END * support) / (SELECT n FROM n)')} AS f1_weighted
+FROM per
+"""
+
+ORACLE["metric_r2_rmse"] = f"""
+WITH {v('baseline_pred')}
+SELECT {r6('1 - sum((o_totalprice - pred_price) ^ 2) / sum((o_totalprice - m) ^ 2)')} AS r2,
+       {r6('sqrt(avg((o_totalprice - pred_price) ^ 2))')} AS rmse
+FROM baseline_pred, (SELECT avg(o_totalprice) AS m FROM baseline_pred)
+"""
+
+
+def _mode_cte(key: str, i: int) -> str:
+    return (f"m{i} AS (SELECT {key} AS k, label AS v FROM (SELECT {key}, label, row_number() OVER "
+            f"(PARTITION BY {key} ORDER BY count(*) DESC, label) AS rn FROM dup_events GROUP BY {key}, label) WHERE rn = 1)")
+
+
+ORACLE["weighted_vote"] = (f"WITH {v('dup_events')}, " + ", ".join(
+    _mode_cte(k, i) for i, k in enumerate(["event_type", "user_bucket", "value_bucket"])) + """
+SELECT row_id, label, round_even((1.0 * m0.v + 2.0 * m1.v + 1.0 * m2.v) / 4.0, 0) AS prediction
+FROM dup_events d JOIN m0 ON d.event_type = m0.k JOIN m1 ON d.user_bucket = m1.k JOIN m2 ON d.value_bucket = m2.k
+""")
+
+ORACLE["linear_fit"] = (f"SELECT {sig10('regr_slope(l_extendedprice, l_quantity)')} AS slope, "
+                        f"{sig10('regr_intercept(l_extendedprice, l_quantity)')} AS intercept, "
+                        f"{sig10('regr_r2(l_extendedprice, l_quantity)')} AS r2 FROM lineitem")
+
+_SCORE = """
+WITH {rl},
+s AS (SELECT *, coalesce(lag(val_score) OVER (PARTITION BY run_id ORDER BY stage_idx), 0.0) AS prev FROM run_log),
+r AS (SELECT run_id, stage_idx,
+        val_score + 0.2 * (val_score - prev) - 0.3 * greatest(0.0, train_score - val_score)
+        - tanh(seconds / 10.0) * 0.2 + 0.1 * (1.0 / (1.0 + ln(1 + n_features)))
+        - CASE WHEN model_name LIKE '%RandomForest%' OR model_name LIKE '%Boost%' OR model_name LIKE '%GBT%'
+               THEN 0.08 ELSE 0.0 END
+        - CASE WHEN n_features > 500 THEN 0.08 ELSE 0.0 END
+        + CASE WHEN abs(train_score - val_score) < 0.05 THEN 0.05 ELSE 0.0 END AS raw FROM s),
+sc AS (SELECT run_id, stage_idx, least(greatest(raw, 0.01), 0.99) AS score FROM r)
+"""
+ORACLE["stage_score"] = _SCORE.format(rl=v("run_log")) + f"SELECT run_id, stage_idx, {r6('score')} AS score FROM sc"
+ORACLE["run_leaderboard"] = _SCORE.format(rl=v("run_log")) + f"""
+SELECT run_id, count(*) AS n_stages, {r6('least(greatest(avg(score), 0.0), 1.0)')} AS mean_score,
+       least(greatest(avg(score), 0.0), 1.0) >= 0.5 AS success, {r6('count(*) / 8.0')} AS progress
+FROM sc GROUP BY run_id
+"""

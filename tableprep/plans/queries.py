@@ -449,3 +449,195 @@ def q_select_kbest_regression(spark, sf):
 def q_select_model(spark, sf):
     return _selection(spark, _order_features(spark, sf), ORDER_FEATURES, "o_orderstatus",
                       SEL.FeatureSelectionConfig(method="model", task="classification"))
+
+
+# ----------------------------------------------------------------------------------------
+# models, metrics, ensembles
+# ----------------------------------------------------------------------------------------
+
+from tableprep.operators import ensemble as ENS  # noqa: E402
+from tableprep.operators import model as M  # noqa: E402
+from tableprep.operators import runlog as RL  # noqa: E402
+from tableprep.operators import tune as TU  # noqa: E402
+from tableprep.operators.select import significant  # noqa: E402
+
+
+@query
+def q_hash_split(spark, sf):
+    df = read_table(spark, sf, "orders")
+    b = E.hash_bucket("o_orderkey", 100)
+    return df.select("o_orderkey", b.alias("bucket"),
+                     F.when(b < 20, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+
+
+def _rule_row(df, name, label, n_features, sparse):
+    is_string = dict(df.dtypes)[label] == "string"
+    prof = df.agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct(label).alias("n_distinct"))
+    task = F.when(F.lit(is_string) | (F.col("n_distinct") < 20), F.lit("classification")).otherwise("regression")
+    prof = prof.select(F.lit(name).alias("dataset"), "n_samples", F.lit(n_features).cast("bigint").alias("n_features"),
+                       F.lit(sparse).alias("is_sparse"), task.alias("task"))
+    return prof.withColumn("model_name", M.model_rule_expr(F.col("n_samples"), F.col("n_features"),
+                                                           F.col("is_sparse"), F.col("task")))
+
+
+@query
+def q_model_rule(spark, sf):
+    corpus = view(spark, sf, "text_corpus")
+    return (_rule_row(read_table(spark, sf, "orders"), "orders_status", "o_orderstatus", 4, False)
+            .unionByName(_rule_row(read_table(spark, sf, "lineitem"), "lineitem_price", "l_extendedprice", 3, False))
+            .unionByName(_rule_row(corpus, "text_quality", "quality", 1000, True))
+            .unionByName(_rule_row(read_table(spark, sf, "customer"), "customer_segment", "c_mktsegment", 2, False))
+            .unionByName(_rule_row(read_table(spark, sf, "embeddings"), "embeddings_label", "label", 64, False))
+            .unionByName(_rule_row(read_table(spark, sf, "labels"), "labels_toxic", "toxic", 1, False)))
+
+
+@query
+def q_metric_accuracy_f1(spark, sf):
+    out = M.classification_metrics(view(spark, sf, "baseline_pred"), "o_orderstatus", "pred_status")
+    return out.select(r6(F.col("accuracy")).alias("accuracy"), r6(F.col("f1_weighted")).alias("f1_weighted"))
+
+
+@query
+def q_metric_r2_rmse(spark, sf):
+    out = M.regression_metrics(view(spark, sf, "baseline_pred"), "o_totalprice", "pred_price")
+    return out.select(r6(F.col("r2")).alias("r2"), r6(F.col("rmse")).alias("rmse"))
+
+
+def group_mode_predictor(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
+    """Predict, per value of ``key``, its most frequent label (smallest on ties)."""
+    counts = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("nn"), F.col(label).alias("v"))).alias("b"))
+    lookup = best.select(F.col(key).cast("string").alias("value"), F.col("b.v").cast("double").alias("pred"))
+    return FE.apply_lookup(df, key, lookup, out, lookup.count(), default=0.0, value_col="pred")
+
+
+@query
+def q_weighted_vote(spark, sf):
+    df = view(spark, sf, "dup_events")
+    for i, key in enumerate(["event_type", "user_bucket", "value_bucket"]):
+        df = group_mode_predictor(df, key, "label", f"p{i}")
+    pred = ENS.weighted_average([F.col("p0"), F.col("p1"), F.col("p2")], [1.0, 2.0, 1.0], classification=True)
+    return df.select("row_id", "label", pred.alias("prediction"))
+
+
+@query
+def q_linear_fit(spark, sf):
+    from pyspark.ml.regression import LinearRegression
+    df = S.assemble(read_table(spark, sf, "lineitem"), ["l_quantity"])
+    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0, solver="normal").fit(df)
+    row = spark.range(1).select(F.lit(float(m.coefficients[0])).alias("slope"),
+                                F.lit(float(m.intercept)).alias("intercept"),
+                                F.lit(float(m.summary.r2)).alias("r2"))
+    return row.select(*[significant(F.col(c)).alias(c) for c in ("slope", "intercept", "r2")])
+
+
+def _orders_model_data(spark, sf, binary=False):
+    df = _order_features(spark, sf)
+    if binary:
+        df = df.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", "F").otherwise("notF"))
+    idx, df = M.index_label(df, "o_orderstatus", "label")
+    df = S.assemble(df, ["o_totalprice", "o_custkey", "k13"])
+    return M.hash_split(df, "o_orderkey")
+
+
+def _fit_report(spark, est, name, train, test, task="classification", label="label"):
+    res = M.train_and_score(est, name, train, test, task, label)
+    return spark.createDataFrame([(name, "val_score", res.val_score), (name, "train_score", res.train_score)],
+                                 "model string, metric string, value double")
+
+
+@query
+def q_logistic_fit(spark, sf):
+    train, test = _orders_model_data(spark, sf)
+    return _fit_report(spark, M.build_estimator("LogisticRegression", 3, 1000), "LogisticRegression", train, test)
+
+
+@query
+def q_svc_fit(spark, sf):
+    train, test = _orders_model_data(spark, sf, binary=True)
+    return _fit_report(spark, M.build_estimator("LinearSVC(sgd-hinge)", 2), "LinearSVC", train, test)
+
+
+@query
+def q_tree_fit(spark, sf):
+    train, test = _orders_model_data(spark, sf)
+    return _fit_report(spark, M.build_estimator("DecisionTreeClassifier(depth=10)"), "DecisionTree", train, test)
+
+
+@query
+def q_forest_fit(spark, sf):
+    train, test = _orders_model_data(spark, sf)
+    return _fit_report(spark, M.build_estimator("RandomForestClassifier(200)"), "RandomForest", train, test)
+
+
+@query
+def q_gbt_fit(spark, sf):
+    train, test = _orders_model_data(spark, sf, binary=True)
+    return _fit_report(spark, M.build_estimator("GBTClassifier", 2, n_estimators=50), "GBT", train, test)
+
+
+@query
+def q_tune_search(spark, sf):
+    train, test = _orders_model_data(spark, sf)
+    res = TU.tune("LogisticRegression", train, test, "classification", "label", 3, 12000)
+    return TU.trials_frame(spark, res)
+
+
+def _ensemble_report(spark, sf, method):
+    train, test = _orders_model_data(spark, sf)
+    ests = [M.build_estimator("LogisticRegression", 3, 1000), M.build_estimator("DecisionTreeClassifier(depth=10)")]
+    ens = ENS.build_ensemble(ests, method, "classification", train, "label", "o_orderkey")
+    val = M.score(ens.transform(test), "classification", "label")
+    return spark.createDataFrame([(method, "val_score", val)], "model string, metric string, value double")
+
+
+@query
+def q_soft_voting(spark, sf):
+    return _ensemble_report(spark, sf, "voting")
+
+
+@query
+def q_stacking(spark, sf):
+    return _ensemble_report(spark, sf, "stacking")
+
+
+@query
+def q_text_classify(spark, sf):
+    corpus = view(spark, sf, "text_corpus").withColumn("text", clean_text("text"))
+    train, test = M.hash_split(corpus, "doc_id")
+    tf = E.TfidfVectorizer("text", "features", E.TfidfConfig(1000, 2)).fit(train)
+    train, test = tf.transform(train), tf.transform(test)
+    train, test = (d.withColumn("label", F.col("quality").cast("double")) for d in (train, test))
+    est = M.build_estimator(M.model_rule(0, 1000, True, "classification"), 2)
+    return _fit_report(spark, est, "LogisticRegression(sgd-log)", train, test)
+
+
+def _pipeline_log(df, label, id_col, run_id):
+    from tableprep.plans.pipeline import run_pipeline
+    res = run_pipeline(df, label, id_col, run_id=run_id)
+    return res.run_log.select("run_id", "stage_idx", "stage", "model_name", "n_features", "score")
+
+
+@query
+def q_pipeline_customer(spark, sf):
+    """All eight stages on customer, predicting the market segment."""
+    return _pipeline_log(read_table(spark, sf, "customer").drop("c_name"), "c_mktsegment", "c_custkey", "customer")
+
+
+@query
+def q_pipeline_part(spark, sf):
+    """All eight stages on part (with a text column), predicting the retail price."""
+    return _pipeline_log(read_table(spark, sf, "part"), "p_retailprice", "p_partkey", "part")
+
+
+@query
+def q_stage_score(spark, sf):
+    out = RL.stage_scores(view(spark, sf, "run_log"))
+    return out.select("run_id", "stage_idx", r6(F.col("score")).alias("score"))
+
+
+@query
+def q_run_leaderboard(spark, sf):
+    out = RL.leaderboard(RL.stage_scores(view(spark, sf, "run_log")))
+    return out.select("run_id", "n_stages", r6(F.col("mean_score")).alias("mean_score"), "success",
+                      r6(F.col("progress")).alias("progress"))
