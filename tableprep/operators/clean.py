@@ -136,6 +136,12 @@ def dedup_keep_first(df: DataFrame, feature_cols: list[str], order_col: str) ->
     of all rows costs no more than any other key.
     """
     rest = [c for c in df.columns if c not in feature_cols and c != order_col]
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if all(isinstance(df.schema[c].dataType, fixed) for c in rest):
+        # fixed-width buffers: a plain hash aggregate (no sort) with map-side partials
+        out = df.groupBy(*feature_cols).agg(F.min(order_col).alias(order_col),
+                                            *[F.min_by(c, order_col).alias(c) for c in rest])
+        return out.select(*df.columns)
     pick = F.min(F.struct(F.col(order_col), *[F.col(c) for c in rest])).alias("_first")
     out = df.groupBy(*feature_cols).agg(pick)
     return out.select(*[F.col(c) for c in df.columns if c in feature_cols],

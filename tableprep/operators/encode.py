@@ -132,17 +132,31 @@ def terms(text: Column, ngrams: int = 2, lowercase: bool = True) -> Column:
     return F.concat(t, bigrams(t)) if ngrams >= 2 else t
 
 
-def term_stats(docs: DataFrame, terms_col: str = "terms") -> DataFrame:
-    """(term, term_count, doc_freq) over the corpus, one partial-aggregated job."""
+def term_stats(docs: DataFrame, terms_col: str = "terms", id_col: str | None = None) -> DataFrame:
+    """(term, term_count, doc_freq) over the corpus.
+
+    With a document id the stats come from per-(doc, term) counts (one tokenization,
+    partial aggregation per partition); without one, from a union of all occurrences
+    and per-document distinct terms, both partial-aggregated by term.
+    """
+    if id_col is not None:
+        return doc_term_counts(docs, id_col, terms_col).groupBy("term").agg(
+            F.sum("tf").cast("bigint").alias("term_count"), F.count(F.lit(1)).cast("bigint").alias("doc_freq"))
     occ = docs.select(F.explode(terms_col).alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))
     dst = docs.select(F.explode(F.array_distinct(terms_col)).alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))
     return occ.unionByName(dst).groupBy("term").agg(F.sum("c").cast("bigint").alias("term_count"),
                                                      F.sum("d").cast("bigint").alias("doc_freq"))
 
 
-def top_terms(docs: DataFrame, max_features: int, terms_col: str = "terms") -> DataFrame:
+def doc_term_counts(docs: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
+    """(id, term, tf): occurrences of each term in each document."""
+    return docs.select(id_col, F.explode(terms_col).alias("term")).groupBy(id_col, "term").agg(
+        F.count(F.lit(1)).alias("tf"))
+
+
+def top_terms(docs: DataFrame, max_features: int, terms_col: str = "terms", id_col: str | None = None) -> DataFrame:
     """The vocabulary: most frequent terms over the corpus, ties by term (top-k, k bounded)."""
-    return term_stats(docs, terms_col).orderBy(F.desc("term_count"), F.asc("term")).limit(max_features)
+    return term_stats(docs, terms_col, id_col).orderBy(F.desc("term_count"), F.asc("term")).limit(max_features)
 
 
 @dataclass
@@ -208,10 +222,10 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str, config: TfidfConfig
     cfg = config or TfidfConfig()
     t = docs.select(id_col, terms(F.coalesce(F.col(text_col), F.lit("")), cfg.ngrams, cfg.lowercase).alias("terms"))
     n_docs = docs.count()
-    vocab = top_terms(t, cfg.max_features)
+    tf = doc_term_counts(t, id_col)          # one tokenization; its exchange is reused below
+    vocab = tf.groupBy("term").agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("doc_freq")) \
+        .orderBy(F.desc("term_count"), F.asc("term")).limit(cfg.max_features)
     idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("doc_freq"))) + 1).alias("idf"))
-    tf = t.select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
     w = tf.join(F.broadcast(idf), "term")     # vocabulary size <= max_features (checked bound)
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if cfg.sublinear_tf else F.col("tf").cast("double")
     w = w.withColumn("w", tfw * F.col("idf"))
