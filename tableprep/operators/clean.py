@@ -242,7 +242,7 @@ class DataCleaner(Estimator):
         # job 3: quartiles after filling
         bounds = iqr_bounds(filled, num, cfg.iqr_factor) if cfg.outlier_method == "iqr" else {}
 
-        report.update(dropped_columns_missing=dropped, converted_numeric=converted, fill_values=fills,
+        report.update(n_rows=n_rows, dropped_columns_missing=dropped, converted_numeric=converted, fill_values=fills,
                       clip_bounds=bounds, numeric_cols=num, categorical_cols=cat)
         model = DataCleanerModel(cfg, names, dropped, converted, fills, bounds, cat, kept, row_id, report)
         return model

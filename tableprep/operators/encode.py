@@ -120,6 +120,13 @@ class TargetEncoderModel(Model):
 # text
 # ----------------------------------------------------------------------------------------
 
+def explode_terms(terms_col: str, alias: str = "term") -> Column:
+    """explode_outer, not explode: for ``explode`` Catalyst infers a ``size(terms) > 0``
+    filter and pushes it below any exchange into the scan, re-evaluating the whole
+    tokenizing expression there. Callers drop the null rows of empty documents."""
+    return F.explode_outer(terms_col).alias(alias)
+
+
 def bigrams(tokens: Column) -> Column:
     n = F.greatest(F.size(tokens) - 1, F.lit(0))
     return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n),
@@ -127,11 +134,24 @@ def bigrams(tokens: Column) -> Column:
 
 
 def terms(text: Column, ngrams: int = 2, lowercase: bool = True) -> Column:
-    """Word tokens of 2+ word characters, then (for ngrams=2) adjacent pairs joined by a space."""
+    """Word tokens of 2+ word characters, then (for ngrams=2) adjacent pairs joined by a space.
+
+    Prefer ``with_terms`` on a DataFrame: it tokenizes once and builds bigrams from the
+    stored tokens instead of re-evaluating the regex for every reference."""
     t = word_tokens(F.lower(text) if lowercase else text)
     return F.concat(t, bigrams(t)) if ngrams >= 2 else t
 
 
+def with_terms(df: DataFrame, text: Column, out_col: str = "terms", ngrams: int = 2,
+               lowercase: bool = True) -> DataFrame:
+    """Add ``out_col``: tokens (computed once, kept in a column) plus their bigrams."""
+    tok = f"_{out_col}_tok"
+    df = df.withColumn(tok, word_tokens(F.lower(text) if lowercase else text))
+    if ngrams >= 2:
+        return df.withColumn(out_col, F.concat(F.col(tok), bigrams(F.col(tok)))).drop(tok)
+    return df.withColumnRenamed(tok, out_col)
+
+
 def term_stats(docs: DataFrame, terms_col: str = "terms", id_col: str | None = None) -> DataFrame:
     """(term, term_count, doc_freq) over the corpus.
 
@@ -142,16 +162,17 @@ def term_stats(docs: DataFrame, terms_col: str = "terms", id_col: str | None = N
     if id_col is not None:
         return doc_term_counts(docs, id_col, terms_col).groupBy("term").agg(
             F.sum("tf").cast("bigint").alias("term_count"), F.count(F.lit(1)).cast("bigint").alias("doc_freq"))
-    occ = docs.select(F.explode(terms_col).alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))
-    dst = docs.select(F.explode(F.array_distinct(terms_col)).alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))
-    return occ.unionByName(dst).groupBy("term").agg(F.sum("c").cast("bigint").alias("term_count"),
+    occ = docs.select(explode_terms(terms_col), F.lit(1).alias("c"), F.lit(0).alias("d"))
+    dst = docs.select(F.explode_outer(F.array_distinct(terms_col)).alias("term"), F.lit(0).alias("c"),
+                      F.lit(1).alias("d"))
+    return occ.unionByName(dst).where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("c").cast("bigint").alias("term_count"),
                                                      F.sum("d").cast("bigint").alias("doc_freq"))
 
 
 def doc_term_counts(docs: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
     """(id, term, tf): occurrences of each term in each document."""
-    return docs.select(id_col, F.explode(terms_col).alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    return docs.select(id_col, explode_terms(terms_col)).where(F.col("term").isNotNull()) \
+        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_terms(docs: DataFrame, max_features: int, terms_col: str = "terms", id_col: str | None = None) -> DataFrame:
@@ -177,8 +198,8 @@ class TfidfVectorizer(Estimator):
 
     def _fit(self, df: DataFrame) -> "TfidfModel":
         cfg = self.config
-        docs = df.select(terms(F.coalesce(F.col(self.input_col), F.lit("")), cfg.ngrams, cfg.lowercase)
-                         .alias("terms"))
+        docs = with_terms(df.select(self.input_col), F.coalesce(F.col(self.input_col), F.lit("")), "terms",
+                          cfg.ngrams, cfg.lowercase).select("terms")
         n_docs = docs.count()
         vocab = top_terms(docs, cfg.max_features).collect()       # at most max_features rows
         vocab.sort(key=lambda r: r["term"])
@@ -202,7 +223,7 @@ class TfidfModel(Model):
         if not self.vocabulary:
             return df.withColumn(self.output_col, F.lit(None))
         tcol = f"_{self.output_col}_terms"
-        out = df.withColumn(tcol, terms(F.coalesce(F.col(self.input_col), F.lit("")), cfg.ngrams, cfg.lowercase))
+        out = with_terms(df, F.coalesce(F.col(self.input_col), F.lit("")), tcol, cfg.ngrams, cfg.lowercase)
         cv = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol=tcol, outputCol=f"{tcol}_tf")
         out = cv.transform(out)
         if cfg.sublinear_tf:
@@ -220,7 +241,8 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str, config: TfidfConfig
     (broadcast, at most max_features rows) -> L2 norm over each document's terms.
     """
     cfg = config or TfidfConfig()
-    t = docs.select(id_col, terms(F.coalesce(F.col(text_col), F.lit("")), cfg.ngrams, cfg.lowercase).alias("terms"))
+    t = with_terms(docs.select(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")), "terms", cfg.ngrams,
+                   cfg.lowercase).select(id_col, "terms")
     n_docs = docs.count()
     tf = doc_term_counts(t, id_col)          # one tokenization; its exchange is reused below
     vocab = tf.groupBy("term").agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("doc_freq")) \
@@ -302,18 +324,23 @@ class Encoder(Estimator):
                 prep = prep.withColumn("_text_tokens", word_tokens(F.lower(F.col("_text"))))
                 stages += list(hashing_stages("_text", "_text_tokens", "_text_vec", cfg.max_features))
             block.append("_text_vec")
-        stages.append(VectorAssembler(inputCols=block, outputCol="_assembled", handleInvalid="keep"))
         fitted = Pipeline(stages=stages).fit(prep)
-        width = len(fitted.transform(prep.limit(1)).schema["_assembled"].metadata
-                    .get("ml_attr", {}).get("attrs", {}).get("numeric", [])) or None
-        return EncoderModel(cfg, num, cat, text, fitted, self.output_col, width)
+        slices = {}
+        if cat and cfg.categorical_method == "onehot" and cfg.drop_first:
+            labels = fitted.stages[0].labelsArray      # the StringIndexerModel, sorted categories
+            slices = {f"{c}_oh": list(range(1, len(labels[i]))) for i, c in enumerate(cat)}
+        model = EncoderModel(cfg, num, cat, text, fitted, self.output_col, None, block, slices)
+        width = model.transform(df.limit(1)).schema[self.output_col].metadata
+        model.width = width.get("ml_attr", {}).get("num_attrs")
+        return model
 
 
 class EncoderModel(Model):
-    def __init__(self, config, num, cat, text, fitted, output_col, width):
+    def __init__(self, config, num, cat, text, fitted, output_col, width, block=None, slices=None):
         super().__init__()
         self.config, self.num, self.cat, self.text = config, num, cat, text
         self.fitted, self.output_col, self.width = fitted, output_col, width
+        self.block, self.slices = block or [], slices or {}
 
     def _transform(self, df: DataFrame) -> DataFrame:
         prep = df.withColumns({f"{c}_num": F.col(c).cast("double") for c in self.num})
@@ -322,6 +349,11 @@ class EncoderModel(Model):
             if self.config.text_method == "hashing":
                 prep = prep.withColumn("_text_tokens", word_tokens(F.lower(F.col("_text"))))
         out = self.fitted.transform(prep)
+        block = list(self.block)
+        for col, idx in self.slices.items():        # drop_first: remove each one-hot block's first category
+            out = VectorSlicer(inputCol=col, outputCol=f"{col}_df", indices=idx).transform(out)
+            block[block.index(col)] = f"{col}_df"
+        out = VectorAssembler(inputCols=block, outputCol="_assembled", handleInvalid="keep").transform(out)
         size = out.schema["_assembled"].metadata.get("ml_attr", {}).get("num_attrs")
         if size and size > self.config.feature_cap:
             out = VectorSlicer(inputCol="_assembled", outputCol=self.output_col,
@@ -329,4 +361,4 @@ class EncoderModel(Model):
         else:
             out = out.withColumnRenamed("_assembled", self.output_col)
         keep = list(self.config.passthrough) + ([self.config.label_col] if self.config.label_col else [])
-        return out.select(*keep, self.output_col)
+        return out.select(*[c for c in keep if c in df.columns], self.output_col)

@@ -77,7 +77,7 @@ def frequency_maps(df: DataFrame, cols: list[str]) -> DataFrame:
     """Long map (ci, value, freq): share of each value among the column's non-null rows.
 
     One job: unpivot to (column, value), partial-aggregate counts, divide by the
-    column's non-null total (a window over at most one row per distinct value).
+    column's non-null total (one row per column, broadcast).
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("ci"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)
@@ -147,7 +147,8 @@ class FeatureEngineerModel(Model):
 
     def _plan(self, df):
         cfg = self.config
-        cols: list[Column] = [F.col(c) for c in cfg.passthrough] + [F.col(c) for c in self.num]
+        passthrough = [c for c in cfg.passthrough if df is None or c in df.columns]
+        cols: list[Column] = [F.col(c) for c in passthrough] + [F.col(c) for c in self.num]
         if cfg.polynomial_degree > 1:
             cols += polynomial_columns(self.num, cfg.polynomial_degree, cfg.interaction_only)
         if cfg.create_interactions and len(self.num) > 1:
@@ -158,7 +159,7 @@ class FeatureEngineerModel(Model):
         if cfg.create_text_features:
             for c in self.cat:
                 cols += text_feature_columns(c)
-        names = [c for c in cfg.passthrough] + list(self.num)
+        names = passthrough + list(self.num)
         return cols, names
 
     def _transform(self, df: DataFrame) -> DataFrame:

@@ -102,17 +102,25 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     max_rounds: int = 12) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation (pandas default, SQL quantile_cont).
 
-    Cost: one count job, then per narrowing round two aggregate jobs (approximate
-    bracket, exact bracket counts), then one grouped collect of at most
-    ``collect_bound`` distinct values per bracket. Each round shrinks a bracket by about
-    ``accuracy / 4``; a 10^12-row column needs three rounds.
+    Cost: one job for counts and first approximate brackets, one job verifying them with
+    exact counts, then (only while a bracket still holds more than ``collect_bound`` rows)
+    rounds of two aggregate jobs narrowing it by about ``accuracy / 6``, and finally one
+    grouped collect of at most ``collect_bound`` distinct values per bracket. Columns of up
+    to ``collect_bound`` rows skip straight to the collect; 10^12 rows need two rounds.
     """
     if not cols:
         return {}
     data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     data = data.select(*[F.when(~F.isnan(F.col(f"c{i}")), F.col(f"c{i}")).alias(f"c{i}")
                          for i in range(len(cols))])
-    counts = data.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+    # pass 1: counts, and approximate brackets around every wanted fraction (used only for
+    # columns too long to collect directly; the sketch's rank error is 1/accuracy)
+    margin = 3.0 / accuracy
+    fracs = sorted({max(0.0, p - margin) for p in probs} | {min(1.0, p + margin) for p in probs})
+    first = data.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))],
+                     *[F.percentile_approx(f"c{i}", F.array(*[F.lit(x) for x in fracs]), accuracy).alias(f"q{i}")
+                       for i in range(len(cols))]).first()
+    counts = [first[f"n{i}"] for i in range(len(cols))]
 
     targets: dict[tuple[int, int], _Target] = {}
     plan: dict[str, list[tuple]] = {}
@@ -128,9 +136,32 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             frac = pos - k
             need = [k] + ([k + 1] if frac > 0 and k + 1 < n else [])
             for r in need:
-                targets.setdefault((i, r), _Target(col=i, rank=r, inside=n))
+                t = targets.setdefault((i, r), _Target(col=i, rank=r, inside=n))
+                if n > collect_bound and t.lo is None and t.inside != -1 and first[f"q{i}"] is not None:
+                    q = first[f"q{i}"]
+                    t.lo, t.hi = q[fracs.index(max(0.0, p - margin))], q[fracs.index(min(1.0, p + margin))]
+                    t.inside = -1          # to be verified
             plan[c].append((k, frac))
 
+    pending = [t for t in targets.values() if t.inside == -1]
+    if pending:
+        # pass 2: exact counts below / inside each approximate bracket
+        exprs = []
+        for j, t in enumerate(pending):
+            c = F.col(f"c{t.col}")
+            exprs += [F.sum((c.isNotNull() & (c < F.lit(t.lo))).cast("long")).alias(f"b{j}"),
+                      F.sum(_in_bracket(c, t.lo, t.hi).cast("long")).alias(f"i{j}")]
+        row = data.agg(*exprs).first()
+        for j, t in enumerate(pending):
+            below, inside = int(row[f"b{j}"] or 0), int(row[f"i{j}"] or 0)
+            if below <= t.rank < below + inside:
+                t.below, t.inside = below, inside
+                if t.lo == t.hi:
+                    t.value, t.done = t.lo, True
+            else:                           # outside the sketch guarantee: start from the full range
+                t.lo = t.hi = None
+                t.below, t.inside = 0, counts[t.col]
+
     for _ in range(max_rounds):
         open_t = [t for t in targets.values() if not t.done]
         if not open_t:

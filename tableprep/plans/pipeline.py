@@ -47,11 +47,12 @@ class PipelineConfig:
 
 @dataclass
 class PipelineResult:
-    model: PipelineModel
+    model: PipelineModel          # scores rows without a label column
     task: str
     run_log: DataFrame
     report: DataFrame
     test_predictions: DataFrame
+    label_model: object = None    # StringIndexerModel: class index -> label (classification)
 
 
 def run_pipeline(df: DataFrame, label_col: str, id_col: str, config: PipelineConfig | None = None,
@@ -70,10 +71,10 @@ def run_pipeline(df: DataFrame, label_col: str, id_col: str, config: PipelineCon
     # labels: classes indexed 0..k-1 (sorted) on the train split
     work_label = label_col
     n_classes = 0
+    idx_model = None
     if task == "classification":
         idx_model, _ = M.index_label(train_raw, label_col, "label_idx")
         n_classes = len(idx_model.labels)
-        fitted.append(idx_model)
         train_raw, test_raw = idx_model.transform(_str(train_raw, label_col)), idx_model.transform(
             _str(test_raw, label_col))
         work_label = "label_idx"
@@ -95,7 +96,12 @@ def run_pipeline(df: DataFrame, label_col: str, id_col: str, config: PipelineCon
     record("engineering", 0.5, 0.5, time.time() - t0, len(train.columns) - len(set(keep)), "none")
 
     t0 = time.time()
-    enc = E.Encoder(_replace(cfg.encoding, label_col=work_label,
+    enc_cfg = cfg.encoding
+    n_cols = len(train.columns) - len(set(keep))
+    if wide_guard(cleaner.report.get("n_rows", 0), n_cols):
+        enc_cfg = _replace(enc_cfg, categorical_method="ordinal")
+    reports["encoding"] = {"categorical_method": enc_cfg.categorical_method, "input_columns": n_cols}
+    enc = E.Encoder(_replace(enc_cfg, label_col=work_label,
                              passthrough=tuple(c for c in dict.fromkeys(keep) if c != work_label))).fit(train)
     train, test = enc.transform(train), enc.transform(test)
     fitted.append(enc)
@@ -151,7 +157,72 @@ def run_pipeline(df: DataFrame, label_col: str, id_col: str, config: PipelineCon
                                         "train_score double, seconds double, n_features int, model_name string")
     scored = stage_scores(log_df.withColumn("task", F.lit(task)), "task", cfg.metric)
     return PipelineResult(PipelineModel(stages=fitted), task, scored, report_frame(spark, run_id, reports),
-                          ens.transform(test))
+                          ens.transform(test), idx_model if task == "classification" else None)
+
+
+def wide_guard(n_rows: int, n_cols: int, limit_gib: float = 1.0, max_cols: int = 1000) -> bool:
+    """Dense size estimate rows x cols x 8 bytes over the limit, or too many columns: one-hot
+    would explode, so categories are encoded as ordinals instead."""
+    return n_rows * n_cols * 8 / 1024 ** 3 > limit_gib or n_cols > max_cols
+
+
+def run_text_pipeline(df: DataFrame, text_col: str, id_col: str, label_col: str | None = None,
+                      max_features: int = 1000, run_id: str = "text",
+                      cleaning: C.CleaningConfig | None = None) -> PipelineResult:
+    """Four stages for a text table: cleaning -> TF-IDF model choice -> tuning -> ensemble.
+
+    Without labels the run is unsupervised: the vectorizer is the model and every stage
+    scores as a text run. With labels the sparse rule picks a logistic model.
+    """
+    spark = df.sparkSession
+    task = "text" if label_col is None else infer_task(df, label_col)
+    log, reports, fitted = [], {}, []
+
+    def record(stage, val, tr, secs, width, name):
+        log.append((run_id, len(log) + 1, stage, float(val), float(tr), float(secs), int(width), name))
+
+    t0 = time.time()
+    ccfg = _replace(cleaning or C.CleaningConfig(), row_id_col=id_col, label_col=label_col,
+                    id_cols=tuple(c for c in df.columns if c not in (text_col, id_col)))
+    cleaner = C.DataCleaner(ccfg).fit(df)
+    clean_df = cleaner.transform(df)
+    fitted.append(cleaner.without_dedup())
+    reports["cleaning"] = cleaner.report
+    record("cleaning", 0.5, 0.5, time.time() - t0, 1, "none")
+
+    t0 = time.time()
+    work_label, n_classes = label_col, 0
+    if label_col is not None and task == "classification":
+        idx, clean_df = M.index_label(clean_df, label_col, "label_idx")
+        work_label, n_classes = "label_idx", len(idx.labels)
+    train, test = M.hash_split(clean_df, id_col)
+    tf = E.TfidfVectorizer(text_col, "x", E.TfidfConfig(max_features, 1)).fit(train)
+    fitted.append(tf)
+    width = len(tf.vocabulary)
+    if label_col is None:
+        reports["model_select"] = {"selected_model": "TF-IDF Vectorizer", "n_features": width}
+        record("model_select", 0.5, 0.5, time.time() - t0, width, "TfidfVectorizer")
+        record("tuning", 0.5, 0.5, 0.0, width, "TfidfVectorizer")
+        record("ensemble", 0.5, 0.5, 0.0, width, "TfidfVectorizer")
+        preds = tf.transform(test)
+    else:
+        cols = [id_col, work_label, "x"]
+        train = cut_lineage(tf.transform(train).select(*cols))
+        test = cut_lineage(tf.transform(test).select(*cols))
+        name = M.model_rule(0, width, True, task)
+        res = M.train_and_score(M.build_estimator(name, n_classes, 0, "x", work_label), name, train, test, task,
+                                work_label)
+        record("model_select", res.val_score, res.train_score, time.time() - t0, width, name)
+        t0 = time.time()
+        tuned = T.tune(name, train, test, task, work_label, n_classes, 0, "x")
+        record("tuning", tuned.best_score, tuned.best_score, time.time() - t0, width, name)
+        record("ensemble", tuned.best_score, tuned.best_score, 0.0, width, name)
+        fitted.append(tuned.best)
+        preds = tuned.best.transform(test)
+    log_df = spark.createDataFrame(log, "run_id string, stage_idx int, stage string, val_score double, "
+                                        "train_score double, seconds double, n_features int, model_name string")
+    scored = stage_scores(log_df.withColumn("task", F.lit(task)), "task")
+    return PipelineResult(PipelineModel(stages=fitted), task, scored, report_frame(spark, run_id, reports), preds)
 
 
 def _str(df: DataFrame, col: str) -> DataFrame:

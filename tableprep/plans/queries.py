@@ -340,7 +340,7 @@ def _clean_docs(spark, sf):
 
 @query
 def q_tfidf_top_terms(spark, sf):
-    docs = _clean_docs(spark, sf).select(E.terms(F.col("text"), 2).alias("terms"))
+    docs = E.with_terms(_clean_docs(spark, sf), F.col("text"), "terms", 2).select("terms")
     return E.top_terms(docs, 1000)
 
 
@@ -606,8 +606,9 @@ def q_text_classify(spark, sf):
     corpus = view(spark, sf, "text_corpus").withColumn("text", clean_text("text"))
     train, test = M.hash_split(corpus, "doc_id")
     tf = E.TfidfVectorizer("text", "features", E.TfidfConfig(1000, 2)).fit(train)
-    train, test = tf.transform(train), tf.transform(test)
-    train, test = (d.withColumn("label", F.col("quality").cast("double")) for d in (train, test))
+    from tableprep.session import cut_lineage
+    train, test = (cut_lineage(tf.transform(d).select("doc_id", F.col("quality").cast("double").alias("label"),
+                                                        "features")) for d in (train, test))
     est = M.build_estimator(M.model_rule(0, 1000, True, "classification"), 2)
     return _fit_report(spark, est, "LogisticRegression(sgd-log)", train, test)
 
@@ -630,6 +631,15 @@ def q_pipeline_part(spark, sf):
     return _pipeline_log(read_table(spark, sf, "part"), "p_retailprice", "p_partkey", "part")
 
 
+@query
+def q_pipeline_text(spark, sf):
+    """The four text stages on documents without labels (unsupervised run)."""
+    from tableprep.plans.pipeline import run_text_pipeline
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    res = run_text_pipeline(docs, "text", "doc_id", None, run_id="documents")
+    return res.run_log.select("run_id", "stage_idx", "stage", "model_name", "n_features", "score")
+
+
 @query
 def q_stage_score(spark, sf):
     out = RL.stage_scores(view(spark, sf, "run_log"))

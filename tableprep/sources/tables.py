@@ -80,8 +80,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+# Tables whose rows carry long text: per-row work (regex cleaning, tokenizing) dominates.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """Scan one table. For text tables whose files give fewer splits than the cluster has
+    cores (a single-row-group file is one task), rows are spread round-robin so the
+    per-row text work before the first shuffle runs on every core. Numeric tables are
+    scanned as is: their per-row work is cheap and their fits make several passes, each of
+    which would pay the extra shuffle. With many splits, as at large scale, nothing changes."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_rows(df) if (name in TEXT_TABLES if spread is None else spread) else df
+
+
+def spread_rows(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
