@@ -536,8 +536,9 @@ def _orders_model_data(spark, sf, binary=False):
     if binary:
         df = df.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", "F").otherwise("notF"))
     idx, df = M.index_label(df, "o_orderstatus", "label")
-    df = S.assemble(df, ["o_totalprice", "o_custkey", "k13"])
-    return M.hash_split(df, "o_orderkey")
+    df = S.assemble(df, ["o_totalprice", "o_custkey", "k13"]).select("o_orderkey", "label", "features")
+    from tableprep.session import cut_lineage
+    return tuple(cut_lineage(d) for d in M.hash_split(df, "o_orderkey"))
 
 
 def _fit_report(spark, est, name, train, test, task="classification", label="label"):
