@@ -139,8 +139,6 @@ WITH {v('dirty_part')}
 SELECT p_partkey, {numeric_text_sql('size_txt')} AS size_txt, brand_txt FROM dirty_part
 """
 
-_ = tokens_sql  # used by feature queries
-
 # ----------------------------------------------------------------------------------------
 # features
 # ----------------------------------------------------------------------------------------

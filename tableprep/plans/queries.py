@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.functions.numeric import clip, to_numeric
 from tableprep.functions.text import clean_text, clean_text_array, clean_text_map
 from tableprep.operators import clean as C
 from tableprep.operators import profile as P
