@@ -144,7 +144,8 @@ def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     """One row: R^2 = 1 - SSE/SST and RMSE."""
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     stats = df.agg(F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("vy"), F.count(F.lit(1)).alias("n"))
-    return stats.select((F.lit(1.0) - F.col("sse") / (F.col("vy") * F.col("n"))).alias("r2"),
+    # a constant label has no variance: R^2 is undefined (null), never a division error under ANSI
+    return stats.select((F.lit(1.0) - F.try_divide(F.col("sse"), F.col("vy") * F.col("n"))).alias("r2"),
                         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
 
 

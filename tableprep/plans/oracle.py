@@ -143,7 +143,7 @@ SELECT p_partkey, {numeric_text_sql('size_txt')} AS size_txt, brand_txt FROM dir
 # features
 # ----------------------------------------------------------------------------------------
 
-from tableprep.plans.sqltext import sig10, terms_sql  # noqa: E402
+from tableprep.plans.sqltext import sig10, terms_from_tokens_sql, tokens_re_sql  # noqa: E402
 
 
 def _text_feats(c: str) -> str:
@@ -245,7 +245,8 @@ def _tfidf_sql(k: int, ngrams: int, sublinear: bool) -> str:
     tfw = "(1 + ln(tf))" if sublinear else "tf"
     return f"""
 WITH {_CLEAN_DOCS},
-tm AS (SELECT doc_id, {terms_sql('text', ngrams)} AS terms FROM cd),
+tk AS (SELECT doc_id, {tokens_re_sql('text')} AS t FROM cd),
+tm AS (SELECT doc_id, {terms_from_tokens_sql('t', ngrams)} AS terms FROM tk),
 occ AS (SELECT doc_id, unnest(terms) AS term FROM tm),
 st AS (SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_freq FROM occ GROUP BY term),
 vocab AS (SELECT * FROM st ORDER BY term_count DESC, term LIMIT {k}),
@@ -258,7 +259,8 @@ SELECT doc_id, term, {r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS
 
 ORACLE["tfidf_top_terms"] = f"""
 WITH {_CLEAN_DOCS},
-tm AS (SELECT doc_id, {terms_sql('text', 2)} AS terms FROM cd),
+tk AS (SELECT doc_id, {tokens_re_sql('text')} AS t FROM cd),
+tm AS (SELECT doc_id, {terms_from_tokens_sql('t', 2)} AS terms FROM tk),
 occ AS (SELECT doc_id, unnest(terms) AS term FROM tm)
 SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_freq FROM occ GROUP BY term
 ORDER BY term_count DESC, term LIMIT 1000

@@ -31,12 +31,17 @@ def r6(expr: str) -> str:
     return f"round({expr}, 6)"
 
 
-def terms_sql(expr: str, ngrams: int = 2) -> str:
-    """Word tokens (2+ word characters) and, for ngrams=2, adjacent pairs joined by a space."""
-    t = f"regexp_extract_all({expr}, '\\b\\w\\w+\\b')"
+def tokens_re_sql(expr: str) -> str:
+    """Word tokens of 2+ word characters."""
+    return f"regexp_extract_all({expr}, '\\b\\w\\w+\\b')"
+
+
+def terms_from_tokens_sql(col: str, ngrams: int = 2) -> str:
+    """Tokens plus (for ngrams=2) adjacent pairs joined by a space, from a token-list column
+    (tokenize once in an earlier CTE: a lambda would otherwise re-evaluate the extraction)."""
     if ngrams < 2:
-        return t
-    return f"list_concat({t}, list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]))"
+        return col
+    return f"list_concat({col}, list_transform(range(1, len({col})), lambda i: {col}[i] || ' ' || {col}[i + 1]))"
 
 
 def sig10(expr: str) -> str:

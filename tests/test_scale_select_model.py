@@ -90,3 +90,9 @@ def test_stage_score_published_example(spark):
     scores = [r["score"] for r in RL.stage_scores(log).orderBy("stage_idx").collect()]
     assert abs(scores[1] - (0.5 + 0.1 / (1 + math.log(2)) + 0.05)) < 1e-12
     assert round(scores[1], 2) == 0.61
+
+
+def test_r2_of_constant_label_is_null_not_error(spark):
+    df = spark.createDataFrame([(5.0, 4.0), (5.0, 6.0)], "y double, p double")
+    row = M.regression_metrics(df, "y", "p").first()
+    assert row["r2"] is None and row["rmse"] == 1.0
