@@ -211,9 +211,9 @@ ORACLE["onehot_long"] = """
 WITH s AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS i FROM orders),
 p AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS i FROM orders),
 ns AS (SELECT count(DISTINCT o_orderstatus) AS k FROM orders)
-SELECT o_orderkey, CAST(i AS BIGINT) AS slot, 1.0 AS value FROM s
+SELECT o_orderkey, CAST(i AS BIGINT) AS slot, CAST(1.0 AS DOUBLE) AS value FROM s
 UNION ALL
-SELECT o_orderkey, CAST(i + (SELECT k FROM ns) AS BIGINT) AS slot, 1.0 AS value FROM p
+SELECT o_orderkey, CAST(i + (SELECT k FROM ns) AS BIGINT) AS slot, CAST(1.0 AS DOUBLE) AS value FROM p
 """
 
 ORACLE["ordinal_encode"] = """
