@@ -51,3 +51,24 @@ def test_lookup_join_salted_equals_broadcast(spark):
     b = stats.lookup_join(big, lookup, ["k"], map_rows=2, max_broadcast_rows=0, salts=4, salt_col="id")
     assert sorted(a.collect()) == sorted(b.collect())
     assert b.where(F.col("v").isNull()).count() == 1000
+
+
+def test_lookup_join_random_salt_same_result(spark):
+    big = spark.range(2000).select(F.col("id"), (F.col("id") % 4).cast("string").alias("k"))
+    lookup = spark.createDataFrame([("0", 1.0), ("1", 2.0), ("3", 4.0)], "k string, v double")
+    a = stats.lookup_join(big, lookup, ["k"], map_rows=3)
+    b = stats.lookup_join(big, lookup, ["k"], map_rows=3, max_broadcast_rows=1, salts=7)
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_quantiles_several_columns_narrowing(spark):
+    rng = np.random.default_rng(3)
+    a = rng.exponential(10, 5000)
+    b = rng.integers(0, 50, 5000).astype(float)
+    rows = [(float(x), float(y) if i % 3 else None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = stats.exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75], collect_bound=40, accuracy=50)
+    bb = [y for i, y in enumerate(b) if i % 3]
+    for j, p in enumerate([0.25, 0.5, 0.75]):
+        assert abs(got["a"][j] - np_quantile(a, p)) < 1e-9
+        assert abs(got["b"][j] - np_quantile(bb, p)) < 1e-9
