@@ -12,6 +12,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.line_dedup import dedup_lines
+    return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.hyperminhash import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.decontaminate import find_leaks
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.mixing import mix_sources
+    table, _ = mix_sources(_table(spark, sf_dir, "documents"))
+    return table.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.spotsigs import edited_fingerprints
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,5 +47,10 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_hyperminhash": op3_hyperminhash,
+    "op4_spaced_seeds": op4_spaced_seeds,
+    "op7_source_mix": op7_source_mix,
+    "op8_spot_signatures": op8_spot_signatures,
     "op9_token_blocks": op9_token_blocks,
 }
