@@ -10,7 +10,6 @@ import hashlib
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +22,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def hash_words(tokens: list[bytes]) -> np.ndarray:
-    """One 64-bit hash a word (keyed sip hash, the same on every machine)."""
-    if not tokens:
-        return np.empty(0, np.uint64)
-    return pd.util.hash_array(np.array(tokens, dtype=object), categorize=False)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the word (wraps modulo 2^64)."""
     x = x ^ (x >> np.uint64(31))
@@ -39,29 +31,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_SHINGLE: dict[int, np.ndarray] = {}
+
+
 def odd_constants(n: int, seed: str) -> np.ndarray:
     """n odd 64-bit multipliers derived from a label, so that every run and machine agrees."""
     raw = b"".join(hashlib.blake2b(f"{seed}:{i}".encode(), digest_size=8).digest() for i in range(n))
     return np.frombuffer(raw, "<u8") | np.uint64(1)
 
 
-_SHINGLE = {}
-
-
-def shingles(tokens: list[bytes], width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of all ``width``-word runs; a shorter text counts as one shingle, no word as none."""
-    h = hash_words(tokens)
-    if not len(h):
-        return h
-    w = min(width, len(h))
-    if w not in _SHINGLE:
-        _SHINGLE[w] = odd_constants(w, f"shingle{w}")
-    total = np.zeros(len(h) - w + 1, np.uint64)
-    for i, c in enumerate(_SHINGLE[w]):
-        total += h[i:len(h) - w + 1 + i] * c
-    return np.unique(mix(total))
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -142,3 +120,82 @@ def ship_package(spark) -> None:
                     z.write(full, os.path.relpath(full, top))
     sc.addPyFile(target)
     sc._tableprep_shipped = True
+
+
+# --- words of a whole batch -------------------------------------------------------------------------------------
+
+_BASE = odd_constants(2, "word")
+_BYTES = np.frombuffer(hashlib.blake2b(b"bytes").digest() * 32, "<u8")[:256].copy()
+_BYTES = mix(_BYTES + np.arange(256, dtype=np.uint64) * _BASE[1])
+_BYTES[ord("A"):ord("Z") + 1] = _BYTES[ord("a"):ord("z") + 1]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse modulo 2^64, n of each at least."""
+    if len(_POWERS["up"]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        base = int(_BASE[0])
+        for key, step in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate((table, table * np.uint64(pow(step, len(table), 1 << 64))))
+            _POWERS[key] = table
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def batch_word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of an Arrow string array (null: none) in order, and each text's first word (one more at the end).
+
+    A word's hash is a polynomial over its bytes, from running sums over the whole buffer, so no word becomes a
+    Python object. A-Z hash as a-z, white space separates, as in :func:`words`.
+    """
+    import pyarrow as pa
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.fill_null("").cast(pa.large_string())
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
+    data = texts.buffers()[2]
+    raw = (np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.empty(0, np.uint8))
+    ends = ends - ends[0]
+    solid = ~_SPACE[raw]
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    heads = ends[:-1][ends[:-1] < len(raw)]
+    start[heads] = solid[heads]
+    first = np.flatnonzero(start)
+    stop = solid.copy()
+    stop[:-1] &= ~solid[1:] | start[1:]
+    last = np.flatnonzero(stop)
+    bounds = np.searchsorted(first, ends)
+    out = np.empty(len(first), np.uint64)
+    piece = 1 << 18  # words at a time: the running sums stay in the cache
+    i = 0
+    while i < len(first):
+        j = min(len(first), i + piece // 4)
+        lo, hi = first[i], last[j - 1] + 1
+        if hi - lo > 4 * piece and j - i > 1:  # long words: fewer of them at a time
+            j = max(i + 1, int(np.searchsorted(last, lo + 4 * piece)))
+            hi = last[j - 1] + 1
+        up, down = _powers(int(hi - lo))
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTES[raw[lo:hi]] * up, out=sums[1:])
+        f, e = first[i:j] - lo, last[i:j] + 1 - lo
+        out[i:j] = (sums[e] - sums[f]) * down[f] + (e - f).astype(np.uint64) * _BASE[1]
+        i = j
+    return mix(out), bounds
+
+
+def shingle_hashes(h: np.ndarray, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``width`` words; a shorter text counts as one shingle, no word as none."""
+    if not len(h):
+        return h
+    w = min(width, len(h))
+    if w not in _SHINGLE:
+        _SHINGLE[w] = odd_constants(w, f"shingle{w}")
+    total = h[:len(h) - w + 1] * _SHINGLE[w][0]
+    for i in range(1, w):
+        total += h[i:len(h) - w + 1 + i] * _SHINGLE[w][i]
+    return np.unique(mix(total))
