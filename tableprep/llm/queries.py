@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.pii import find_personal_data
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tableprep.llm.line_dedup import dedup_lines
     return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
@@ -27,6 +32,16 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.toxicity import score
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.langid import identify
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tableprep.llm.mixing import mix_sources
     table, _ = mix_sources(_table(spark, sf_dir, "documents"))
@@ -47,9 +62,12 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_line_dedup": op2_line_dedup,
     "op3_hyperminhash": op3_hyperminhash,
     "op4_spaced_seeds": op4_spaced_seeds,
+    "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
+    "op6_rank_order_language": op6_rank_order_language,
     "op7_source_mix": op7_source_mix,
     "op8_spot_signatures": op8_spot_signatures,
     "op9_token_blocks": op9_token_blocks,
