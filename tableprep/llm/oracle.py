@@ -2,4 +2,54 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE: dict[str, str] = {
+    # a line's key goes in all documents but the smallest that holds it; 10 code points at least
+    "op2_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT doc_id, pos, line, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS key FROM l),
+held AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, coalesce(h.first <> k.doc_id, false) AS gone FROM k LEFT JOIN held h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""",
+    # exact shingle sets, all linked pairs, and what can be reached over links
+    "op3_hyperminhash": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+         '[ \\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))) END AS sh
+      FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+          GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+          WHERE 100 * common >= 85 * (na.n_shingles + nb.n_shingles - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT n.doc_id, n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+""",
+    # conversations as lists of (role, text); a conversation is kept when no longer one begins with it
+    "op10_snapshot_chats": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT conv_id, row_number() OVER w AS position,
+         string_agg(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)) || chr(3), '') OVER w AS prefix,
+         string_agg('<|' || coalesce(role, 'user') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '')
+           OVER w AS rendered
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ASC NULLS LAST, role ASC NULLS FIRST, text ASC NULLS FIRST
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT conv_id, max(position) AS n_turns, arg_max(prefix, position) AS whole,
+             arg_max(rendered, position) AS rendered FROM p GROUP BY conv_id),
+inner_prefix AS (SELECT DISTINCT prefix FROM p JOIN e USING (conv_id) WHERE position < n_turns),
+classes AS (SELECT whole, min(conv_id) AS conv_id, count(*) AS copies FROM e GROUP BY whole)
+SELECT c.conv_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts, e.n_turns, c.copies, e.rendered
+FROM classes c JOIN e USING (conv_id) WHERE c.whole NOT IN (SELECT prefix FROM inner_prefix)
+""",
+}

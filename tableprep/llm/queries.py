@@ -61,6 +61,12 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.chat import collapse_and_render
+    return collapse_and_render(_table(spark, sf_dir, "conversations"))
+
+
+
 QUERIES = {
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op2_line_dedup": op2_line_dedup,
@@ -71,4 +77,5 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_spot_signatures": op8_spot_signatures,
     "op9_token_blocks": op9_token_blocks,
+    "op10_snapshot_chats": op10_snapshot_chats,
 }
