@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.base import salted_lookup, stage
+from tableprep.llm.base import hot_keys, salted_lookup, stage
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -52,9 +52,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
     held = stage(rows.where("doc_id is not null").mapInArrow(explode, "key binary, doc_id long"))
-    shared = stage(held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                   .where("first < last").select("key", "first"))
-    drops = (salted_lookup(held, shared, ["key"], F.col("doc_id")).where("doc_id <> first").distinct()
+    shared = stage(held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                           F.count(F.lit(1)).alias("n")).where("first < last"))
+    hot = hot_keys(shared, ["key"], held.count())
+    drops = (salted_lookup(held, shared.select("key", "first"), ["key"], F.col("doc_id"), hot=hot)
+             .where("doc_id <> first").distinct()
              .groupBy("doc_id").agg(F.collect_list("key").alias("drop")))
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
