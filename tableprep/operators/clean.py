@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tableprep.functions.numeric import clip, nan_to_null, to_numeric
 from tableprep.functions.text import clean_text
 from tableprep.operators import stats
-from tableprep.operators.profile import numeric_cols, string_cols
+from tableprep.operators.profile import numeric_cols, string_cols, timestamp_cols
 
 NUMERIC_STRATEGIES = ("mean", "median", "zero")
 CATEGORICAL_STRATEGIES = ("mode", "constant")
@@ -82,10 +82,15 @@ def infer_numeric(df: DataFrame, cols=None, min_share: float = 0.5) -> tuple[Dat
 
 
 def fill_values(df: DataFrame, values: dict) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items() if v is not None})
+    """Replace nulls and NaNs of the given columns."""
+    df = stats.without_nan(df)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(kinds[c]) if c in timestamp_cols(df) else F.lit(v))
+                           for c, v in values.items() if v is not None})
 
 
 def numeric_fill_values(df: DataFrame, cols: list[str], strategy: str) -> dict:
+    """Fill value per column; missing values (null, NaN) take no part in it."""
     if strategy not in NUMERIC_STRATEGIES:
         raise ValueError(f"Invalid numeric strategy: {strategy}")
     if not cols:
@@ -124,6 +129,7 @@ def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5) -> dict[str,
 
 def iqr_clip(df: DataFrame, cols: list[str], factor: float = 1.5) -> DataFrame:
     bounds = iqr_bounds(df, cols, factor)
+    df = stats.without_nan(df)
     return df.withColumns({c: clip(c, *bounds[c]) for c in cols})
 
 
@@ -198,7 +204,7 @@ class DataCleaner(Estimator):
         report: dict = {"initial_columns": len(df.columns)}
 
         names = standardize_names(df.columns)
-        renamed = df.toDF(*names)
+        renamed = stats.without_nan(df.toDF(*names))
         keep_out = set(standardize_names(list(cfg.id_cols))) if cfg.id_cols else set()
         label = standardize_names([cfg.label_col])[0] if cfg.label_col else None
         row_id = standardize_names([cfg.row_id_col])[0] if cfg.row_id_col else None
@@ -229,6 +235,7 @@ class DataCleaner(Estimator):
                 nulls[c] = n_rows - row[f"p{i}"]
         num = [c for c in numeric_cols(typed) if c in kept]
         cat = [c for c in kept if c not in num and isinstance(typed.schema[c].dataType, T.StringType)]
+        other = [c for c in timestamp_cols(typed) if c in kept]
         num_missing = [c for c in num if nulls[c] > 0]
         cat_missing = [c for c in cat if nulls[c] > 0]
 
@@ -237,7 +244,10 @@ class DataCleaner(Estimator):
         fills.update(numeric_fill_values(typed, num_missing, cfg.numeric_strategy))
         fills.update(categorical_fill_values(typed, cat_missing, cfg.categorical_strategy,
                                              cfg.constant_fill_value))
-        filled = fill_values(typed, fills)
+        other_missing = [c for c in other if nulls[c] > 0]
+        found = stats.modes(typed, other_missing)          # dates and times: the most frequent value
+        fills.update({c: found[c] for c in other_missing if found[c] is not None})
+        filled = fill_values(typed, {c: v for c, v in fills.items() if c not in other_missing})
 
         # job 3: quartiles after filling
         bounds = iqr_bounds(filled, num, cfg.iqr_factor) if cfg.outlier_method == "iqr" else {}
@@ -272,7 +282,7 @@ class DataCleanerModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cfg = self.config
-        out = df.toDF(*standardize_names(df.columns)).drop(*self.dropped)
+        out = stats.without_nan(df.toDF(*standardize_names(df.columns)).drop(*self.dropped))
         exprs: dict[str, Column] = {}
         for c in out.columns:
             e = F.col(c)
@@ -281,7 +291,8 @@ class DataCleanerModel(Model):
             if isinstance(out.schema[c].dataType, T.BooleanType) and c in self.features:
                 e = e.cast("double")
             if c in self.fills:
-                e = F.coalesce(e, F.lit(self.fills[c]))
+                fill = F.lit(self.fills[c])
+                e = F.coalesce(e, fill.cast(out.schema[c].dataType) if c in timestamp_cols(out) else fill)
             if c in self.bounds and self.bounds[c][0] is not None:
                 e = clip(e, *self.bounds[c])
             if c in self.text_cols:
@@ -291,8 +302,11 @@ class DataCleanerModel(Model):
         if self.apply_dedup:
             if self.row_id:
                 out = dedup_keep_first(out, self.features, self.row_id)
-            else:
-                out = out.dropDuplicates(self.features)
+            else:  # no row id: the smallest of the repeated rows stays, whatever the partitioning
+                rest = [c for c in out.columns if c not in self.features]
+                agg = [F.min(F.struct(*[F.col(c) for c in rest])).alias("_rest")] if rest else []
+                kept = out.groupBy(*self.features).agg(*agg) if agg else out.select(*self.features).distinct()
+                out = kept.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in out.columns])
         return out
 
     def duplicates_removed(self, df: DataFrame) -> int:

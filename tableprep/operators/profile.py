@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tableprep.functions.numeric import to_numeric
 from tableprep.functions.text import as_text
+from tableprep.operators.stats import missing
 
 TEXT_MEAN_LENGTH = 20      # a string column with a longer mean length is free text
 CLASS_LIMIT = 20           # fewer distinct labels than this means classification
@@ -34,17 +35,17 @@ def timestamp_cols(df: DataFrame, exclude=()) -> list[str]:
 def dataset_profile(df: DataFrame, exclude=()) -> DataFrame:
     """One row: n_samples, n_features, missing_values (null cells over all features)."""
     cols = [c for c in df.columns if c not in exclude]
-    missing = F.lit(0).cast("bigint")
+    total = F.lit(0).cast("bigint")
     for c in cols:
-        missing = missing + F.sum(F.col(c).isNull().cast("bigint"))
+        total = total + F.sum(missing(df, c).cast("bigint"))
     return df.agg(F.count(F.lit(1)).alias("n_samples"), F.lit(len(cols)).cast("bigint").alias("n_features"),
-                  missing.alias("missing_values"))
+                  total.alias("missing_values"))
 
 
 def column_null_ratios(df: DataFrame, cols=None) -> DataFrame:
     """Long form (column_name, null_ratio) from one aggregate job."""
     cols = list(cols or df.columns)
-    wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"_{i}") for i, c in enumerate(cols)])
+    wide = df.agg(*[F.avg(missing(df, c).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)])
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"_{i}").alias("null_ratio")) for i, c in enumerate(cols)
     ])).alias("e")).select("e.*")

@@ -8,7 +8,7 @@
   distinct values per bracket, whatever the table size.
 * Modes and value counts are hash aggregates with map-side partial aggregation, so a
   value holding a third of all rows is pre-combined before the shuffle.
-* Lookup joins broadcast a map only when its row count is checked below a bound, and
+* Lookup joins broadcast a map only when its bytes are checked below a bound, and
   salt the shuffle join otherwise.
 """
 
@@ -20,16 +20,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 DEFAULT_COLLECT_BOUND = 100_000
 DEFAULT_SALTS = 32
 
 
+def missing(df: DataFrame, col: str) -> Column:
+    """A null, or a NaN in a fractional column: both mean a missing value."""
+    c = F.col(col)
+    return c.isNull() | F.isnan(c) if df.schema[col].dataType.typeName() in ("double", "float") else c.isNull()
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN becomes null in every fractional column."""
+    cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in cols}) if cols else df
+
+
 def null_ratios(df: DataFrame, cols: list[str]) -> dict[str, float]:
-    """Share of nulls per column, all columns in one job."""
+    """Share of missing values per column, all columns in one job."""
     if not cols:
         return {}
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(missing(df, c).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[i] if row[i] is not None else 0.0) for i, c in enumerate(cols)}
 
 
@@ -79,53 +91,43 @@ def distinct_count_capped(df: DataFrame, col: str, cap: int) -> int:
 class _Target:
     col: int          # index into the column list
     rank: int         # 0-based order statistic among non-null values
-    lo: float | None = None   # bracket [lo, hi], None = unbounded
+    lo: float | None = None   # open bracket (lo, hi), None = unbounded
     hi: float | None = None
-    below: int = 0    # non-null values strictly below lo
-    inside: int = 0   # non-null values inside [lo, hi]
+    below: int = 0    # non-null values at or below lo
+    inside: int = 0   # non-null values inside (lo, hi)
     value: float | None = None
     done: bool = False
-    widen: float = 2.0  # sketch rank-error margin, doubled after a miss
+    widen: float = 2.0  # sketch rank-error margin, grows after a miss
 
 
 def _in_bracket(c: Column, lo, hi) -> Column:
     cond = c.isNotNull()
     if lo is not None:
-        cond = cond & (c >= F.lit(lo))
+        cond = cond & (c > F.lit(lo))
     if hi is not None:
-        cond = cond & (c <= F.lit(hi))
+        cond = cond & (c < F.lit(hi))
     return cond
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    collect_bound: int = DEFAULT_COLLECT_BOUND, accuracy: int = 10_000,
-                    max_rounds: int = 12) -> dict[str, list[float | None]]:
+                    collect_bound: int = DEFAULT_COLLECT_BOUND, accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation (pandas default, SQL quantile_cont).
 
-    Cost: one job for counts and first approximate brackets, one job verifying them with
-    exact counts, then (only while a bracket still holds more than ``collect_bound`` rows)
-    rounds of two aggregate jobs narrowing it by about ``accuracy / 6``, and finally one
-    grouped collect of at most ``collect_bound`` distinct values per bracket. Columns of up
-    to ``collect_bound`` rows skip straight to the collect; 10^12 rows need two rounds.
+    Open brackets around the wanted order statistics are narrowed: a distributed sketch proposes two values, one exact
+    aggregate counts the rows below, at and between them. A value that holds the wanted rank is the answer; else both
+    values leave the bracket, so heavy ties are gone after one round and every round makes progress. When the rows left
+    in all brackets together fit ``collect_bound``, they are fetched as (value, count).
     """
     if not cols:
         return {}
     data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     data = data.select(*[F.when(~F.isnan(F.col(f"c{i}")), F.col(f"c{i}")).alias(f"c{i}")
                          for i in range(len(cols))])
-    # pass 1: counts, and approximate brackets around every wanted fraction (used only for
-    # columns too long to collect directly; the sketch's rank error is 1/accuracy)
-    margin = 3.0 / accuracy
-    fracs = sorted({max(0.0, p - margin) for p in probs} | {min(1.0, p + margin) for p in probs})
-    first = data.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))],
-                     *[F.percentile_approx(f"c{i}", F.array(*[F.lit(x) for x in fracs]), accuracy).alias(f"q{i}")
-                       for i in range(len(cols))]).first()
-    counts = [first[f"n{i}"] for i in range(len(cols))]
-
+    first = data.agg(*[F.count(f"c{i}") for i in range(len(cols))]).first()
     targets: dict[tuple[int, int], _Target] = {}
     plan: dict[str, list[tuple]] = {}
     for i, c in enumerate(cols):
-        n = counts[i]
+        n = first[i]
         plan[c] = []
         for p in probs:
             if not n:
@@ -134,45 +136,18 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             pos = p * (n - 1)
             k = int(math.floor(pos))
             frac = pos - k
-            need = [k] + ([k + 1] if frac > 0 and k + 1 < n else [])
-            for r in need:
-                t = targets.setdefault((i, r), _Target(col=i, rank=r, inside=n))
-                if n > collect_bound and t.lo is None and t.inside != -1 and first[f"q{i}"] is not None:
-                    q = first[f"q{i}"]
-                    t.lo, t.hi = q[fracs.index(max(0.0, p - margin))], q[fracs.index(min(1.0, p + margin))]
-                    t.inside = -1          # to be verified
+            for r in [k] + ([k + 1] if frac > 0 and k + 1 < n else []):
+                targets.setdefault((i, r), _Target(col=i, rank=r, inside=n))
             plan[c].append((k, frac))
-
-    pending = [t for t in targets.values() if t.inside == -1]
-    if pending:
-        # pass 2: exact counts below / inside each approximate bracket
-        exprs = []
-        for j, t in enumerate(pending):
-            c = F.col(f"c{t.col}")
-            exprs += [F.sum((c.isNotNull() & (c < F.lit(t.lo))).cast("long")).alias(f"b{j}"),
-                      F.sum(_in_bracket(c, t.lo, t.hi).cast("long")).alias(f"i{j}")]
-        row = data.agg(*exprs).first()
-        for j, t in enumerate(pending):
-            below, inside = int(row[f"b{j}"] or 0), int(row[f"i{j}"] or 0)
-            if below <= t.rank < below + inside:
-                t.below, t.inside = below, inside
-                if t.lo == t.hi:
-                    t.value, t.done = t.lo, True
-            else:                           # outside the sketch guarantee: start from the full range
-                t.lo = t.hi = None
-                t.below, t.inside = 0, counts[t.col]
-
-    for _ in range(max_rounds):
+    while True:
         open_t = [t for t in targets.values() if not t.done]
-        if not open_t:
-            break
-        big = [t for t in open_t if t.inside > collect_bound]
+        room = collect_bound // max(1, len(open_t))
+        big = [t for t in open_t if t.inside > room]
         if not big:
             break
         _narrow(data, big, accuracy)
-    open_t = [t for t in targets.values() if not t.done]
     if open_t:
-        _resolve_by_collect(data, open_t, collect_bound)
+        _resolve_by_collect(data, open_t)
 
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
@@ -193,73 +168,60 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
 
 def _narrow(data: DataFrame, big: list[_Target], accuracy: int) -> None:
-    """One narrowing round for all targets whose bracket holds too many rows."""
-    approx_exprs, bounds = [], []
+    """One round for all targets whose bracket holds too many rows: one sketch pass, one exact count pass."""
+    approx_exprs = []
     for j, t in enumerate(big):
         c = F.col(f"c{t.col}")
-        m = t.inside
-        r = t.rank - t.below
+        m, r = t.inside, t.rank - t.below
         margin = t.widen * m / accuracy + 1
-        pl = max(0.0, (r - margin) / m)
-        ph = min(1.0, (r + margin + 1) / m)
-        bounds.append((pl, ph))
-        approx_exprs.append(F.percentile_approx(F.when(_in_bracket(c, t.lo, t.hi), c),
-                                                F.array(F.lit(pl), F.lit(ph)), accuracy).alias(f"a{j}"))
+        shares = F.array(F.lit(max(0.0, (r - margin) / m)), F.lit(min(1.0, (r + margin + 1) / m)))
+        approx_exprs.append(F.percentile_approx(F.when(_in_bracket(c, t.lo, t.hi), c), shares, accuracy).alias(f"a{j}"))
     approx = data.agg(*approx_exprs).first()
-    cand = [(approx[j][0], approx[j][1]) for j in range(len(big))]
-
-    count_exprs = []
+    exprs = []
     for j, t in enumerate(big):
-        c = F.col(f"c{t.col}")
-        nlo, nhi = cand[j]
-        old = _in_bracket(c, t.lo, t.hi)
-        count_exprs.append(F.sum((old & (c < F.lit(nlo))).cast("long")).alias(f"b{j}"))
-        count_exprs.append(F.sum(_in_bracket(c, nlo, nhi).cast("long")).alias(f"i{j}"))
-    row = data.agg(*count_exprs).first()
+        c = F.when(_in_bracket(F.col(f"c{t.col}"), t.lo, t.hi), F.col(f"c{t.col}"))
+        lo, hi = F.lit(approx[j][0]), F.lit(approx[j][1])
+        exprs += [F.count_if(c < lo).alias(f"b{j}"), F.count_if(c == lo).alias(f"l{j}"),
+                  F.count_if((c > lo) & (c < hi)).alias(f"m{j}"), F.count_if(c == hi).alias(f"h{j}")]
+    row = data.agg(*exprs).first()
     for j, t in enumerate(big):
-        nlo, nhi = cand[j]
-        new_below = t.below + int(row[f"b{j}"] or 0)
-        new_inside = int(row[f"i{j}"] or 0)
-        if not (new_below <= t.rank < new_below + new_inside):
-            # the sketch missed (outside its guarantee): keep the bracket, widen the margin
-            t.widen *= 4
-            continue
-        if nlo == nhi:
-            t.value, t.done = nlo, True
-            continue
-        if new_inside >= t.inside:
-            # no progress (heavy ties): grouped collect handles it, values are few
-            t.inside = min(t.inside, DEFAULT_COLLECT_BOUND)
-        else:
-            t.inside = new_inside
-        t.lo, t.hi, t.below = nlo, nhi, new_below
-
-
-def _resolve_by_collect(data: DataFrame, open_t: list[_Target], collect_bound: int) -> None:
-    """Fetch (value, count) inside each bracket, one scan for all targets."""
+        lo, hi = approx[j][0], approx[j][1]
+        below, at_lo, between = t.below + row[f"b{j}"], row[f"l{j}"], row[f"m{j}"]
+        at_hi = row[f"h{j}"] if hi > lo else 0
+        if t.rank < below:                                  # the sketch missed: the wanted row lies further down
+            t.hi, t.inside, t.widen = lo, below - t.below, t.widen * 4
+        elif t.rank < below + at_lo:
+            t.value, t.done = lo, True
+        elif t.rank < below + at_lo + between:
+            t.lo, t.hi, t.below, t.inside = lo, hi, below + at_lo, between
+        elif t.rank < below + at_lo + between + at_hi:
+            t.value, t.done = hi, True
+        else:                                               # or further up
+            gone = below + at_lo + between + at_hi
+            t.lo, t.inside, t.below, t.widen = hi, t.inside - (gone - t.below), gone, t.widen * 4
+
+
+def _resolve_by_collect(data: DataFrame, open_t: list[_Target]) -> None:
+    """Fetch (value, count) inside each bracket, one scan for all targets; only rows in some bracket are exploded."""
     brackets: dict[tuple, int] = {}
     for t in open_t:
         brackets.setdefault((t.col, t.lo, t.hi), len(brackets))
-    parts = []
+    parts, any_in = [], F.lit(False)
     for (ci, lo, hi), b in brackets.items():
         c = F.col(f"c{ci}")
-        parts.append(F.struct(F.lit(b).alias("b"), F.when(_in_bracket(c, lo, hi), c).alias("v")))
-    grouped = (data.select(F.explode(F.array(*parts)).alias("e")).select("e.b", "e.v")
-               .where(F.col("v").isNotNull()).groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")))
-    limit = collect_bound * len(brackets) + 1
-    rows = grouped.limit(limit).collect()
-    if len(rows) >= limit:
-        raise RuntimeError("quantile bracket holds too many distinct values to resolve exactly")
+        cond = _in_bracket(c, lo, hi)
+        any_in = any_in | cond
+        parts.append(F.when(cond, F.struct(F.lit(b).alias("b"), c.alias("v"))))
+    grouped = (data.where(any_in).select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("e"))
+               .select("e.b", "e.v").groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")))
     per: dict[int, list] = {}
-    for r in rows:
+    for r in grouped.collect():                             # at most collect_bound rows in all brackets
         per.setdefault(r["b"], []).append((r["v"], r["n"]))
     for vals in per.values():
         vals.sort()
     for t in open_t:
-        vals = per.get(brackets[(t.col, t.lo, t.hi)], [])
-        want = t.rank - t.below
-        acc = 0
-        for v, n in vals:
+        acc, want = 0, t.rank - t.below
+        for v, n in per.get(brackets[(t.col, t.lo, t.hi)], []):
             acc += n
             if acc > want:
                 t.value = v
@@ -271,20 +233,33 @@ def _resolve_by_collect(data: DataFrame, open_t: list[_Target], collect_bound: i
 # lookup joins
 # ----------------------------------------------------------------------------------------
 
-def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], map_rows: int | None = None,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salts: int = DEFAULT_SALTS,
-                salt_col: str | None = None) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """Approximate bytes of a table: string lengths plus 16 a value, one aggregate."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(name), F.lit(0)).cast("long")
+    return int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash over a row's plain columns: spreads rows without random numbers, so reruns deal them out alike."""
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "struct", "array", "vector", "binary", "variant"))]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], map_bytes: int | None = None,
+                max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, salts: int = DEFAULT_SALTS) -> DataFrame:
     """Left join ``df`` to a per-key map whose keys are unique.
 
-    A map of at most ``max_broadcast_rows`` rows (counted if not given) is broadcast.
-    Above that the join shuffles; the big side gets a salt in [0, salts) and the map
-    is replicated once per salt, so one hot key spreads over ``salts`` tasks.
+    A map of at most ``max_broadcast_bytes`` bytes (measured if not given) is broadcast. Above that the join shuffles;
+    the big side gets a salt in [0, salts) from a hash of its row and the map is replicated once per salt, so one hot
+    key spreads over ``salts`` tasks.
     """
-    if map_rows is None:
-        map_rows = lookup.count()
-    if map_rows <= max_broadcast_rows:
+    if map_bytes is None:
+        map_bytes = table_bytes(lookup)
+    if map_bytes <= max_broadcast_bytes:
         return df.join(F.broadcast(lookup), on=keys, how="left")
-    salt_src = F.col(salt_col) if salt_col else F.rand(17)
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(salt_src), F.lit(salts)).cast("int"))
+    left = df.withColumn("_salt", F.pmod(row_hash(df), F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, on=keys + ["_salt"], how="left").drop("_salt")

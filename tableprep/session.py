@@ -48,7 +48,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.sparkContext.master.split("[")[0] == "local"  # local-cluster has executors of its own
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
