@@ -13,19 +13,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, OneHotEncoder,
-                                StringIndexer, VectorAssembler, VectorSlicer)
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+                                VectorAssembler, VectorSlicer)
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.functions.text import concat_text, word_tokens
 from tableprep.operators import stats
-from tableprep.operators.features import apply_lookup, stats_checkpoint
+from tableprep.operators.features import apply_lookup, map_sizes, stats_checkpoint
 from tableprep.operators.profile import TEXT_MEAN_LENGTH, numeric_cols, string_cols, text_columns
 
-FEATURE_CAP = 1000
-
-
 def hash_bucket(id_col: str, buckets: int) -> Column:
     """Deterministic bucket of a row id: first 8 hex digits of md5(id) modulo ``buckets``
     (independent of partitioning, and reproducible in plain SQL)."""
@@ -37,19 +34,68 @@ def hash_bucket(id_col: str, buckets: int) -> Column:
 # categorical
 # ----------------------------------------------------------------------------------------
 
+class CategoryIndexer(Estimator):
+    """Sorted categories -> 0..k-1 as a distributed table (column number, value, index); no list reaches the driver.
+
+    ``unknown`` says what an unseen or null value gets: ``next`` the index k (all zeros after one-hot), ``minus_one`` -1,
+    ``error`` stops at an unseen value.
+    """
+
+    def __init__(self, cols: list[str], suffix: str = "_idx", unknown: str = "next"):
+        super().__init__()
+        if unknown not in ("next", "minus_one", "error"):
+            raise ValueError(f"unknown handling is next, minus_one or error, not {unknown}")
+        self.cols, self.suffix, self.unknown = cols, suffix, unknown
+
+    def _fit(self, df: DataFrame) -> "CategoryIndexerModel":
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("ci"), F.col(c).cast("string").alias("value")) for i, c in enumerate(self.cols)
+        ])).alias("e")).select("e.*").where(F.col("value").isNotNull()).distinct()
+        # range partitions are in order: an index is the rows of earlier partitions plus the place in the own one
+        parts = stats_checkpoint(long.repartitionByRange("ci", "value").withColumn("part", F.spark_partition_id()))
+        per = parts.groupBy("ci", "part").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("ci").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = per.select("ci", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        place = F.row_number().over(Window.partitionBy("ci", "part").orderBy("value")) - 1
+        table = stats_checkpoint(parts.withColumn("place", place).join(F.broadcast(starts), ["ci", "part"]).select(
+            "ci", "value", (F.col("start") + F.col("place")).cast("double").alias("idx")))
+        sizes = {r["ci"]: r["n"] for r in per.groupBy("ci").agg(F.sum("n").alias("n")).collect()}
+        return CategoryIndexerModel(self.cols, self.suffix, self.unknown, table,
+                                    [int(sizes.get(i, 0)) for i in range(len(self.cols))], map_sizes(table))
+
+
+class CategoryIndexerModel(Model):
+    def __init__(self, cols, suffix, unknown, table, sizes, map_bytes):
+        super().__init__()
+        self.cols, self.suffix, self.unknown = cols, suffix, unknown
+        self.table, self.sizes, self.map_bytes = table, sizes, map_bytes
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for i, c in enumerate(self.cols):
+            name, key = f"{c}{self.suffix}", f"_v_{c}"
+            right = self.table.where(F.col("ci") == i).select(F.col("value").alias(key), F.col("idx").alias(name))
+            out = stats.lookup_join(out.withColumn(key, F.col(c).cast("string")), right, [key], self.map_bytes.get(i, 0))
+            missing = F.lit(float(self.sizes[i]) if self.unknown == "next" else -1.0)
+            if self.unknown == "error":
+                text = F.concat(F.lit(f"category of {c} not seen in fitting: "), F.col(key))
+                missing = F.when(F.col(key).isNotNull(), F.raise_error(text).cast("double")).otherwise(missing)
+            kinds = {"ml_attr": {"type": "nominal", "name": name, "num_vals": self.sizes[i] + 1}}
+            keep = [x for x in out.columns if x not in (key, name)]
+            out = out.select(*keep, F.coalesce(F.col(name), missing).alias(name, metadata=kinds))
+        return out
+
+
 def onehot_stages(cols: list[str], drop_first: bool = False, suffix: str = "_oh"):
     """Sorted categories; an unseen or null value encodes as all zeros."""
-    idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_idx" for c in cols],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}{suffix}" for c in cols],
                         dropLast=True, handleInvalid="error")
-    return idx, ohe
+    return CategoryIndexer(cols), ohe
 
 
-def ordinal_indexer(cols: list[str]) -> StringIndexer:
-    """Sorted categories -> 0..k-1; an unseen value raises."""
-    return StringIndexer(inputCols=cols, outputCols=[f"{c}_ord" for c in cols],
-                         stringOrderType="alphabetAsc", handleInvalid="error")
+def ordinal_indexer(cols: list[str], unknown: str = "error") -> CategoryIndexer:
+    """Sorted categories -> 0..k-1; an unseen value raises unless ``unknown`` says otherwise."""
+    return CategoryIndexer(cols, "_ord", unknown)
 
 
 def target_means(df: DataFrame, cols: list[str], label: str, folds: int = 0, id_col: str | None = None) -> DataFrame:
@@ -85,7 +131,7 @@ class TargetEncoder(Estimator):
         full = stats_checkpoint(target_means(df, self.cols, self.label))
         oof = stats_checkpoint(target_means(df, self.cols, self.label, self.folds, self.id_col)) \
             if self.folds > 1 else None
-        sizes = {r["ci"]: r["n"] for r in full.groupBy("ci").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = map_sizes(full)
         return TargetEncoderModel(self.cols, self.suffix, full, oof, self.folds, self.id_col, sizes)
 
 
@@ -110,8 +156,8 @@ class TargetEncoderModel(Model):
         for i, c in enumerate(self.cols):
             m = self.oof.where(F.col("ci") == i).select(F.col("value").alias("_v"), F.col("fold").alias("_fold"),
                                                          F.col("mean").alias(f"{c}{self.suffix}"))
-            n = self.sizes.get(i, 0) * self.folds
-            out = stats.lookup_join(out.withColumn("_v", F.col(c).cast("string")), m, ["_v", "_fold"], map_rows=n)
+            size = self.sizes.get(i, 0) * self.folds
+            out = stats.lookup_join(out.withColumn("_v", F.col(c).cast("string")), m, ["_v", "_fold"], size)
             out = out.withColumn(f"{c}{self.suffix}", F.coalesce(F.col(f"{c}{self.suffix}"), F.lit(0.0))).drop("_v")
         return out.drop("_fold")
 
@@ -256,6 +302,19 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str, config: TfidfConfig
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
+def hashing_long(docs: DataFrame, id_col: str, text_col: str, num_features: int = 5000) -> DataFrame:
+    """Signed hashing vectorizer in long form (id, bucket, weight): a token's md5 picks its bucket and its sign, so two
+    tokens of one bucket tend to cancel rather than add up; rows are L2-normalised, empty buckets left out."""
+    t = with_terms(docs.select(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")), "terms", 1).select(id_col, "terms")
+    digest = F.md5(F.col("term"))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(num_features))
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
+    sums = t.select(id_col, explode_terms("terms")).where(F.col("term").isNotNull()).groupBy(
+        id_col, bucket.alias("bucket")).agg(F.sum(sign).alias("s")).where("s <> 0")
+    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy(id_col)))
+    return sums.select(id_col, "bucket", (F.col("s") / norm).alias("weight"))
+
+
 def hashing_stages(input_col: str, tokens_col: str, output_col: str, num_features: int = 5000):
     """Stateless: HashingTF over word tokens, then L2 norm (Spark's hash, unsigned)."""
     tf = HashingTF(numFeatures=num_features, inputCol=tokens_col, outputCol=f"{output_col}_raw")
@@ -274,7 +333,8 @@ class EncodingConfig:
     max_features: int = 5000
     ngrams: int = 2
     drop_first: bool = False
-    feature_cap: int = FEATURE_CAP
+    unknown: str = "ignore"                # unseen categories: ignore (zeros, or -1 for ordinal) or error
+    feature_cap: int | None = None         # keep only the first columns, if asked for
     label_col: str | None = None
     passthrough: tuple = ()
 
@@ -283,7 +343,7 @@ class Encoder(Estimator):
     """numeric block ++ categorical block ++ text block -> one ``features`` vector.
 
     Long-text columns (mean length > 20) go to the text block only, never one-hot.
-    Width is capped at ``feature_cap`` by slicing the first columns.
+    Vector columns (pair products) join the numeric block. The width is whole unless ``feature_cap`` is set.
     """
 
     def __init__(self, config: EncodingConfig | None = None, output_col: str = "features"):
@@ -293,26 +353,29 @@ class Encoder(Estimator):
     def _fit(self, df: DataFrame) -> "EncoderModel":
         cfg = self.config
         if cfg.categorical_method not in ("onehot", "ordinal", "target"):
-            raise ValueError(f"Unknown categorical method: {cfg.categorical_method}")
+            raise ValueError(f"categorical_method is onehot, ordinal or target, not {cfg.categorical_method}")
         if cfg.text_method not in ("tfidf", "hashing"):
-            raise ValueError(f"Unknown text method: {cfg.text_method}")
+            raise ValueError(f"text_method is tfidf or hashing, not {cfg.text_method}")
         skip = set(cfg.passthrough) | ({cfg.label_col} if cfg.label_col else set())
         num = numeric_cols(df, skip)
+        vectors = [f.name for f in df.schema.fields if isinstance(f.dataType, VectorUDT) and f.name not in skip]
         strs = string_cols(df, skip)
         text = [r["column_name"] for r in text_columns(df, strs, TEXT_MEAN_LENGTH).collect() if r["is_text"]] \
             if strs else []
         cat = [c for c in strs if c not in text]
-        stages, block = [], [f"{c}_num" for c in num]
+        stages, block = [], [f"{c}_num" for c in num] + vectors
         if cat:
             if cfg.categorical_method == "onehot":
-                stages += list(onehot_stages(cat))
+                idx, ohe = onehot_stages(cat)
+                idx.unknown = "error" if cfg.unknown == "error" else "next"
+                stages += [idx, ohe]
                 block += [f"{c}_oh" for c in cat]
             elif cfg.categorical_method == "ordinal":
-                stages.append(ordinal_indexer(cat))
+                stages.append(ordinal_indexer(cat, "error" if cfg.unknown == "error" else "minus_one"))
                 block += [f"{c}_ord" for c in cat]
             else:
                 if not cfg.label_col:
-                    raise ValueError("Target required for target encoding")
+                    raise ValueError("target encoding needs label_col")
                 stages.append(TargetEncoder(cat, cfg.label_col))
                 block += [f"{c}_te" for c in cat]
         prep = df.withColumns({f"{c}_num": F.col(c).cast("double") for c in num})
@@ -327,11 +390,11 @@ class Encoder(Estimator):
         fitted = Pipeline(stages=stages).fit(prep)
         slices = {}
         if cat and cfg.categorical_method == "onehot" and cfg.drop_first:
-            labels = fitted.stages[0].labelsArray      # the StringIndexerModel, sorted categories
-            slices = {f"{c}_oh": list(range(1, len(labels[i]))) for i, c in enumerate(cat)}
+            slices = {f"{c}_oh": list(range(1, n)) for c, n in zip(cat, fitted.stages[0].sizes)}
         model = EncoderModel(cfg, num, cat, text, fitted, self.output_col, None, block, slices)
-        width = model.transform(df.limit(1)).schema[self.output_col].metadata
-        model.width = width.get("ml_attr", {}).get("num_attrs")
+        # rows of vectors without size metadata (pair products) tell their width only by a row
+        first = model.transform(df.limit(1)).select(self.output_col).first()
+        model.width = len(first[0]) if first else 0
         return model
 
 
@@ -354,8 +417,7 @@ class EncoderModel(Model):
             out = VectorSlicer(inputCol=col, outputCol=f"{col}_df", indices=idx).transform(out)
             block[block.index(col)] = f"{col}_df"
         out = VectorAssembler(inputCols=block, outputCol="_assembled", handleInvalid="keep").transform(out)
-        size = out.schema["_assembled"].metadata.get("ml_attr", {}).get("num_attrs")
-        if size and size > self.config.feature_cap:
+        if self.config.feature_cap and (self.width or 0) > self.config.feature_cap:
             out = VectorSlicer(inputCol="_assembled", outputCol=self.output_col,
                                indices=list(range(self.config.feature_cap))).transform(out)
         else:

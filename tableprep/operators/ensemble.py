@@ -39,6 +39,8 @@ def _has_probability(model) -> bool:
 def weighted_average(preds: list[Column], weights: list[float] | None = None, classification: bool = False):
     """sum(w_i p_i) / sum(w); classes round half to even."""
     w = weights or [1.0] * len(preds)
+    if len(w) != len(preds):
+        raise ValueError(f"{len(preds)} models need as many weights, not {len(w)}")
     total = reduce(lambda a, b: a + b, [F.lit(float(x)) * p for x, p in zip(w, preds)]) / F.lit(float(sum(w)))
     return F.bround(total, 0) if classification else total
 
@@ -98,7 +100,7 @@ def build_ensemble(estimators: list, method: str, task: str, train: DataFrame, l
                    id_col: str | None = None, weights: list[float] | None = None, folds: int = 5) -> EnsembleModel:
     """Fit the base estimators (and the meta model for stacking) on ``train``."""
     if method not in METHODS:
-        raise ValueError("Unknown ensemble method")
+        raise ValueError(f"method is one of {METHODS}, not {method}")
     cls = task == "classification"
     if method == "none":
         return EnsembleModel([estimators[0].fit(train)], "none", task)

@@ -3,7 +3,7 @@ frequency encoding and date parts.
 
 All features are projections of the input row except frequency encoding, whose
 per-category shares are fitted with one aggregate job and applied with a lookup
-(a literal map when small, a size-checked broadcast join otherwise).
+(a broadcast join under a checked byte bound, a salted shuffle join beyond it).
 """
 
 from __future__ import annotations
@@ -12,34 +12,32 @@ import itertools
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.datetime import datetime_parts
 from tableprep.functions.text import as_text, text_length, unique_words, uppercase_ratio, word_count
 from tableprep.operators import stats
-from tableprep.operators.profile import numeric_cols, string_cols, timestamp_cols
+from tableprep.operators.profile import detect_text_columns, numeric_cols, string_cols, timestamp_cols
 
-MAX_NAMED_INTERACTION_INPUTS = 64        # 2,016 named pair columns
-MAX_INTERACTION_PAIRS = 500_000          # above this the request is refused
-LITERAL_MAP_ENTRIES = 10_000             # frequency maps up to this size are inlined in the plan
+def interaction_names(cols: list[str]) -> list[str]:
+    return [f"{a}_x_{b}" for a, b in itertools.combinations(cols, 2)]
 
 
 def interaction_columns(cols: list[str]) -> list[Column]:
     """Products of every pair i < j, named ``a_x_b``."""
-    if len(cols) > MAX_NAMED_INTERACTION_INPUTS:
-        raise ValueError(f"{len(cols)} inputs give too many named pairs; use interaction_array")
     return [(F.col(a) * F.col(b)).alias(f"{a}_x_{b}") for a, b in itertools.combinations(cols, 2)]
 
 
-def interaction_array(arr_col: str, width: int) -> Column:
+def interaction_array(arr_col: str | Column, width: int) -> Column:
     """Pair products of an array column as one array (i < j, row-major), for wide inputs.
 
     A single higher-order expression: the plan does not grow with the number of pairs.
     """
-    if width * (width - 1) // 2 > MAX_INTERACTION_PAIRS:
-        raise ValueError(f"{width} inputs give more than {MAX_INTERACTION_PAIRS} pairs")
-    a = F.col(arr_col)
+    a = F.col(arr_col) if isinstance(arr_col, str) else arr_col
+    if width < 2:
+        return F.array().cast("array<double>")
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 2)),
                                  lambda i: F.transform(F.sequence(i + 1, F.lit(width - 1)),
                                                        lambda j: F.element_at(a, i + 1) * F.element_at(a, j + 1))))
@@ -53,18 +51,21 @@ def _monomial_name(combo: tuple[str, ...]) -> str:
     return "_x_".join(parts)
 
 
+def _monomials(cols: list[str], degree: int, interaction_only: bool = False) -> list[tuple[str, ...]]:
+    pick = itertools.combinations if interaction_only else itertools.combinations_with_replacement
+    return [combo for d in range(2, degree + 1) for combo in pick(cols, d)]
+
+
+def _product(combo: tuple[str, ...]) -> Column:
+    expr = F.col(combo[0])
+    for c in combo[1:]:
+        expr = expr * F.col(c)
+    return expr
+
+
 def polynomial_columns(cols: list[str], degree: int, interaction_only: bool = False) -> list[Column]:
     """Monomials of total degree 2..degree (the degree-1 terms are the inputs themselves)."""
-    out = []
-    for d in range(2, degree + 1):
-        combos = (itertools.combinations(cols, d) if interaction_only
-                  else itertools.combinations_with_replacement(cols, d))
-        for combo in combos:
-            expr = F.col(combo[0])
-            for c in combo[1:]:
-                expr = expr * F.col(c)
-            out.append(expr.alias(_monomial_name(combo)))
-    return out
+    return [_product(c).alias(_monomial_name(c)) for c in _monomials(cols, degree, interaction_only)]
 
 
 def text_feature_columns(col: str) -> list[Column]:
@@ -87,21 +88,22 @@ def frequency_maps(df: DataFrame, cols: list[str]) -> DataFrame:
     return counts.join(F.broadcast(totals), "ci").select("ci", "value", (F.col("n") / F.col("total")).alias("freq"))
 
 
-def apply_lookup(df: DataFrame, col: str, lookup: DataFrame, out_col: str, n_entries: int,
-                 default: float = 0.0, value_col: str = "freq") -> DataFrame:
-    """Map ``col`` through a (value -> number) table; misses and nulls get ``default``."""
-    if n_entries <= LITERAL_MAP_ENTRIES:
-        pairs = lookup.select("value", value_col).collect()   # bounded by LITERAL_MAP_ENTRIES
-        if not pairs:
-            return df.withColumn(out_col, F.lit(default))
-        m = F.create_map(*[x for r in pairs for x in (F.lit(r["value"]), F.lit(float(r[value_col])))])
-        return df.withColumn(out_col, F.coalesce(m[F.col(col).cast("string")], F.lit(default)))
+def apply_lookup(df: DataFrame, col: str, lookup: DataFrame, out_col: str, map_bytes: int | None = None,
+                 default: float = 0.0, value_col: str = "freq", max_broadcast_bytes: int | None = None) -> DataFrame:
+    """Map ``col`` through a (value -> number) table by a join; misses and nulls get ``default``."""
     key = f"_k_{out_col}"
     right = lookup.select(F.col("value").alias(key), F.col(value_col).alias(out_col))
-    joined = stats.lookup_join(df.withColumn(key, F.col(col).cast("string")), right, [key], map_rows=n_entries)
+    limit = stats.DEFAULT_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
+    joined = stats.lookup_join(df.withColumn(key, F.col(col).cast("string")), right, [key], map_bytes, limit)
     return joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(default))).drop(key)
 
 
+def map_sizes(maps: DataFrame) -> dict[int, int]:
+    """Bytes of each column's lookup in a long map (ci, value, ...)."""
+    size = F.coalesce(F.octet_length("value"), F.lit(0)) + F.lit(16 * (len(maps.columns) - 1))
+    return {r["ci"]: int(r["n"]) for r in maps.groupBy("ci").agg(F.sum(size.cast("long")).alias("n")).collect()}
+
+
 @dataclass
 class FeatureEngineeringConfig:
     polynomial_degree: int = 1
@@ -114,6 +116,10 @@ class FeatureEngineeringConfig:
 
 
 class FeatureEngineer(Estimator):
+    """Numeric columns, polynomial terms, date parts, text statistics and category shares as columns; the products of all
+    pairs of numeric inputs as one vector column (``INTERACTIONS``), whatever their number. String columns are carried
+    along for the encoder. Long-text columns get no share of their whole text."""
+
     def __init__(self, config: FeatureEngineeringConfig | None = None):
         super().__init__()
         self.config = config or FeatureEngineeringConfig()
@@ -124,11 +130,13 @@ class FeatureEngineer(Estimator):
         num = numeric_cols(df, skip)
         cat = string_cols(df, skip)
         dts = timestamp_cols(df, skip)
+        long_text = set(detect_text_columns(df, cat)) if cat and cfg.frequency_encoding else set()
+        shared = [c for c in cat if c not in long_text]
         maps, sizes = None, {}
-        if cfg.frequency_encoding and cat:
-            maps = stats_checkpoint(frequency_maps(df, cat))
-            sizes = {r["ci"]: r["n"] for r in maps.groupBy("ci").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return FeatureEngineerModel(cfg, num, cat, dts, maps, sizes)
+        if cfg.frequency_encoding and shared:
+            maps = stats_checkpoint(frequency_maps(df, shared))
+            sizes = map_sizes(maps)
+        return FeatureEngineerModel(cfg, num, cat, dts, maps, sizes, shared)
 
 
 def stats_checkpoint(df: DataFrame) -> DataFrame:
@@ -137,39 +145,59 @@ def stats_checkpoint(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+INTERACTIONS = "pair_products"
+
+
 class FeatureEngineerModel(Model):
-    def __init__(self, config, num, cat, dts, maps, sizes):
+    def __init__(self, config, num, cat, dts, maps, sizes, shared):
         super().__init__()
-        self.config, self.num, self.cat, self.dts, self.maps, self.sizes = config, num, cat, dts, maps, sizes
+        self.config, self.num, self.cat, self.dts = config, num, cat, dts
+        self.maps, self.sizes, self.shared = maps, sizes, shared
+        pairs = interaction_names(num) if config.create_interactions and len(num) > 1 else []
+        polynomial = {_monomial_name(c) for c in _monomials(num, config.polynomial_degree, config.interaction_only)}
+        # a product that the polynomial terms already hold is not made twice
+        self.pair_names = pairs if not polynomial.issuperset(pairs) else []
+
+    def _names(self, wanted: list[str], taken: set[str]) -> list[str]:
+        """Derived names that no input column has: ``_1``, ``_2``, ... until unique."""
+        out = []
+        for n in wanted:
+            name, k = n, 0
+            while name in taken:
+                k += 1
+                name = f"{n}_{k}"
+            taken.add(name)
+            out.append(name)
+        return out
 
-    def output_columns(self) -> list[str]:
-        return [c for c in self._plan(None)[1]]
-
-    def _plan(self, df):
+    def _transform(self, df: DataFrame) -> DataFrame:
         cfg = self.config
-        passthrough = [c for c in cfg.passthrough if df is None or c in df.columns]
-        cols: list[Column] = [F.col(c) for c in passthrough] + [F.col(c) for c in self.num]
-        if cfg.polynomial_degree > 1:
-            cols += polynomial_columns(self.num, cfg.polynomial_degree, cfg.interaction_only)
-        if cfg.create_interactions and len(self.num) > 1:
-            cols += interaction_columns(self.num)
+        keep = [c for c in cfg.passthrough if c in df.columns] + self.num + self.cat
+        derived: list[tuple[str, Column]] = []
+        for combo in _monomials(self.num, cfg.polynomial_degree, cfg.interaction_only):
+            derived.append((_monomial_name(combo), _product(combo)))
+        if self.pair_names:
+            arr = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.num])
+            derived.append((INTERACTIONS, array_to_vector(interaction_array(arr, len(self.num)))))
+        parts = ("year", "month", "day", "weekday")
         if cfg.create_datetime_features:
-            for c in self.dts:
-                cols += datetime_parts(c)
+            derived += [(f"{c}_{p}", e) for c in self.dts for p, e in zip(parts, datetime_parts(c))]
+        texts = ("len", "word_count", "unique_words", "uppercase_ratio")
         if cfg.create_text_features:
-            for c in self.cat:
-                cols += text_feature_columns(c)
-        names = passthrough + list(self.num)
-        return cols, names
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        cfg = self.config
-        out = df
-        freq_cols = []
+            derived += [(f"{c}_{p}", e) for c in self.cat for p, e in zip(texts, text_feature_columns(c))]
+        names = self._names([n for n, _ in derived] + [f"{c}_freq" for c in self.shared], set(keep))
+        width = {"ml_attr": {"num_attrs": len(self.pair_names)}}
+        out = df.select(*keep, *[e.alias(n, metadata=width) if w == INTERACTIONS else e.alias(n)
+                                 for n, (w, e) in zip(names, derived)])
         if cfg.frequency_encoding and self.maps is not None:
-            for i, c in enumerate(self.cat):
+            for i, (c, name) in enumerate(zip(self.shared, names[len(derived):])):
                 m = self.maps.where(F.col("ci") == i).select("value", "freq")
-                out = apply_lookup(out, c, m, f"{c}_freq", self.sizes.get(i, 0))
-                freq_cols.append(f"{c}_freq")
-        cols, _ = self._plan(out)
-        return out.select(*cols, *[F.col(c) for c in freq_cols])
+                out = apply_lookup(out, c, m, name, self.sizes.get(i, 0))
+        return out
+
+    def named_pairs(self, df: DataFrame) -> DataFrame:
+        """The interaction vector spread into its named columns (for narrow tables)."""
+        if not self.pair_names:
+            return df
+        a = vector_to_array(INTERACTIONS)
+        return df.withColumns({n: a[i] for i, n in enumerate(self.pair_names)}).drop(INTERACTIONS)

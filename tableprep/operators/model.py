@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -51,28 +50,27 @@ def analyze(df: DataFrame, features_col: str = "features", is_sparse: bool = Fal
     return DataMeta(n, d, is_sparse, density)
 
 
+# The rule table (fixed values): sparse input, then width over 500, then rows below 1,000 and below 10,000, then the rest.
+RULES = (
+    ("LogisticRegression(sgd-log)", "LinearRegression(sgd)"),
+    ("LinearSVC(sgd-hinge)", "LinearRegression(sgd)"),
+    ("LogisticRegression", "LinearRegression"),
+    ("DecisionTreeClassifier(depth=10)", "RandomForestRegressor(100)"),
+    ("RandomForestClassifier(200)", "RandomForestRegressor(200)"),
+)
+
+
 def model_rule(n_samples: int, n_features: int, is_sparse: bool, task: str) -> str:
     """The rule table (classification / regression)."""
-    cls = task == "classification"
-    if is_sparse:
-        return "LogisticRegression(sgd-log)" if cls else "LinearRegression(sgd)"
-    if n_features > 500:
-        return "LinearSVC(sgd-hinge)" if cls else "LinearRegression(sgd)"
-    if n_samples < 1000:
-        return "LogisticRegression" if cls else "LinearRegression"
-    if n_samples < 10000:
-        return "DecisionTreeClassifier(depth=10)" if cls else "RandomForestRegressor(100)"
-    return "RandomForestClassifier(200)" if cls else "RandomForestRegressor(200)"
+    tests = (is_sparse, n_features > 500, n_samples < 1000, n_samples < 10000, True)
+    return RULES[tests.index(True)][0 if task == "classification" else 1]
 
 
 def model_rule_expr(n: Column, d: Column, sparse: Column, task: Column) -> Column:
     """The same rule table as a Column expression (for profiles computed on the cluster)."""
-    cls = task == F.lit("classification")
-    return (F.when(sparse, F.when(cls, "LogisticRegression(sgd-log)").otherwise("LinearRegression(sgd)"))
-            .when(d > 500, F.when(cls, "LinearSVC(sgd-hinge)").otherwise("LinearRegression(sgd)"))
-            .when(n < 1000, F.when(cls, "LogisticRegression").otherwise("LinearRegression"))
-            .when(n < 10000, F.when(cls, "DecisionTreeClassifier(depth=10)").otherwise("RandomForestRegressor(100)"))
-            .otherwise(F.when(cls, "RandomForestClassifier(200)").otherwise("RandomForestRegressor(200)")))
+    tests = (sparse, d > 500, n < 1000, n < 10000, F.lit(True))
+    picks = [F.when(t, F.when(task == F.lit("classification"), c).otherwise(r)) for t, (c, r) in zip(tests, RULES)]
+    return F.coalesce(*picks)
 
 
 def build_estimator(name: str, n_classes: int = 2, n_train: int = 1, features_col: str = "features",
@@ -128,16 +126,22 @@ def _checkpoint_dir() -> None:
 # ----------------------------------------------------------------------------------------
 
 def classification_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """One row: accuracy and support-weighted F1 (F1_c = 2 tp / (support_c + predicted_c))."""
-    conf = df.groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    sup = conf.groupBy(F.col("l").alias("c")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("predicted"))
-    tp = conf.where(F.col("l") == F.col("p")).select(F.col("l").alias("c"), F.col("n").alias("tp"))
-    per = sup.join(prd, "c", "full").join(tp, "c", "left").fillna(0, ["support", "predicted", "tp"])
-    f1 = F.when(F.col("support") + F.col("predicted") > 0,
-                2.0 * F.col("tp") / (F.col("support") + F.col("predicted"))).otherwise(F.lit(0.0))
-    return per.agg((F.sum("tp") / F.sum("support")).alias("accuracy"),
-                   (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1_weighted"))
+    """One row: accuracy and support-weighted F1 (F1_c = 2 tp / (support_c + predicted_c)).
+
+    The confusion counts are one aggregate; each count goes to its label's and its prediction's class in a second one.
+    """
+    kind = df.schema[label].dataType
+    conf = df.groupBy(F.col(label).alias("l"), F.col(pred).cast(kind).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("l").alias("c"), n.alias("support"), zero.alias("predicted"),
+                 F.when(F.col("l") == F.col("p"), n).otherwise(zero).alias("tp")),
+        F.struct(F.col("p").alias("c"), zero.alias("support"), n.alias("predicted"), zero.alias("tp")))
+    per = conf.select(F.explode(sides).alias("s")).select("s.*").groupBy("c").agg(
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+    f1 = 2.0 * F.col("tp") / (F.col("support") + F.col("predicted"))
+    return per.agg(F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
+                   F.try_divide(F.sum(f1 * F.col("support")), F.sum("support")).alias("f1_weighted"))
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -149,32 +153,37 @@ def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
                         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
 
 
+def higher_is_better(metric: str) -> bool:
+    return metric != "rmse"
+
+
 def score(df: DataFrame, task: str, label: str, pred: str = "prediction", metric: str = "auto") -> float:
-    """Selector metric: accuracy (or f1) for classes, RMSE (or r2) for regression."""
+    """Selector metric: accuracy (or f1) for classes, R^2 (or rmse) for regression. One aggregate row comes back."""
     if task == "classification":
-        # one pass over the predictions: confusion counts (at most classes^2 rows) to the driver
-        conf = df.groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-        n = sum(r["n"] for r in conf)
-        if n == 0:
-            return 0.0
-        sup, prd, tp = {}, {}, {}
-        for r in conf:
-            sup[r["l"]] = sup.get(r["l"], 0) + r["n"]
-            prd[r["p"]] = prd.get(r["p"], 0) + r["n"]
-            if r["l"] == r["p"]:
-                tp[r["l"]] = r["n"]
-        if metric == "f1":
-            return float(sum(2.0 * tp.get(c, 0) / (s + prd.get(c, 0)) * s for c, s in sup.items()) / n)
-        return float(sum(tp.values()) / n)
-    row = regression_metrics(df, label, pred).first()
-    return float(row["r2"] if metric == "r2" else row["rmse"])
+        row = classification_metrics(df, label, pred).first()
+        value = row["f1_weighted"] if metric == "f1" else row["accuracy"]
+    else:
+        row = regression_metrics(df, label, pred).first()
+        value = row["rmse"] if metric == "rmse" else row["r2"]
+    return float(value) if value is not None else 0.0
 
 
 def index_label(df: DataFrame, label: str, out: str = "label_idx"):
-    """Classes -> 0..k-1 in sorted order (MLlib classifiers need numeric labels)."""
-    model = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc").fit(
-        df.withColumn(label, F.col(label).cast("string")))
-    return model, model.transform(df.withColumn(label, F.col(label).cast("string")))
+    """Classes -> 0..k-1 in sorted order (MLlib classifiers need numeric labels); fit it on all labelled rows, so that a
+    class found only in the test split has its number too."""
+    from tableprep.operators.encode import CategoryIndexer
+    model = CategoryIndexer([label], "_no", "minus_one").fit(df.where(F.col(label).isNotNull()))
+    return model, index_with(model, df, label, out)
+
+
+def index_with(model, df: DataFrame, label: str, out: str) -> DataFrame:
+    """Apply a fitted label index to ``label``, writing ``out``."""
+    source = f"_class_of_{label}"
+    named = df.withColumn(source, F.col(label).cast("string"))
+    mapped = type(model)([source], "_no", model.unknown, model.table, model.sizes, model.map_bytes).transform(named)
+    mapped = mapped.drop(source, *([out] if out != label and out in df.columns else [])).withColumnRenamed(f"{source}_no", out)
+    classes = {"ml_attr": {"type": "nominal", "name": out, "num_vals": model.sizes[0]}}
+    return mapped.withMetadata(out, classes)
 
 
 @dataclass

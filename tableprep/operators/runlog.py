@@ -42,7 +42,7 @@ def stage_scores(log: DataFrame, task_col: str | None = None, metric: str = "aut
     w = Window.partitionBy("run_id").orderBy("stage_idx")
     val, tr = F.col("val_score"), F.col("train_score")
     task = F.col(task_col) if task_col else F.lit("classification")
-    remembered = F.when((task == "regression") & F.lit(metric != "r2"), -val).otherwise(val)
+    remembered = F.when((task == "regression") & F.lit(metric == "rmse"), -val).otherwise(val)
     prev = F.coalesce(F.lag(remembered, 1).over(w), F.lit(0.0))
     raw = (val + F.lit(IMPROVEMENT_WEIGHT) * (val - prev)
            - F.lit(OVERFIT_WEIGHT) * F.greatest(F.lit(0.0), tr - val)

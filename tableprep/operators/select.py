@@ -3,7 +3,7 @@ statistic, model importance, or none. The fitted model is a ``VectorSlicer``.
 
 Per-feature statistics are computed with one distributed aggregate each
 (``Summarizer``/``Correlation``, tree-aggregated), so the driver only sees d-long
-vectors, a d x d correlation matrix, or one d-vector per class (< 20 classes).
+vectors or a d x d correlation matrix.
 """
 
 from __future__ import annotations
@@ -43,26 +43,24 @@ def population_variances(df: DataFrame, col: str) -> np.ndarray:
 def max_abs_corr_with_earlier(df: DataFrame, col: str) -> list[float | None]:
     """For feature j: max |r(i, j)| over i < j, NaN pairs (constant columns) ignored."""
     m = Correlation.corr(df.select(col), col, "pearson").first()[0].toArray()
-    out = []
-    for j in range(m.shape[0]):
-        vals = [abs(m[i, j]) for i in range(j) if not math.isnan(m[i, j])]
-        out.append(max(vals) if vals else None)
-    return out
+    earlier = np.where(np.triu(np.ones(m.shape, bool), 1) & ~np.isnan(m), np.abs(m), -1.0).max(axis=0)
+    return [None if v < 0 else float(v) for v in earlier]
 
 
 def anova_f(df: DataFrame, col: str, label: str) -> list[float | None]:
     """One-way ANOVA F per feature from per-class means and variances (one grouped job)."""
-    rows = (df.groupBy(label).agg(Summarizer.metrics("mean", "variance", "count")
-                                  .summary(F.col(col)).alias("s")).collect())
-    k = len(rows)
-    ns = np.array([r["s"]["count"] for r in rows], dtype=float)
-    means = np.array([r["s"]["mean"].toArray() for r in rows])
-    vars_ = np.array([r["s"]["variance"].toArray() if r["s"]["count"] > 1 else np.zeros(means.shape[1])
-                      for r in rows])
-    n = ns.sum()
-    grand = (means * ns[:, None]).sum(axis=0) / n
-    ssb = (ns[:, None] * (means - grand) ** 2).sum(axis=0)
-    ssw = ((ns - 1)[:, None] * vars_).sum(axis=0)
+    per = df.groupBy(label).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col(col)).alias("s"))
+    per = per.select(F.col("s.count").alias("n"), vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v"))
+    # over the classes: vectors of n m, n m^2 and (n - 1) v, summed element by element (one row comes back)
+    n = F.col("n").cast("double")
+    parts = per.select("n", array_to_vector(F.transform("m", lambda x: x * n)).alias("nm"),
+                       array_to_vector(F.transform("m", lambda x: x * x * n)).alias("nmm"),
+                       array_to_vector(F.transform("v", lambda x: F.when(n > 1, x * (n - 1)).otherwise(0.0))).alias("nv"))
+    row = parts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), *[
+        Summarizer.metrics("sum").summary(F.col(c)).alias(c) for c in ("nm", "nmm", "nv")]).first()
+    k, n = row["k"], float(row["n"])
+    nm, nmm, ssw = (row[c]["sum"].toArray() for c in ("nm", "nmm", "nv"))
+    ssb = np.maximum(nmm - nm * nm / n, 0.0)
     out = []
     for b, w in zip(ssb, ssw):
         msb, msw = b / (k - 1) if k > 1 else float("nan"), w / (n - k) if n > k else float("nan")

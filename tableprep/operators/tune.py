@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableprep.operators.model import build_estimator, train_and_score
+from tableprep.operators.model import build_estimator, higher_is_better, train_and_score
 
 # Fixed parameter spaces of the search (None depth = unlimited).
 PARAM_SPACES = {
@@ -58,36 +58,52 @@ class TuningConfig:
     parallelism: int = 4
 
 
+@dataclass
+class Trial:
+    number: int
+    params: dict
+    val_score: float | None = None
+    train_score: float | None = None
+    seconds: float = 0.0
+    model: object = None
+    error: str | None = None
+
+
 @dataclass
 class TuneResult:
     best: object
     best_params: dict
     best_score: float
-    trials: list        # (trial, params, val_score, train_score, seconds)
+    trials: list          # Trial, in order
+    ranked: list          # the trials that did not fail, best first
 
 
 def tune(name: str, train: DataFrame, test: DataFrame, task: str, label: str, n_classes: int, n_train: int,
          features_col: str = "features", config: TuningConfig | None = None) -> TuneResult:
+    """Fit every trial; one that fails is kept with its error, and only if all fail is the first error raised."""
     cfg = config or TuningConfig()
-    trials = sample_trials(space_for(name), cfg.n_trials, cfg.seed)
-    higher = task == "classification" or cfg.metric == "r2"
+    sign = 1.0 if higher_is_better(cfg.metric) else -1.0
+    errors: dict[int, Exception] = {}
 
-    def run(i_params):
+    def run(i_params) -> Trial:
         i, params = i_params
-        est = build_estimator(name, n_classes, n_train, features_col, label, cfg.seed, **params)
-        return i, params, train_and_score(est, name, train, test, task, label, cfg.metric)
-
+        try:
+            est = build_estimator(name, n_classes, n_train, features_col, label, cfg.seed, **params)
+            got = train_and_score(est, name, train, test, task, label, cfg.metric)
+        except Exception as e:  # noqa: BLE001 - a trial may fail in any way; the others go on
+            errors[i] = e
+            return Trial(i, params, error=f"{type(e).__name__}: {e}"[:500])
+        return Trial(i, params, got.val_score, got.train_score, got.seconds, got.model)
+
+    draws = sample_trials(space_for(name), cfg.n_trials, cfg.seed)
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
-        results = sorted(pool.map(run, list(enumerate(trials))), key=lambda r: r[0])
-    best = None
-    for i, params, res in results:
-        s = res.val_score if higher else -res.val_score
-        if best is None or s > best[0]:          # first trial wins ties
-            best = (s, i, params, res)
-    rows = [(i, params, r.val_score, r.train_score, r.seconds) for i, params, r in results]
-    return TuneResult(best[3].model, best[2], best[3].val_score, rows)
+        trials = sorted(pool.map(run, list(enumerate(draws))), key=lambda t: t.number)
+    ranked = sorted((t for t in trials if t.error is None), key=lambda t: (-sign * t.val_score, t.number))
+    if not ranked:
+        raise errors[min(errors)]
+    return TuneResult(ranked[0].model, ranked[0].params, ranked[0].val_score, trials, ranked)
 
 
 def trials_frame(spark: SparkSession, result: TuneResult) -> DataFrame:
-    rows = [(i, str(sorted(p.items())), float(v), float(t)) for i, p, v, t, _ in result.trials]
-    return spark.createDataFrame(rows, "trial int, params string, val_score double, train_score double")
+    rows = [(t.number, str(sorted(t.params.items())), t.val_score, t.train_score, t.error) for t in result.trials]
+    return spark.createDataFrame(rows, "trial int, params string, val_score double, train_score double, error string")

@@ -53,11 +53,13 @@ def test_tfidf_idf_formula(spark):
     assert abs(idf["bb"] - (math.log(3 / 2) + 1)) < 1e-12
 
 
-def test_polynomial_and_interactions_names(spark):
-    df = spark.createDataFrame([(2.0, 3.0)], "a double, b double")
-    out = df.select(*FE.polynomial_columns(["a", "b"], 2), *FE.interaction_columns(["a", "b"]))
-    assert out.columns == ["a_pow2", "a_x_b", "b_pow2", "a_x_b"]
-    assert list(out.first()) == [4.0, 6.0, 9.0, 6.0]
+def test_polynomial_and_interactions_have_unique_names(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, 9.0, "u")], "id long, a double, b double, a_pow2 double, c string")
+    cfg = FE.FeatureEngineeringConfig(polynomial_degree=2, passthrough=("id",))
+    out = FE.FeatureEngineer(cfg).fit(df).transform(df)
+    assert len(set(out.columns)) == len(out.columns)
+    row = out.first()
+    assert row["a_x_b"] == 6.0 and row["a_pow2"] == 9.0 and row["a_pow2_1"] == 4.0 and row["c"] == "u"
 
 
 def test_interaction_array_matches_named(spark):
