@@ -103,9 +103,12 @@ ORACLE["iqr_clip"] = (
         r6(f"greatest(least({c}, {c}_3 + 1.5 * ({c}_3 - {c}_1)), {c}_1 - 1.5 * ({c}_3 - {c}_1))") + f" AS {c}"
         for c in _LN) + "\nFROM lineitem, q")
 
-ORACLE["drop_high_missing"] = f"WITH {v('dirty_orders')}\n" + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column_name, {r6(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS null_ratio, "
-    f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) > 0.4 AS dropped FROM dirty_orders" for c in _DIRTY_COLS)
+ORACLE["drop_high_missing"] = f"""
+WITH {v('dirty_orders')}
+SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} AS o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority
+FROM dirty_orders
+"""
 
 ORACLE["dedup_keep_first"] = f"""
 WITH {v('dup_events')}
@@ -125,8 +128,8 @@ FROM conversations
 """
 
 ORACLE["clean_string_map"] = f"""
-SELECT conv_id, role, {clean_text_sql('text')} AS text_clean FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations) WHERE rn = 1
+SELECT conv_id, CAST(floor(turn / 16) AS BIGINT) AS chunk, CAST(turn AS VARCHAR) AS turn,
+       {clean_text_sql('text')} AS text_clean FROM conversations
 """
 
 ORACLE["rename_columns"] = """
@@ -420,3 +423,53 @@ SELECT run_id, count(*) AS n_stages, {r6('least(greatest(avg(score), 0.0), 1.0)'
        least(greatest(avg(score), 0.0), 1.0) >= 0.5 AS success, {r6('count(*) / 8.0')} AS progress
 FROM sc GROUP BY run_id
 """
+
+ORACLE["frequency_encode_salted"] = """
+WITH n AS (SELECT l_orderkey, count(*) / (SELECT count(*) FROM lineitem) AS f FROM lineitem GROUP BY l_orderkey)
+SELECT l.l_orderkey, l_linenumber, l_partkey, round(f, 9) AS l_orderkey_freq
+FROM lineitem l JOIN n ON l.l_orderkey = n.l_orderkey
+"""
+
+_MISS = {"o_orderkey": "o_orderkey IS NULL", "o_orderpriority": "o_orderpriority IS NULL",
+         "price": "price IS NULL OR isnan(price)", "placed": "placed IS NULL"}
+ORACLE["nan_null_ratio"] = f"WITH {v('nan_orders')}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, {r6(f'avg(CASE WHEN {m} THEN 1.0 ELSE 0.0 END)')} AS null_ratio FROM nan_orders"
+    for c, m in _MISS.items())
+ORACLE["nan_profile"] = f"""
+WITH {v('nan_orders')}
+SELECT count(*) AS n_samples, CAST(3 AS BIGINT) AS n_features,
+       CAST(sum(CASE WHEN price IS NULL OR isnan(price) THEN 1 ELSE 0 END)
+            + sum(CASE WHEN placed IS NULL THEN 1 ELSE 0 END)
+            + sum(CASE WHEN o_orderpriority IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_values
+FROM nan_orders
+"""
+ORACLE["nan_fill"] = f"""
+WITH {v('nan_orders')},
+p AS (SELECT o_orderkey, CASE WHEN isnan(price) THEN NULL ELSE price END AS price, placed FROM nan_orders),
+d AS (SELECT placed FROM p WHERE placed IS NOT NULL GROUP BY placed ORDER BY count(*) DESC, placed LIMIT 1),
+f AS (SELECT o_orderkey, coalesce(price, (SELECT median(price) FROM p)) AS price,
+             coalesce(placed, (SELECT placed FROM d)) AS placed FROM p),
+q AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM f)
+SELECT o_orderkey, {r6('greatest(least(price, q3 + 1.5 * (q3 - q1)), q1 - 1.5 * (q3 - q1))')} AS price,
+       strftime(placed, '%Y-%m-%d') AS placed
+FROM f, q
+"""
+_RATE = """
+SELECT o_orderpriority, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS rate
+FROM orders GROUP BY o_orderpriority
+"""
+ORACLE["logistic_fit"] = _RATE
+ORACLE["tree_fit"] = ("SELECT o_orderpriority, count(*) AS n, CAST(CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 2 AS "
+                      "DOUBLE) AS rate FROM orders GROUP BY o_orderpriority")
+ORACLE["forest_fit"] = ORACLE["gbt_fit"] = ("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders "
+    "GROUP BY o_orderpriority")
+
+ORACLE["hashing_tf"] = f"""
+WITH {_CLEAN_DOCS},
+tk AS (SELECT doc_id, {tokens_re_sql('text')} AS t FROM cd),
+occ AS (SELECT doc_id, md5(term) AS h FROM (SELECT doc_id, unnest({terms_from_tokens_sql('t', 1)}) AS term FROM tk)),
+s AS (SELECT doc_id, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 5000 AS bucket,
+             sum(CASE WHEN CAST(('0x' || substr(h, 9, 1)) AS BIGINT) >= 8 THEN -1.0 ELSE 1.0 END) AS s FROM occ GROUP BY 1, 2)
+SELECT doc_id, bucket, {r6('CAST(s AS DOUBLE) / sqrt(sum(CAST(s * s AS DOUBLE)) OVER (PARTITION BY doc_id))')} AS weight
+FROM s WHERE s <> 0
+"""

@@ -27,6 +27,7 @@ from tableprep.operators import tune as T
 from tableprep.operators.profile import infer_task
 from tableprep.operators.runlog import report_frame, stage_scores
 from tableprep.session import cut_lineage
+from tableprep.sources.files import Dataset
 
 STAGES = ("cleaning", "engineering", "encoding", "scaling", "selection", "model_select", "tuning", "ensemble")
 
@@ -41,8 +42,10 @@ class PipelineConfig:
     tuning: T.TuningConfig = field(default_factory=T.TuningConfig)
     ensemble_method: str = "voting"
     ensemble_top: int = 1          # best trials combined by the ensemble
+    ensemble_weights: list | None = None
     test_percent: int = 20
-    metric: str = "auto"
+    metric: str = "auto"           # accuracy or f1 for classes, r2 (auto) or rmse for numbers; ranks trials too
+    model_name: str | None = None  # a rule-table name to use instead of the rule's choice
 
 
 @dataclass
@@ -55,57 +58,88 @@ class PipelineResult:
     label_model: object = None    # StringIndexerModel: class index -> label (classification)
 
 
+def _renamed(names: dict[str, str], wanted) -> tuple:
+    return tuple(names.get(c, c) for c in wanted)
+
+
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """A deterministic id for tables that have none: a hash of the row and, among equal rows, their running number."""
+    from pyspark.sql import Window
+
+    from tableprep.operators.stats import row_hash
+    h = row_hash(df)
+    twin = F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(0)))
+    return df.withColumn("_h", h).withColumn(name, F.xxhash64("_h", twin)).drop("_h")
+
+
+def run(dataset: Dataset, config: "PipelineConfig | None" = None, run_id: str = "run") -> "PipelineResult":
+    """From a routed file to a finished run: adds a row id and takes the pipeline of the dataset's modality."""
+    df = with_row_id(dataset.df)
+    if dataset.modality == "text":
+        return run_text_pipeline(df, "text", "row_id", run_id=run_id)
+    return run_pipeline(df, dataset.label_col, "row_id", config, run_id)
+
+
 def run_pipeline(df: DataFrame, label_col: str, id_col: str, config: PipelineConfig | None = None,
                  run_id: str = "run") -> PipelineResult:
     cfg = config or PipelineConfig()
     spark = df.sparkSession
+    # standard names once, at the start: the label, the id and the configured names follow their columns
+    names = dict(zip(df.columns, C.standardize_names(df.columns)))
+    df = df.toDF(*names.values())
+    label_col, id_col = names[label_col], names[id_col]
+    id_cols = _renamed(names, cfg.cleaning.id_cols)
     task = infer_task(df, label_col)
     if task == "text":
         raise ValueError("no label: text-only runs have nothing to score")
-    train_raw, test_raw = M.hash_split(df, id_col, cfg.test_percent)
+    df = df.where(F.col(label_col).isNotNull())
+    metric = cfg.metric
     log, reports, fitted = [], {}, []
 
     def record(stage, val, tr, secs, width, name):
         log.append((run_id, len(log) + 1, stage, float(val), float(tr), float(secs), int(width), name))
 
-    # labels: classes indexed 0..k-1 (sorted) on the train split
-    work_label = label_col
-    n_classes = 0
-    idx_model = None
+    # classes indexed 0..k-1 (sorted) over all labels, so that one found only in the test split has a number
+    work_label, n_classes, idx_model = label_col, 0, None
     if task == "classification":
-        idx_model, _ = M.index_label(train_raw, label_col, "label_idx")
-        n_classes = len(idx_model.labels)
-        train_raw, test_raw = idx_model.transform(_str(train_raw, label_col)), idx_model.transform(
-            _str(test_raw, label_col))
         work_label = "label_idx"
-    keep = (id_col, label_col, work_label)
+        while work_label in df.columns:
+            work_label = "_" + work_label
+        idx_model, df = M.index_label(df, label_col, work_label)
+        n_classes = idx_model.sizes[0]
+    train_raw, test_raw = M.hash_split(df, id_col, cfg.test_percent)
+    keep = tuple(dict.fromkeys((id_col, label_col, work_label, *id_cols)))
 
     t0 = time.time()
-    ccfg = _replace(cfg.cleaning, row_id_col=id_col, label_col=label_col,
-                    id_cols=tuple(c for c in keep if c != id_col))
+    ccfg = _replace(cfg.cleaning, row_id_col=id_col, label_col=label_col, id_cols=tuple(c for c in keep if c != id_col))
     cleaner = C.DataCleaner(ccfg).fit(train_raw)
-    train, test = cleaner.transform(train_raw), cleaner.without_dedup().transform(test_raw)
+    train, test = cut_lineage(cleaner.transform(train_raw)), cleaner.without_dedup().transform(test_raw)
     fitted.append(cleaner.without_dedup())
-    reports["cleaning"] = cleaner.report
-    record("cleaning", 0.5, 0.5, time.time() - t0, len(train.columns) - len(set(keep)), "none")
+    rows_clean = train.count()
+    reports["cleaning"] = cleaner.report | {
+        "shape_before": [cleaner.report["n_rows"], len(df.columns) - len(keep)],
+        "shape_after": [rows_clean, len(train.columns) - len(keep)],
+        "rows_removed": cleaner.report["n_rows"] - rows_clean}
+    record("cleaning", 0.5, 0.5, time.time() - t0, len(train.columns) - len(keep), "none")
 
     t0 = time.time()
-    fe = FE.FeatureEngineer(_replace(cfg.engineering, passthrough=tuple(dict.fromkeys(keep)))).fit(train)
+    fe = FE.FeatureEngineer(_replace(cfg.engineering, passthrough=keep)).fit(train)
     train, test = fe.transform(train), fe.transform(test)
     fitted.append(fe)
-    record("engineering", 0.5, 0.5, time.time() - t0, len(train.columns) - len(set(keep)), "none")
+    reports["engineering"] = {"pair_products": len(fe.pair_names), "columns": len(train.columns) - len(keep)}
+    record("engineering", 0.5, 0.5, time.time() - t0, len(train.columns) - len(keep) + max(0, len(fe.pair_names) - 1), "none")
 
     t0 = time.time()
-    enc_cfg = cfg.encoding
-    n_cols = len(train.columns) - len(set(keep))
-    if wide_guard(cleaner.report.get("n_rows", 0), n_cols):
-        enc_cfg = _replace(enc_cfg, categorical_method="ordinal")
-    reports["encoding"] = {"categorical_method": enc_cfg.categorical_method, "input_columns": n_cols}
-    enc = E.Encoder(_replace(enc_cfg, label_col=work_label,
-                             passthrough=tuple(c for c in dict.fromkeys(keep) if c != work_label))).fit(train)
+    enc = E.Encoder(_replace(cfg.encoding, label_col=work_label,
+                             passthrough=tuple(c for c in keep if c != work_label))).fit(train)
+    leaked = {label_col, work_label, id_col} & {*enc.num, *enc.cat, *enc.text}
+    if leaked:
+        raise AssertionError(f"label or id among the features: {sorted(leaked)}")
     train, test = enc.transform(train), enc.transform(test)
     fitted.append(enc)
     sparse = bool(enc.text)
+    reports["encoding"] = {"categorical_method": cfg.encoding.categorical_method, "categorical_cols": enc.cat,
+                           "text_cols": enc.text, "width": enc.width}
     record("encoding", 0.5, 0.5, time.time() - t0, enc.width or 0, "none")
 
     t0 = time.time()
@@ -121,54 +155,56 @@ def run_pipeline(df: DataFrame, label_col: str, id_col: str, config: PipelineCon
     width = len(sel.indices)
     record("selection", 0.5, 0.5, time.time() - t0, width, "none")
 
-    cols = [c for c in dict.fromkeys([id_col, work_label, "x"])]
+    cols = [id_col, work_label, "x"]
     train = cut_lineage(train.select(*cols))
     test = cut_lineage(test.select(*cols))
 
     t0 = time.time()
     meta = M.analyze(train, "x", sparse)
-    name = M.model_rule(meta.n_samples, meta.n_features, meta.is_sparse, task)
+    name = cfg.model_name or M.model_rule(meta.n_samples, meta.n_features, meta.is_sparse, task)
     est = M.build_estimator(name, n_classes, meta.n_samples, "x", work_label)
-    res = M.train_and_score(est, name, train, test, task, work_label, cfg.metric)
+    res = M.train_and_score(est, name, train, test, task, work_label, metric)
     reports["model_select"] = {"selected_model": name, "n_samples": meta.n_samples, "n_features": meta.n_features,
                                "is_sparse": meta.is_sparse, "density": meta.density, "score": res.val_score}
     record("model_select", res.val_score, res.train_score, time.time() - t0, width, name)
 
     t0 = time.time()
-    tuned = T.tune(name, train, test, task, work_label, n_classes, meta.n_samples, "x", cfg.tuning)
-    best_trial = max(tuned.trials, key=lambda r: (r[2] if task == "classification" else -r[2], -r[0]))
-    reports["tuning"] = {"best_params": tuned.best_params, "best_score": tuned.best_score,
-                         "trials": len(tuned.trials)}
-    record("tuning", tuned.best_score, best_trial[3], time.time() - t0, width, name)
+    tuned = T.tune(name, train, test, task, work_label, n_classes, meta.n_samples, "x",
+                   _replace(cfg.tuning, metric=metric))
+    reports["tuning"] = {"best_params": tuned.best_params, "best_score": tuned.best_score, "trials": len(tuned.trials),
+                         "failed": [t.error for t in tuned.trials if t.error]}
+    record("tuning", tuned.best_score, tuned.ranked[0].train_score, time.time() - t0, width, name)
 
     t0 = time.time()
-    ranked = sorted(tuned.trials, key=lambda r: (-(r[2] if task == "classification" else -r[2]), r[0]))
-    picks = [M.build_estimator(name, n_classes, meta.n_samples, "x", work_label, **p)
-             for _, p, _, _, _ in ranked[:max(1, cfg.ensemble_top)]]
-    ens = ENS.build_ensemble(picks, cfg.ensemble_method, task, train, work_label, id_col)
-    val = M.score(ens.transform(test), task, work_label, "prediction", cfg.metric)
-    tr = M.score(ens.transform(train), task, work_label, "prediction", cfg.metric)
+    picks = tuned.ranked[:max(1, cfg.ensemble_top)]
+    if cfg.ensemble_method == "stacking":
+        ens = ENS.build_ensemble([M.build_estimator(name, n_classes, meta.n_samples, "x", work_label, **t.params)
+                                  for t in picks], "stacking", task, train, work_label, id_col)
+    else:  # the trials' models are fitted already
+        ens = ENS.EnsembleModel([t.model for t in picks], cfg.ensemble_method, task, weights=cfg.ensemble_weights)
+    if len(picks) == 1 and cfg.ensemble_method != "stacking":
+        val, tr = picks[0].val_score, picks[0].train_score
+    else:
+        val = M.score(ens.transform(test), task, work_label, "prediction", metric)
+        tr = M.score(ens.transform(train), task, work_label, "prediction", metric)
     reports["ensemble"] = {"method": cfg.ensemble_method, "n_models": len(picks), "score": val}
     record("ensemble", val, tr, time.time() - t0, width, name)
     fitted.append(_SelectFeatures(id_col, work_label))
     fitted.append(ens)
 
-    log_df = spark.createDataFrame(log, "run_id string, stage_idx int, stage string, val_score double, "
-                                        "train_score double, seconds double, n_features int, model_name string")
-    scored = stage_scores(log_df.withColumn("task", F.lit(task)), "task", cfg.metric)
+    log_df = spark.createDataFrame(log, LOG_SCHEMA)
+    scored = stage_scores(log_df.withColumn("task", F.lit(task)), "task", metric)
     return PipelineResult(PipelineModel(stages=fitted), task, scored, report_frame(spark, run_id, reports),
-                          ens.transform(test), idx_model if task == "classification" else None)
+                          ens.transform(test), idx_model)
 
 
-def wide_guard(n_rows: int, n_cols: int, limit_gib: float = 1.0, max_cols: int = 1000) -> bool:
-    """Dense size estimate rows x cols x 8 bytes over the limit, or too many columns: one-hot
-    would explode, so categories are encoded as ordinals instead."""
-    return n_rows * n_cols * 8 / 1024 ** 3 > limit_gib or n_cols > max_cols
+LOG_SCHEMA = ("run_id string, stage_idx int, stage string, val_score double, train_score double, seconds double, "
+              "n_features int, model_name string")
 
 
 def run_text_pipeline(df: DataFrame, text_col: str, id_col: str, label_col: str | None = None,
                       max_features: int = 1000, run_id: str = "text",
-                      cleaning: C.CleaningConfig | None = None) -> PipelineResult:
+                      cleaning: C.CleaningConfig | None = None, ensemble_top: int = 3) -> PipelineResult:
     """Four stages for a text table: cleaning -> TF-IDF model choice -> tuning -> ensemble.
 
     Without labels the run is unsupervised: the vectorizer is the model and every stage
@@ -194,7 +230,7 @@ def run_text_pipeline(df: DataFrame, text_col: str, id_col: str, label_col: str
     work_label, n_classes = label_col, 0
     if label_col is not None and task == "classification":
         idx, clean_df = M.index_label(clean_df, label_col, "label_idx")
-        work_label, n_classes = "label_idx", len(idx.labels)
+        work_label, n_classes = "label_idx", idx.sizes[0]
     train, test = M.hash_split(clean_df, id_col)
     tf = E.TfidfVectorizer(text_col, "x", E.TfidfConfig(max_features, 1)).fit(train)
     fitted.append(tf)
@@ -215,12 +251,15 @@ def run_text_pipeline(df: DataFrame, text_col: str, id_col: str, label_col: str
         record("model_select", res.val_score, res.train_score, time.time() - t0, width, name)
         t0 = time.time()
         tuned = T.tune(name, train, test, task, work_label, n_classes, 0, "x")
-        record("tuning", tuned.best_score, tuned.best_score, time.time() - t0, width, name)
-        record("ensemble", tuned.best_score, tuned.best_score, 0.0, width, name)
-        fitted.append(tuned.best)
-        preds = tuned.best.transform(test)
-    log_df = spark.createDataFrame(log, "run_id string, stage_idx int, stage string, val_score double, "
-                                        "train_score double, seconds double, n_features int, model_name string")
+        record("tuning", tuned.best_score, tuned.ranked[0].train_score, time.time() - t0, width, name)
+        t0 = time.time()
+        ens = ENS.EnsembleModel([t.model for t in tuned.ranked[:max(1, ensemble_top)]], "voting", task)
+        preds = ens.transform(test)
+        record("ensemble", M.score(preds, task, work_label), M.score(ens.transform(train), task, work_label),
+               time.time() - t0, width, name)
+        reports["ensemble"] = {"method": "voting", "n_models": len(ens.models)}
+        fitted.append(ens)
+    log_df = spark.createDataFrame(log, LOG_SCHEMA)
     scored = stage_scores(log_df.withColumn("task", F.lit(task)), "task")
     return PipelineResult(PipelineModel(stages=fitted), task, scored, report_frame(spark, run_id, reports), preds)
 

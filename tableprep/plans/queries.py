@@ -139,9 +139,8 @@ def q_iqr_clip(spark, sf):
 def q_drop_high_missing(spark, sf):
     df = view(spark, sf, "dirty_orders")
     kept, dropped = C.drop_high_missing(df, 0.4)
-    ratios = P.column_null_ratios(df)
-    return ratios.select("column_name", r6(F.col("null_ratio")).alias("null_ratio"),
-                         F.col("column_name").isin(dropped).alias("dropped"))
+    return kept.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn(
+        "o_totalprice", r6(F.col("o_totalprice")))
 
 
 @query
@@ -182,12 +181,12 @@ def q_clean_string_array(spark, sf):
 
 @query
 def q_clean_string_map(spark, sf):
-    conv = read_table(spark, sf, "conversations")
-    first = conv.groupBy("conv_id", "role").agg(F.min(F.struct("turn", "text")).alias("f"))
-    maps = first.groupBy("conv_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("role", F.col("f.text")))).alias("m"))
+    """Every text of a conversation in maps keyed by turn, at most CHUNK_TURNS entries a map."""
+    conv = read_table(spark, sf, "conversations").withColumn("chunk", F.floor(F.col("turn") / CHUNK_TURNS).cast("bigint"))
+    maps = conv.groupBy("conv_id", "chunk").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string").alias("turn"), "text"))).alias("m"))
     cleaned = maps.withColumn("m", clean_text_map("m"))
-    return cleaned.select("conv_id", F.explode("m").alias("role", "text_clean"))
+    return cleaned.select("conv_id", "chunk", F.explode("m").alias("turn", "text_clean"))
 
 
 @query
@@ -240,20 +239,28 @@ def q_frequency_encode(spark, sf):
     out = df
     for i, c in enumerate(cols):
         m = maps.where(F.col("ci") == i).select("value", "freq")
-        out = FE.apply_lookup(out, c, m, f"{c}_freq", m.count())
+        out = FE.apply_lookup(out, c, m, f"{c}_freq")
     return out.select("o_orderkey", *[r6(F.col(f"{c}_freq")).alias(f"{c}_freq") for c in cols])
 
 
 @query
 def q_frequency_encode_join(spark, sf):
-    """Frequency of each line's part among all lines, through the broadcast-join path."""
+    """Frequency of each line's part among all lines (a lookup measured and broadcast)."""
     df = read_table(spark, sf, "lineitem")
     maps = FE.frequency_maps(df, ["l_partkey"]).select("value", "freq")
-    n = maps.count()
-    out = FE.apply_lookup(df, "l_partkey", maps, "l_partkey_freq", max(n, FE.LITERAL_MAP_ENTRIES + 1))
+    out = FE.apply_lookup(df, "l_partkey", maps, "l_partkey_freq")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", r6(F.col("l_partkey_freq")).alias("l_partkey_freq"))
 
 
+@query
+def q_frequency_encode_salted(spark, sf):
+    """Frequency of each line's order, a near-unique key, through the salted shuffle join (no broadcast allowed)."""
+    df = read_table(spark, sf, "lineitem")
+    maps = FE.frequency_maps(df, ["l_orderkey"]).select("value", "freq")
+    out = FE.apply_lookup(df, "l_orderkey", maps, "l_orderkey_freq", max_broadcast_bytes=0)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_orderkey_freq", 9).alias("l_orderkey_freq"))
+
+
 @query
 def q_interactions(spark, sf):
     df = read_table(spark, sf, "lineitem")
@@ -287,7 +294,7 @@ def q_polynomial2(spark, sf):
 def q_feature_engineer(spark, sf):
     df = read_table(spark, sf, "orders")
     model = FE.FeatureEngineer(FE.FeatureEngineeringConfig(passthrough=("o_orderkey",))).fit(df)
-    out = model.transform(df)
+    out = model.named_pairs(model.transform(df)).drop(*model.cat)
     return out.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -357,13 +364,34 @@ def q_tfidf_sublinear(spark, sf):
 
 @query
 def q_hashing_tf(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-    docs = _clean_docs(spark, sf).withColumn("tokens", E.terms(F.col("text"), 1))
-    tf, norm = E.hashing_stages("text", "tokens", "h", 5000)
-    out = norm.transform(tf.transform(docs))
-    a = vector_to_array("h")
-    return out.select("doc_id", F.size(F.filter(a, lambda x: x != 0)).cast("bigint").alias("nnz"),
-                      r6(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))).alias("l2"))
+    """Signed hashing vectorizer in long form: one row a document and non-zero bucket, L2-normalised."""
+    out = E.hashing_long(_clean_docs(spark, sf), "doc_id", "text", 5000)
+    return out.select("doc_id", "bucket", r6(F.col("weight")).alias("weight"))
+
+
+# NaN prices and missing dates, cleaned
+
+NAN_NUMERIC = ["price"]
+
+
+@query
+def q_nan_null_ratio(spark, sf):
+    out = P.column_null_ratios(view(spark, sf, "nan_orders"))
+    return out.select("column_name", r6(F.col("null_ratio")).alias("null_ratio"))
+
+
+@query
+def q_nan_profile(spark, sf):
+    return P.dataset_profile(view(spark, sf, "nan_orders"), exclude=("o_orderkey",))
+
+
+@query
+def q_nan_fill(spark, sf):
+    """Median for NaN and null prices, the most frequent date for missing dates, prices clipped after filling."""
+    df = view(spark, sf, "nan_orders")
+    model = C.DataCleaner(C.CleaningConfig(row_id_col="o_orderkey", drop_duplicates=False)).fit(df)
+    out = model.transform(df)
+    return out.select("o_orderkey", r6(F.col("price")).alias("price"), F.date_format("placed", "yyyy-MM-dd").alias("placed"))
 
 
 # ----------------------------------------------------------------------------------------
@@ -507,7 +535,7 @@ def group_mode_predictor(df: DataFrame, key: str, label: str, out: str) -> DataF
     counts = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("nn"), F.col(label).alias("v"))).alias("b"))
     lookup = best.select(F.col(key).cast("string").alias("value"), F.col("b.v").cast("double").alias("pred"))
-    return FE.apply_lookup(df, key, lookup, out, lookup.count(), default=0.0, value_col="pred")
+    return FE.apply_lookup(df, key, lookup, out, default=0.0, value_col="pred")
 
 
 @query
@@ -546,10 +574,30 @@ def _fit_report(spark, est, name, train, test, task="classification", label="lab
                                  "model string, metric string, value double")
 
 
+def _priority_model_data(spark, sf):
+    """Orders with their one-hot priority; label: status is F."""
+    from pyspark.ml import Pipeline
+    df = read_table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_totalprice", (F.col("o_orderstatus") == "F").cast("double").alias("label"))
+    idx, ohe = E.onehot_stages(["o_orderpriority"])
+    out = Pipeline(stages=[idx, ohe]).fit(df).transform(df)
+    return out.withColumnRenamed("o_orderpriority_oh", "features")
+
+
+def _group_rates(model, df):
+    """Probability of the label by priority, as the model says it."""
+    from pyspark.ml.functions import vector_to_array
+    scored = model.transform(df)
+    return scored.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(vector_to_array("probability")[1]), 4).alias("rate"))
+
+
 @query
 def q_logistic_fit(spark, sf):
-    train, test = _orders_model_data(spark, sf)
-    return _fit_report(spark, M.build_estimator("LogisticRegression", 3, 1000), "LogisticRegression", train, test)
+    """Unpenalised logistic model on a one-hot category: its probabilities are the group rates."""
+    from pyspark.ml.classification import LogisticRegression
+    df = _priority_model_data(spark, sf)
+    return _group_rates(LogisticRegression(maxIter=1000, tol=1e-12, regParam=0.0).fit(df), df)
 
 
 @query
@@ -560,20 +608,31 @@ def q_svc_fit(spark, sf):
 
 @query
 def q_tree_fit(spark, sf):
-    train, test = _orders_model_data(spark, sf)
-    return _fit_report(spark, M.build_estimator("DecisionTreeClassifier(depth=10)"), "DecisionTree", train, test)
+    """A tree on a one-hot category that decides the label: every leaf is pure."""
+    odd = F.col("o_orderpriority").substr(1, 1).cast("int") % 2
+    df = _priority_model_data(spark, sf).withColumn("label", odd.cast("double"))
+    return _group_rates(M.build_estimator("DecisionTreeClassifier(depth=10)").fit(df), df)
+
+
+def _group_means(model, df):
+    return model.transform(df).groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 4).alias("mean_price"))
 
 
 @query
 def q_forest_fit(spark, sf):
-    train, test = _orders_model_data(spark, sf)
-    return _fit_report(spark, M.build_estimator("RandomForestClassifier(200)"), "RandomForest", train, test)
+    """A forest of one regression tree without resampling on a one-hot category: the group means."""
+    df = _priority_model_data(spark, sf).withColumn("label", F.col("o_totalprice"))
+    est = M.build_estimator("RandomForestRegressor", n_estimators=1, max_depth=10).setBootstrap(False)
+    return _group_means(est.fit(df), df)
 
 
 @query
 def q_gbt_fit(spark, sf):
-    train, test = _orders_model_data(spark, sf, binary=True)
-    return _fit_report(spark, M.build_estimator("GBTClassifier", 2, n_estimators=50), "GBT", train, test)
+    """One boosting step of a regression tree at full rate on a one-hot category: the group means."""
+    df = _priority_model_data(spark, sf).withColumn("label", F.col("o_totalprice"))
+    est = M.build_estimator("GBTRegressor", n_estimators=1, learning_rate=1.0).setMaxDepth(6)
+    return _group_means(est.fit(df), df)
 
 
 @query
@@ -613,31 +672,35 @@ def q_text_classify(spark, sf):
     return _fit_report(spark, est, "LogisticRegression(sgd-log)", train, test)
 
 
-def _pipeline_log(df, label, id_col, run_id):
+def _pipeline_log(df, label, id_col, run_id, config=None):
     from tableprep.plans.pipeline import run_pipeline
-    res = run_pipeline(df, label, id_col, run_id=run_id)
-    return res.run_log.select("run_id", "stage_idx", "stage", "model_name", "n_features", "score")
+    res = run_pipeline(df, label, id_col, config, run_id=run_id)
+    return res.run_log.select("run_id", "stage_idx", "stage", "model_name", "n_features",
+                              r6(F.col("val_score")).alias("val_score"), r6(F.col("train_score")).alias("train_score"))
 
 
 @query
 def q_pipeline_customer(spark, sf):
-    """All eight stages on customer, predicting the market segment."""
-    return _pipeline_log(read_table(spark, sf, "customer").drop("c_name"), "c_mktsegment", "c_custkey", "customer")
+    """All eight stages on customer, its near-unique name included, predicting the market segment."""
+    return _pipeline_log(read_table(spark, sf, "customer"), "c_mktsegment", "c_custkey", "customer")
 
 
 @query
 def q_pipeline_part(spark, sf):
-    """All eight stages on part (with a text column), predicting the retail price."""
+    """All eight stages on part (three string columns, one of them text), predicting the retail price."""
     return _pipeline_log(read_table(spark, sf, "part"), "p_retailprice", "p_partkey", "part")
 
 
 @query
 def q_pipeline_text(spark, sf):
-    """The four text stages on documents without labels (unsupervised run)."""
+    """The four text stages on documents without labels: the test split's weights, term by term."""
+    from pyspark.ml.functions import vector_to_array
     from tableprep.plans.pipeline import run_text_pipeline
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     res = run_text_pipeline(docs, "text", "doc_id", None, run_id="documents")
-    return res.run_log.select("run_id", "stage_idx", "stage", "model_name", "n_features", "score")
+    slots = F.posexplode(vector_to_array("x")).alias("slot", "weight")
+    return res.test_predictions.select("doc_id", slots).where(F.col("weight") != 0).select(
+        "doc_id", F.col("slot").cast("bigint"), r6(F.col("weight")).alias("weight"))
 
 
 @query

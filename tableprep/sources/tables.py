@@ -7,6 +7,7 @@ unchanged, so a query and its oracle start from the same rows.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +57,16 @@ VIEW_SQL = {
                      ORDER BY n DESC, o_orderstatus LIMIT 1)
         SELECT o.o_orderkey, o.o_totalprice, o.o_orderstatus, pm.pred_price, maj.pred_status
         FROM orders o JOIN pm ON o.o_orderpriority = pm.o_orderpriority CROSS JOIN maj""",
-    # run log derived from events: first 8 events per user ordered by (ts, event_id)
+    # orders with NaN prices and missing dates
+    "nan_orders": """
+        SELECT o_orderkey, o_orderpriority,
+               CASE WHEN o_orderkey % 5 = 0 THEN CAST('NaN' AS DOUBLE)
+                    WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS price,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS placed
+        FROM orders""",
+    # run log derived from events: eight consecutive event ids make a run
     "run_log": """
-        WITH r AS (
-          SELECT user_id, event_id, event_type, value,
-                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-          FROM events)
-        SELECT user_id AS run_id, CAST(rn AS BIGINT) AS stage_idx,
+        SELECT CAST(floor(event_id / 8e0) AS BIGINT) AS run_id, CAST(event_id % 8 + 1 AS BIGINT) AS stage_idx,
                (event_id % 97) / 97e0 AS val_score,
                (event_id * 7 % 89) / 89e0 AS train_score,
                value / 10 AS seconds,
@@ -72,7 +76,7 @@ VIEW_SQL = {
                                WHEN 'error' THEN 'GBTClassifier'
                                WHEN 'purchase' THEN 'DecisionTreeClassifier'
                                ELSE 'LinearSVC' END AS model_name
-        FROM r WHERE rn <= 8""",
+        FROM events""",
 }
 
 
@@ -105,6 +109,6 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived view as a DataFrame; the base tables are registered first."""
-    register_tables(spark, sf_dir)
+    """One derived view as a DataFrame; the base tables that it names are registered first."""
+    register_tables(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", VIEW_SQL[name])])
     return spark.sql(VIEW_SQL[name])

@@ -7,7 +7,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tableprep.operators import encode as E
-from tableprep.plans.pipeline import run_pipeline, run_text_pipeline, wide_guard
+from tableprep.operators import model as M
+from tableprep.operators import tune as T
+from tableprep.plans.pipeline import PipelineConfig, run, run_pipeline, run_text_pipeline
 from tableprep.sources.files import route
 from tableprep.sources.tables import read_table
 
@@ -23,7 +25,7 @@ def test_structured_pipeline_and_predict_without_label(spark):
     assert all(0.01 <= r["score"] <= 0.99 for r in log)
     preds = res.model.transform(df.drop("c_mktsegment"))
     assert preds.count() == df.count() and "prediction" in preds.columns
-    assert set(res.label_model.labels) == {r[0] for r in df.select("c_mktsegment").distinct().collect()}
+    assert {r["value"] for r in res.label_model.table.collect()} == {r[0] for r in df.select("c_mktsegment").distinct().collect()}
 
 
 def test_text_pipeline_without_labels(spark):
@@ -40,10 +42,81 @@ def test_onehot_drop_first(spark):
     assert [r["v"] for r in rows] == [[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]
 
 
-def test_wide_guard():
-    assert not wide_guard(1000, 10)
-    assert wide_guard(1000, 1001)
-    assert wide_guard(200_000_000, 10)
+def test_encoder_gets_the_string_columns_and_their_slots_reach_the_model(spark):
+    df = read_table(spark, SF_SMALL, "part")
+    res = run_pipeline(df, "p_retailprice", "p_partkey", PipelineConfig(model_name="LinearRegression"))
+    enc = next(s for s in res.model.stages if isinstance(s, E.EncoderModel))
+    strings = {"p_name", "p_brand", "p_type"}
+    assert set(enc.cat) | set(enc.text) == strings and enc.cat
+    one_hot = enc.fitted.stages[0].sizes
+    assert enc.width >= sum(one_hot) + len(enc.num)
+    report = {(r["stage"], r["key"]): r["value"] for r in res.report.collect()}
+    assert ("cleaning", "rows_removed") in report
+
+
+def test_a_spaced_label_header_neither_leaks_nor_fails(spark):
+    rows = [(i, float((i * 7919) % 1000), "AB"[(i * 31) % 7 % 2]) for i in range(600)]
+    cfg = PipelineConfig(model_name="LogisticRegression")
+    scores = []
+    for label in ("Pay Band", "pay_band"):
+        res = run_pipeline(spark.createDataFrame(rows, ["Row Id", "x", label]), label, "Row Id", cfg)
+        scores.append([round(r["val_score"], 9) for r in res.run_log.orderBy("stage_idx").collect()])
+    assert scores[0] == scores[1] and scores[0][-1] < 0.8
+
+
+def test_salary_from_file_to_run(spark):
+    d = tempfile.mkdtemp(prefix="salary-", dir="/tmp")
+    path = os.path.join(d, "salary.csv")
+    with open(path, "w") as f:
+        f.write(",YearsExperience,Salary\n" + "".join(f"{i},{x},{y}\n" for i, x, y in SALARY))
+    res = run(route(spark, path))
+    last = res.run_log.orderBy("stage_idx").collect()[-1]
+    assert res.task == "regression" and last["val_score"] > 0.6
+
+
+def test_a_class_of_the_test_split_only_does_not_fail(spark):
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 17).cast("double").alias("x"),
+                                 F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("y"))
+    _, test = M.hash_split(df, "id")
+    rare = test.first()["id"]
+    df = df.withColumn("y", F.when(F.col("id") == rare, "rare").otherwise(F.col("y")))
+    res = run_pipeline(df, "y", "id", PipelineConfig(model_name="LogisticRegression"))
+    assert res.label_model.sizes == [3]
+    assert res.test_predictions.where(F.col("id") == rare).count() == 1
+
+
+def test_r2_runs_rank_trials_and_keep_the_winner(spark, monkeypatch):
+    monkeypatch.setitem(T.PARAM_SPACES, "SGD", {"alpha": [1e-4, 1e3, 1e5]})
+    df = spark.range(300).select("id", F.rand(3).alias("x")).withColumn("y", 100 * F.col("x") + F.col("id") % 3)
+    for metric in ("auto", "r2", "rmse"):
+        res = run_pipeline(df, "y", "id", PipelineConfig(model_name="LinearRegression(sgd)", metric=metric))
+        log = {r["stage"]: r["val_score"] for r in res.run_log.collect()}
+        assert log["ensemble"] == log["tuning"]
+        assert log["tuning"] < 2.0 if metric == "rmse" else log["tuning"] > 0.95
+
+
+def test_a_failed_trial_does_not_end_the_search(spark, monkeypatch):
+    monkeypatch.setitem(T.PARAM_SPACES, "SGD", {"alpha": [1e-4, -1.0]})
+    df = spark.range(60).select(F.col("id").cast("double").alias("label"))
+    from tableprep.operators import scale as S
+    data = S.assemble(df.withColumn("x", F.col("label") * 2), ["x"])
+    got = T.tune("LinearRegression(sgd)", data, data, "regression", "label", 0, 60)
+    assert [t.error is None for t in got.trials].count(False) == 1 and got.best_score > 0.9
+
+
+def test_interactions_of_many_columns_and_unseen_categories(spark):
+    from tableprep.operators import features as FE
+    wide = spark.range(3).select("id", *[(F.col("id") + i).cast("double").alias(f"c{i}") for i in range(70)])
+    fe = FE.FeatureEngineer(FE.FeatureEngineeringConfig(passthrough=("id",))).fit(wide)
+    out = fe.transform(wide).orderBy("id").first()
+    assert len(out[FE.INTERACTIONS]) == 70 * 69 // 2 == len(fe.pair_names)
+    assert out[FE.INTERACTIONS][0] == 0.0 and out[FE.INTERACTIONS][-1] == 68.0 * 69.0
+    fit = spark.createDataFrame([(1, "a"), (2, "b")], "id long, c string")
+    new = spark.createDataFrame([(3, "z"), (4, None), (5, "b")], "id long, c string")
+    got = E.onehot_stages(["c"])[0].fit(fit).transform(new).orderBy("id")
+    assert [r["c_idx"] for r in got.collect()] == [2.0, 2.0, 1.0]
+    assert [r["c_ord"] for r in E.ordinal_indexer(["c"], "minus_one").fit(fit).transform(new).orderBy("id").collect()] == [
+        -1.0, -1.0, 1.0]
 
 
 def test_route_csv_and_text(spark):
