@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -27,7 +27,8 @@ def _with_outputs(model, i: int):
     m = model.copy()
     for param, name in (("predictionCol", f"_p{i}"), ("probabilityCol", f"_prob{i}"),
                         ("rawPredictionCol", f"_raw{i}")):
-        if m.hasParam(param):
+        # a one-vs-rest model keeps its raw column's name; it is dropped after use
+        if m.hasParam(param) and not (param == "rawPredictionCol" and isinstance(m, OneVsRestModel)):
             m._set(**{param: name})
     return m
 
@@ -63,6 +64,8 @@ class EnsembleModel(Model):
         out = df
         for i, m in enumerate(self.models):
             out = _with_outputs(m, i).transform(out)
+            if isinstance(m, OneVsRestModel) and "rawPrediction" not in df.columns:
+                out = out.drop("rawPrediction")
         return out
 
     def _transform(self, df: DataFrame) -> DataFrame:
