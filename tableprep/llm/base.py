@@ -66,19 +66,82 @@ def part_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_keys(counts: DataFrame, keys: list[str], total: int, n_col: str = "n", share: int = 2000) -> DataFrame:
+    """(keys, salts) of the keys that hold more than ``total / share`` rows: at most ``share`` rows, small enough to send."""
+    limit = max(1000, total // share)
+    return counts.where(F.col(n_col) > limit).select(*keys, F.ceil(F.col(n_col) / limit).cast("int").alias("salts"))
+
+
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner",
-                  salts: int = 16) -> DataFrame:
-    """Join rows with a table that has one row a key, dealing the rows of a hot key out over ``salts`` tasks.
+                  hot: DataFrame | None = None) -> DataFrame:
+    """Equi-join in which the rows of a hot key are dealt out over several tasks.
 
-    ``spread`` is an expression over the big side (a hash of its row identity); every row of the small side is
-    repeated ``salts`` times. ``how`` is inner, left, left_semi or left_anti.
+    Only keys with more than their share of the big side's rows get salts (``hot_keys``); the small side's rows of such
+    a key are repeated for each salt, all others stay single. ``spread`` is an expression over the big side (its row
+    identity). ``how`` is inner, left, left_semi or left_anti. ``big`` should be a staged table, as it is counted first
+    (unless the caller has the counts).
     """
-    salt = fresh(big, "salt")
-    left = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if hot is None:
+        hot = hot_keys(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, big.count())
+    salt, salts = fresh(big, "salt"), fresh(big, "salts")
+    side = F.broadcast(stage(hot.withColumnRenamed("salts", salts)))
+    n = F.coalesce(F.col(salts), F.lit(1))
+    left = big.join(side, keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), n.cast("long")).cast("int")).drop(salts)
+    right = small.join(side, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(salts)
     return left.join(right, [*keys, salt], how).drop(salt)
 
 
+MAP_BITS = 1 << 28
+
+
+class BitMap:
+    """Which hashes a table may hold: two bits a hash, sized by the number of rows, at most MAP_BITS bits (32 MB).
+
+    A member is always let through; others now and then, so an exact join has to follow. It only spares rows.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str, n: int):
+        self.bits = min(MAP_BITS, 1 << max(22, (32 * n).bit_length()))
+        low = F.lit(self.bits - 1)
+        at = hashes.select(F.explode(F.array(
+            F.col(column).bitwiseAND(low), F.shiftrightunsigned(column, 32).bitwiseAND(low))).alias("at"))
+        words = at.groupBy(F.floor(F.col("at") / 64).cast("long").alias("w")).agg(
+            F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("v")).toArrow()
+        table = np.zeros(self.bits // 64, np.int64)
+        table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+        self.shared = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def holds(self):
+        """For use in tasks: a function from hashes (uint64) to flags."""
+        table, bits = self.shared.value.view(np.uint64), np.uint64(self.bits - 1)
+
+        def bit(at: np.ndarray) -> np.ndarray:
+            return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+        def test(h: np.ndarray) -> np.ndarray:
+            out = bit(h & bits)
+            some = np.flatnonzero(out)
+            out[some] = bit((h[some] >> np.uint64(32)) & bits)
+            return out
+
+        return test
+
+    def __getstate__(self):
+        return {"bits": self.bits, "shared": self.shared}
+
+
+def id_hashes(ids: DataFrame, column: str) -> DataFrame:
+    """(hash) of the non-null ids of a long column, the same as ``mix`` of them."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).drop_null().to_numpy()
+            yield pa.RecordBatch.from_pydict({"hash": signed(mix(ids.view(np.uint64)))})
+
+    return ids.select(column).mapInArrow(run, "hash long")
+
+
 def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: Column, name: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row (exclusive), in ``(chunk, order)`` order within ``group``.
 

@@ -9,7 +9,7 @@ and at least ``similarity`` of its words equal. Substitutions are tolerated anyw
   occur in a row). Items without words find nothing.
 * A stretch counts when its equal words reach ``similarity`` times the item's words, or ``long_run`` words for longer
   items (a passage of that length is a leak whatever the item's length).
-* A document's seeds first meet a bit map of the items' seeds (size set by their number, at most ``MAP_BITS``); only
+* A document's seeds first meet a bit map of the items' seeds (size set by their number, at most 32 MB); only
   hits become rows, with the words around them. The join decides, the map only spares rows. The items' seed table is
   broadcast when its counted rows prove it small, else joined by shuffle with hot seeds salted.
 * Neighbouring hits share one region row, so a leak sends its words once, not once a seed.
@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.base import batch_word_hashes, mix, odd_constants, salted_lookup, signed, stage
+from tableprep.llm.base import BitMap, batch_word_hashes, mix, odd_constants, salted_lookup, signed, stage
 from tableprep.llm.token_blocks import _small_batches
 
 MASKS = ("110100111", "101101011", "111010011")  # weight 6 of span 9
-MAP_BITS = 1 << 28
 BROADCAST_ROWS = 200_000
 _MULT = odd_constants(64, "seed")
 
@@ -42,7 +41,7 @@ def seeds(h: np.ndarray, mask: str, number: int) -> np.ndarray:
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.full(n, np.uint64(number + 1) * _MULT[-1])
+    total = np.full(n, _MULT[-1] >> np.uint64(number % 61))
     for i, one in enumerate(mask):
         if one == "1":
             total += h[i:i + n] * _MULT[i]
@@ -69,21 +68,21 @@ def _item_rows(lengths_only: bool):
     return run
 
 
-def _runs(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
-    """The stretch with the best score (+1 for equal, a penalty that zeroes at ``similarity``): start, end, equal words."""
-    score = np.where(equal, 1.0 - similarity, -similarity)
-    total = np.concatenate(([0.0], np.cumsum(score)))
+def _stretch(equal: np.ndarray, similarity: float) -> tuple[int, int, int]:
+    """The longest stretch of which ``similarity`` is equal, without unequal ends: start, end, equal words."""
+    percent = round(100 * similarity)
+    total = np.concatenate(([0], np.cumsum(np.where(equal, 100 - percent, -percent))))
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+    first = np.searchsorted(-low, -total, "left")  # the earliest start from which the share holds up to each end
+    end = int(np.argmax(np.arange(len(total)) - first))
+    inside = np.flatnonzero(equal[int(first[end]):end]) + int(first[end])
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8,
-               long_run: int = 20) -> DataFrame:
+               long_run: int = 13) -> DataFrame:
     """One row a document and item found in it: doc_id, item_id, n_words of the item, n_equal, start word, similarity."""
-    spark = docs.sparkSession
     tests = items.select(F.col(item_id_col).cast("long").alias("item_id"),
                          F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
     item_words = stage(tests.mapInArrow(_item_rows(True), "item_id long, n_words long, words binary")
@@ -93,19 +92,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         F.when(F.col("n_words") < len(MASKS[0]), F.col("n_words")))).alias("short")).first()
     margin, short = int(facts["longest"] or 0), [int(x) for x in facts["short"]]  # at most span - 1 short lengths
     n_seeds = item_seeds.count()
-    bits = min(MAP_BITS, 1 << max(16, (32 * n_seeds - 1).bit_length() if n_seeds else 0))
-    slot = F.col("seed").bitwiseAND(F.lit(bits - 1))
-    table = np.zeros(bits // 64, np.uint64)
-    words = item_seeds.select(F.expr(f"div({bits - 1} & seed, 64)").alias("w"), (slot % 64).alias("b")).distinct()
-    for row in words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, cast(b as int)))").alias("v")).toLocalIterator():
-        table[row["w"]] = np.uint64(row["v"] & ((1 << 64) - 1))
-    shared = spark.sparkContext.broadcast(table)  # at most MAP_BITS / 8 bytes
+    bit_map = BitMap(item_seeds, "seed", n_seeds)
 
     masks = [*enumerate(MASKS), *[(1000 + n, "1" * n) for n in short]]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = shared.value
+        may_hold = bit_map.holds()
         for batch in batches:
             for i, j in _small_batches(batch.column(1)):
                 h, bounds = batch_word_hashes(batch.column(1).slice(i, j - i))
@@ -113,9 +106,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 found_pos, found_seed = [], []
                 for number, mask in masks:
                     got = seeds(h, mask, number)
-                    at = got & np.uint64(bits - 1)
-                    ok = (flags[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-                    pos = np.flatnonzero(ok)
+                    pos = np.flatnonzero(may_hold(got))
                     pos = pos[doc_of[pos] == doc_of[np.minimum(pos + len(mask) - 1, len(doc_of) - 1)]] if len(pos) else pos
                     found_pos.append(pos)
                     found_seed.append(got[pos])
@@ -171,7 +162,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     a, b = max(0, -shift), min(len(v), len(u) - shift)
                     if b <= a:
                         continue
-                    s, e, same = _runs(u[a + shift:b + shift] == v[a:b], similarity)
+                    s, e, same = _stretch(u[a + shift:b + shift] == v[a:b], similarity)
                     if (same, -(r.start + shift + a + s)) > (best[0], -best[1]):
                         best = (same, r.start + shift + a + s, e - s, shift)
                 if best[0] >= min(np.ceil(similarity * len(v)), long_run):

@@ -21,9 +21,9 @@ FROM m GROUP BY doc_id
     "op3_hyperminhash": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
-         '[ \\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+         '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))) END AS sh
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS sh
       FROM w),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
 x AS (SELECT doc_id, unnest(sh) AS g FROM s),

@@ -3,6 +3,12 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    from tableprep.llm.base import ship_package
+    ship_package(spark)
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, empty and long texts, ties, repeated rows, and extra columns that clash with the operators' own names."""

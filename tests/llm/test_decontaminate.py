@@ -37,7 +37,7 @@ def test_whole_edited_and_clean_passages(spark):
                 leak[at] = "changed"
             want.add((doc, item))
         elif kind == 3 and len(leak) >= 12:  # a quarter of the item only, below the long run
-            leak = leak[:min(len(leak) // 4, 15)]
+            leak = leak[:min(len(leak) // 4, 12)]
         else:
             leak = []
         at = rng.randrange(len(text) + 1)
