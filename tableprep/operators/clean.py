@@ -21,6 +21,7 @@ from tableprep.functions.numeric import clip, nan_to_null, to_numeric
 from tableprep.functions.text import clean_text
 from tableprep.operators import stats
 from tableprep.operators.profile import numeric_cols, string_cols, timestamp_cols
+from tableprep.persist import Saved
 
 NUMERIC_STRATEGIES = ("mean", "median", "zero")
 CATEGORICAL_STRATEGIES = ("mode", "constant")
@@ -258,7 +259,7 @@ class DataCleaner(Estimator):
         return model
 
 
-class DataCleanerModel(Model):
+class DataCleanerModel(Saved, Model):
     def __init__(self, config, names, dropped, converted, fills, bounds, text_cols, features, row_id, report):
         super().__init__()
         self.config = config

@@ -22,6 +22,7 @@ from tableprep.functions.text import concat_text, word_tokens
 from tableprep.operators import stats
 from tableprep.operators.features import apply_lookup, map_sizes, stats_checkpoint
 from tableprep.operators.profile import TEXT_MEAN_LENGTH, numeric_cols, string_cols, text_columns
+from tableprep.persist import Saved
 
 def hash_bucket(id_col: str, buckets: int) -> Column:
     """Deterministic bucket of a row id: first 8 hex digits of md5(id) modulo ``buckets``
@@ -64,7 +65,7 @@ class CategoryIndexer(Estimator):
                                     [int(sizes.get(i, 0)) for i in range(len(self.cols))], map_sizes(table))
 
 
-class CategoryIndexerModel(Model):
+class CategoryIndexerModel(Saved, Model):
     def __init__(self, cols, suffix, unknown, table, sizes, map_bytes):
         super().__init__()
         self.cols, self.suffix, self.unknown = cols, suffix, unknown
@@ -135,7 +136,7 @@ class TargetEncoder(Estimator):
         return TargetEncoderModel(self.cols, self.suffix, full, oof, self.folds, self.id_col, sizes)
 
 
-class TargetEncoderModel(Model):
+class TargetEncoderModel(Saved, Model):
     def __init__(self, cols, suffix, full, oof, folds, id_col, sizes):
         super().__init__()
         self.cols, self.suffix, self.full, self.oof = cols, suffix, full, oof
@@ -254,7 +255,7 @@ class TfidfVectorizer(Estimator):
         return TfidfModel(self.input_col, self.output_col, cfg, words, idf, n_docs)
 
 
-class TfidfModel(Model):
+class TfidfModel(Saved, Model):
     def __init__(self, input_col, output_col, config, vocabulary, idf, n_docs):
         super().__init__()
         self.input_col, self.output_col, self.config = input_col, output_col, config
@@ -398,7 +399,7 @@ class Encoder(Estimator):
         return model
 
 
-class EncoderModel(Model):
+class EncoderModel(Saved, Model):
     def __init__(self, config, num, cat, text, fitted, output_col, width, block=None, slices=None):
         super().__init__()
         self.config, self.num, self.cat, self.text = config, num, cat, text

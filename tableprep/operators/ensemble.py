@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.operators.encode import hash_bucket
+from tableprep.persist import Saved
 
 METHODS = ("voting", "stacking", "weighted", "none")
 
@@ -54,7 +55,7 @@ def hard_vote(preds: list[Column]) -> Column:
     return F.array_min(counted)["v"]
 
 
-class EnsembleModel(Model):
+class EnsembleModel(Saved, Model):
     def __init__(self, models, method, task, weights=None, meta=None, output_col="prediction"):
         super().__init__()
         self.models, self.method, self.task = models, method, task

@@ -20,6 +20,7 @@ from tableprep.functions.datetime import datetime_parts
 from tableprep.functions.text import as_text, text_length, unique_words, uppercase_ratio, word_count
 from tableprep.operators import stats
 from tableprep.operators.profile import detect_text_columns, numeric_cols, string_cols, timestamp_cols
+from tableprep.persist import Saved
 
 def interaction_names(cols: list[str]) -> list[str]:
     return [f"{a}_x_{b}" for a, b in itertools.combinations(cols, 2)]
@@ -148,7 +149,7 @@ def stats_checkpoint(df: DataFrame) -> DataFrame:
 INTERACTIONS = "pair_products"
 
 
-class FeatureEngineerModel(Model):
+class FeatureEngineerModel(Saved, Model):
     def __init__(self, config, num, cat, dts, maps, sizes, shared):
         super().__init__()
         self.config, self.num, self.cat, self.dts = config, num, cat, dts

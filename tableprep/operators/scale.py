@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.operators import stats
+from tableprep.persist import Saved
 
 METHODS = ("standard", "minmax", "robust", "none")
 
@@ -101,7 +102,7 @@ class VectorScaler(Estimator):
         return VectorScalerModel(self.input_col, self.output_col, shift, div)
 
 
-class VectorScalerModel(Model):
+class VectorScalerModel(Saved, Model):
     def __init__(self, input_col, output_col, shift, div):
         super().__init__()
         self.input_col, self.output_col, self.shift, self.div = input_col, output_col, shift, div

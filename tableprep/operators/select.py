@@ -21,6 +21,8 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprep.persist import Saved
+
 METHODS = ("variance", "correlation", "kbest", "model", "none")
 
 
@@ -142,7 +144,7 @@ class FeatureSelector(Estimator):
         return FeatureSelectorModel(self.input_col, self.output_col, keep, scores)
 
 
-class FeatureSelectorModel(Model):
+class FeatureSelectorModel(Saved, Model):
     def __init__(self, input_col, output_col, indices, scores):
         super().__init__()
         self.input_col, self.output_col, self.indices, self.scores = input_col, output_col, indices, scores

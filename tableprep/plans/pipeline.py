@@ -12,7 +12,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,7 @@ from tableprep.operators import select as SEL
 from tableprep.operators import tune as T
 from tableprep.operators.profile import infer_task
 from tableprep.operators.runlog import report_frame, stage_scores
+from tableprep.persist import Saved
 from tableprep.session import cut_lineage
 from tableprep.sources.files import Dataset
 
@@ -273,7 +274,7 @@ def _replace(obj, **kw):
     return replace(obj, **kw)
 
 
-class _SelectFeatures(PipelineModel.__mro__[1]):  # pyspark.ml.Model
+class _SelectFeatures(Saved, Model):
     """Projection to (id, label, x) before the final model, as in training."""
 
     def __init__(self, id_col, label):

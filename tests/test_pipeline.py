@@ -138,3 +138,16 @@ def test_route_csv_and_text(spark):
     assert route(spark, txt).df.count() == 3
     assert route(spark, txt).stages == ("cleaning", "model_select", "tuning", "ensemble")
     assert F is not None
+
+
+def test_a_saved_run_predicts_the_same(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    for table, label, key, name in (("part", "p_retailprice", "p_partkey", "LinearRegression"),
+                                    ("customer", "c_mktsegment", "c_custkey", "DecisionTreeClassifier(depth=10)")):
+        df = read_table(spark, SF_SMALL, table)
+        res = run_pipeline(df, label, key, PipelineConfig(model_name=name))
+        path = str(tmp_path / table)
+        res.model.write().save(path)
+        again = PipelineModel.load(path)
+        a, b = (m.transform(df.drop(label)).select(key, "prediction").orderBy(key).collect() for m in (res.model, again))
+        assert a == b and len(a) == df.count()
