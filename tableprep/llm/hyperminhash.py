@@ -10,11 +10,14 @@ A document is the set of its distinct five-word shingles (``base.shingle_hashes`
 2. *Equal sets* fall together first (128-bit digest of the set); only the smallest id of each class goes on.
 3. *Banding.* ``BANDS`` keys of ``REGISTERS / BANDS`` compressed registers each. Two sets at 0.85 miss all bands with
    a chance below 1e-8.
-4. *Hubs.* Within a band's group every member is compared with the group's smallest id only. Pairs whose
-   collision-corrected Jaccard estimate lies far (six standard errors) below the threshold are left out; the rest are
-   checked on full sets.
-5. *Rest.* Groups whose members still belong to different components are compared across components only (pairs
-   within a component can add nothing), so a large group of near copies costs its size, not its square.
+4. *Hubs.* Within a band's group every member is compared with one hub: the member that lies in the most and largest
+   groups, which is the text that others were copied from. Pairs whose collision-corrected Jaccard estimate lies far
+   (six standard errors) below the threshold are left out; the rest are checked on full sets.
+5. *Rest.* Groups whose members still belong to different components are compared across components (pairs within a
+   component can add nothing), and only where the link is possible. An intersection holds shared shingles alone (those
+   that another set has too), and of these at most the smaller share inside the group's hub plus the smaller share
+   outside it; with that bound s, ``100 s >= percent (n + m - s)`` has to hold. A family of near copies, each with edits
+   of its own, so costs its size, not its square.
 
 Texts without words (null, empty, blank) have no shingles and are linked with nothing. Rows that share a doc_id are
 one document as far as links go (their sets may differ; each row is returned). Rows with a null id are linked with
@@ -29,14 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.base import (batch_word_hashes, mix, odd_constants, salted_lookup, shingle_hashes, signed, stage)
+from tableprep.llm.base import (BitMap, batch_word_hashes, hot_keys, id_hashes, mix, odd_constants, salted_lookup,
+                                shingle_hashes, signed, stage)
 from tableprep.llm.components import components
 from tableprep.llm.token_blocks import _small_batches
 
 REGISTERS, BANDS, MANTISSA, SMALL = 240, 40, 10, 256
+COMPARED = 120  # registers that a pair is compared on before its sets are
 WIDTH = 5
 _EMPTY = np.uint64((1 << 64) - 1)
 _SEEDS = odd_constants(REGISTERS, "register")
@@ -143,11 +149,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
                                 "keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, set): the sorted shingle hashes as bytes."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, set) of the wanted ids: the sorted shingle hashes as bytes. No text is shuffled for it."""
+    bit_map = BitMap(id_hashes(wanted, "doc_id"), "hash", wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may_hold = bit_map.holds()
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            batch = batch.filter(pa.array(may_hold(mix(batch.column(0).to_numpy().view(np.uint64)))))
             for i, j in _small_batches(batch.column(1)):
                 h, bounds = batch_word_hashes(batch.column(1).slice(i, j - i))
                 sets = [shingle_hashes(h[s:e], WIDTH).tobytes()
@@ -156,7 +166,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                                  names=["doc_id", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, set binary")
+    found = rows.mapInArrow(run, "doc_id long, set binary").join(wanted, "doc_id", "left_semi")
+    return found.groupBy("doc_id").agg(F.min("set").alias("set"))
 
 
 def _close(percent: int):
@@ -173,44 +184,61 @@ def _close(percent: int):
                 pick = np.flatnonzero(sized & (both_small if small else ~both_small))
                 if not len(pick):
                     continue
-                sides = [np.frombuffer(b"".join(pdf[c].iloc[pick]), np.uint16).reshape(-1, REGISTERS)
+                sides = [np.frombuffer(b"".join(pdf[c].iloc[pick]), np.uint16).reshape(-1, COMPARED)
                          for c in (("sa", "sb") if small else ("la", "lb"))]
                 got = estimate(*sides, n[pick], m[pick], np.full(len(pick), small))
                 # borrowed registers repeat others: count the filled ones only, and tiny sets not at all
-                own = REGISTERS * (1 - np.exp(-np.minimum(n, m)[pick] / REGISTERS))
-                error = np.sqrt(limit * (1 - limit) / np.where(small, REGISTERS, own))
+                own = COMPARED * (1 - np.exp(-np.minimum(n, m)[pick] / REGISTERS))
+                error = np.sqrt(limit * (1 - limit) / np.where(small, COMPARED, own))
                 keep[pick] = got >= limit - 6 * error
-            yield pdf.loc[keep, ["a", "b"]]
+            yield pdf.loc[keep, ["a", "b", "na", "nb"]]
 
     return run
 
 
-def _verify(percent: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            keep = np.zeros(len(pdf), bool)
-            for i, (x, y) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(u) and len(v):
-                    both = len(u) + len(v) - len(np.unique(np.concatenate((u, v))))
-                    keep[i] = 100 * both >= percent * (len(u) + len(v) - both)
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return run
+def _overlaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs with both sets: the size of their intersection."""
+    for pdf in frames:
+        common = np.zeros(len(pdf), np.int64)
+        for i, (x, y) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
+            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common[i] = len(u) + len(v) - len(np.unique(np.concatenate((u, v))))
+        yield pdf[["a", "b", "na", "nb"]].assign(common=common)
 
 
-def _checked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a < b) that are linked on full sets, staged."""
-    side = reps.select("doc_id", "n_shingles", "small", "large")
-    a = side.toDF("a", "na", "sa", "la")
-    b = side.toDF("b", "nb", "sb", "lb")
-    near = salted_lookup(pairs, a, ["a"], F.col("b")).join(b, "b")
-    near = stage(near.mapInPandas(_close(percent), "a long, b long"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
-    chosen = docs.join(wanted, F.col(id_col).cast("long") == F.col("w_id"), "left_semi")
-    sets = stage(shingle_sets(chosen, id_col, text_col).groupBy("doc_id").agg(F.min("set").alias("set")))
+def _checked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, common) of those distinct pairs (a < b) that the sketches leave possible, staged."""
+    sketch = reps.select("doc_id", "n_shingles", *[F.substring(c, 1, 2 * COMPARED).alias(c) for c in ("small", "large")])
+    near = salted_lookup(pairs, sketch.toDF("a", "na", "sa", "la"), ["a"], F.col("b"))
+    near = near.join(sketch.toDF("b", "nb", "sb", "lb"), "b").mapInPandas(_close(percent), "a long, b long, na long, nb long")
+    near = stage(near)
     full = salted_lookup(near, sets.toDF("a", "set_a"), ["a"], F.col("b")).join(sets.toDF("b", "set_b"), "b")
-    return stage(full.mapInPandas(_verify(percent), "a long, b long"))
+    return stage(full.mapInPandas(_overlaps, "a long, b long, na long, nb long, common long"))
+
+
+def _linked(checked: DataFrame, percent: int) -> DataFrame:
+    return checked.where((F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))))
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(doc_id, shared): how many of a set's shingles some other set has too. Only those can be in an intersection, so
+    ``shared`` bounds every overlap from above."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (pc.binary_length(batch.column(1)).to_numpy() // 8).astype(np.int64)
+            flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            ids, at = np.repeat(batch.column(0).to_numpy(), sizes), 0
+            while at < len(flat):
+                yield pa.RecordBatch.from_pydict({"shingle": flat[at:at + 1_000_000], "doc_id": ids[at:at + 1_000_000]})
+                at += 1_000_000
+
+    single = sets.select("doc_id", "set").mapInArrow(explode, "shingle long, doc_id long")
+    counts = stage(single.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = hot_keys(counts, ["shingle"], total)
+    met = salted_lookup(single, counts.select("shingle"), ["shingle"], F.col("doc_id"), hot=hot)
+    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -222,31 +250,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("keys").alias("keys")))
     # an id that stands for several sets (repeated ids) keeps one sketch row a set; pairs name ids
     reps = classes.groupBy("doc_id").agg(*[F.min_by(c, "digest").alias(c) for c in ("n_shingles", "small", "large")])
-    same_id = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     rows = stage(classes.select("doc_id", F.posexplode("keys").alias("band", "key"))
                  .select("key", "doc_id"))
-    hubs = stage(rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"))
-                 .where("a < last").select("key", "a"))
-    grouped = stage(salted_lookup(rows, hubs, ["key"], F.col("doc_id")))
-    pairs = grouped.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _checked(pairs, reps, docs, id_col, text_col, percent)
-    found = stage(components(links))
-    # groups that are still split: all pairs of members in different components
-    labelled = grouped.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    labelled = stage(labelled)
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
-                                     F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
-    open_rows = stage(labelled.join(split, "key"))
+    sizes = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    grouped = stage(salted_lookup(rows, sizes, ["key"], F.col("doc_id"), hot=hot_keys(sizes, ["key"], rows.count())))
+    # a set that others were copied from keeps their common registers, so it sits in the most and largest groups
+    weights = grouped.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    members = stage(weights.join(reps.select("doc_id", "n_shingles"), "doc_id"))
+    sets = stage(shingle_sets(docs, members.select("doc_id"), id_col, text_col))
+    members = stage(members.join(shared_counts(sets), "doc_id").select("doc_id", "weight", "n_shingles", "shared"))
+    grouped = stage(grouped.select("key", "doc_id").join(members, "doc_id"))
+    hubs = stage(grouped.groupBy("key").agg(
+        F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"), F.count(F.lit(1)).alias("n")))
+    hot = hot_keys(hubs, ["key"], grouped.count())
+    grouped = stage(salted_lookup(grouped, hubs.select("key", "hub"), ["key"], F.col("doc_id"), hot=hot))
+    pairs = stage(grouped.where("hub <> doc_id").select(
+        F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
+    first = _checked(pairs, reps, sets, percent)
+    found = stage(components(_linked(first, percent)))
+    # groups that are still split: pairs of members in different components whose overlaps leave it possible
+    both = first.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "common").unionByName(
+        first.select(F.col("b").alias("hub"), F.col("a").alias("doc_id"), "common"))
+    may = grouped.where(100 * F.col("shared") >= percent * F.col("n_shingles")).join(both, ["hub", "doc_id"], "left").join(
+        found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    with_hub = F.when(F.col("doc_id") == F.col("hub"), F.col("shared")).otherwise(F.col("common"))
+    labelled = stage(may.select(
+        "key", "doc_id", "n_shingles", "shared", F.coalesce(with_hub, "shared").alias("inside"),
+        F.coalesce(F.col("shared") - with_hub, "shared").alias("outside"), F.coalesce("component", "doc_id").alias("label")))
+    labels = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = stage(labels.groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"))
+        .where("labels > 1"))
+    open_rows = stage(salted_lookup(labelled, split.select("key", "main"), ["key"], F.col("doc_id"),
+                                    hot=hot_keys(split, ["key"], labelled.count())))
     # one side of a pair lies outside the group's largest component, so that one is never compared with itself
-    x = open_rows.where("label <> main").select("key", F.col("doc_id").alias("x"), F.col("label").alias("x_label"))
-    y = open_rows.select("key", F.col("doc_id").alias("y"), F.col("label").alias("y_label"))
-    rest = x.join(y, "key").where("x_label <> y_label").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = _checked(rest, reps, docs, id_col, text_col, percent)
-    final = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    cols = ["doc_id", "label", "n_shingles", "shared", "inside", "outside"]
+    x = open_rows.where("label <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in cols])
+    y = open_rows.select("key", *[F.col(c).alias(f"{c}_y") for c in cols])
+    most = F.least("shared_x", "shared_y", F.least("inside_x", "inside_y") + F.least("outside_x", "outside_y"))
+    possible = 100 * most >= percent * (F.col("n_shingles_x") + F.col("n_shingles_y") - most)
+    rest = x.join(y, "key").where((F.col("label_x") != F.col("label_y")) & possible).select(
+        F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+    more = _linked(_checked(stage(rest.join(pairs, ["a", "b"], "left_anti")), reps, sets, percent), percent)
+    final = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
     # documents -> class -> component; one row a class, hot classes dealt out
     top = classes.select("digest", "n_shingles", F.col("doc_id").alias("rep")).join(
         final.withColumnRenamed("node", "rep"), "rep", "left").select(
