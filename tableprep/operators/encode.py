@@ -200,20 +200,21 @@ def with_terms(df: DataFrame, text: Column, out_col: str = "terms", ngrams: int
 
 
 def term_stats(docs: DataFrame, terms_col: str = "terms", id_col: str | None = None) -> DataFrame:
-    """(term, term_count, doc_freq) over the corpus.
+    """(term, term_count, doc_freq) over the corpus, from one tokenization and one shuffle of partial counts by term.
 
-    With a document id the stats come from per-(doc, term) counts (one tokenization,
-    partial aggregation per partition); without one, from a union of all occurrences
-    and per-document distinct terms, both partial-aggregated by term.
+    Without a document id a document's terms are sorted and the first of each run is marked, so the marks add up to
+    the document frequency; with one, the counts come from per-(doc, term) rows.
     """
     if id_col is not None:
         return doc_term_counts(docs, id_col, terms_col).groupBy("term").agg(
             F.sum("tf").cast("bigint").alias("term_count"), F.count(F.lit(1)).cast("bigint").alias("doc_freq"))
-    occ = docs.select(explode_terms(terms_col), F.lit(1).alias("c"), F.lit(0).alias("d"))
-    dst = docs.select(F.explode_outer(F.array_distinct(terms_col)).alias("term"), F.lit(0).alias("c"),
-                      F.lit(1).alias("d"))
-    return occ.unionByName(dst).where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("c").cast("bigint").alias("term_count"),
-                                                     F.sum("d").cast("bigint").alias("doc_freq"))
+    run = docs.select(F.array_sort(terms_col).alias("s"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))))
+    marked = F.zip_with(F.col("s"), before, lambda a, b: F.when(a.isNotNull(), F.struct(
+        a.alias("term"), F.when(a.eqNullSafe(b), 0).otherwise(1).alias("first"))))
+    each = run.select(F.explode_outer(marked).alias("m")).where(F.col("m").isNotNull())
+    return each.groupBy(F.col("m.term").alias("term")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("term_count"), F.sum("m.first").cast("bigint").alias("doc_freq"))
 
 
 def doc_term_counts(docs: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
