@@ -4,8 +4,8 @@
 Parquet and read again as the next one's documents; all but the last return the columns of ``documents``.
 
 1. ``language_id``: drops documents without a language (no letters, null text) or unlike every profile.
-2. ``near_dedup``: of each group of near duplicates the smallest doc_id stays (documents that share an id stay or go
-   together; documents without words or without an id stay).
+2. ``near_dedup``: of each group of near duplicates (``NEAR_PERCENT`` of the five-word shingles) the smallest doc_id
+   stays (documents that share an id stay or go together; documents without words or without an id stay).
 3. ``decontaminate``: drops documents that hold a passage of the benchmark.
 4. ``mix``: a document comes as often as the mix takes it (0 to 3 times, rounded to whole documents).
 5. ``token_blocks``: the shards of token ids, read back: one row a document in the stream's order.
@@ -26,6 +26,7 @@ from tableprep.llm.mixing import mix_sources
 from tableprep.llm.token_blocks import encode_documents
 
 MIN_LANGUAGE_SCORE = 0.02  # below it hardly an n-gram of the text is in any profile
+NEAR_PERCENT = 80          # shared of all shingles of two documents, of 100; the query op3 has 85 of its own
 ORACLE_SQL = None          # profiles, sketches and the tokenizer are beyond SQL; tests compare with brute force
 
 
@@ -46,7 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     return _by_id(docs, gone, "left_anti")
 
 

@@ -9,7 +9,7 @@ A document is the set of its distinct five-word shingles (``base.shingle_hashes`
    filled ones; sets near the border carry both forms, so any two sets that can be linked share one form.
 2. *Equal sets* fall together first (128-bit digest of the set); only the smallest id of each class goes on.
 3. *Banding.* ``BANDS`` keys of ``REGISTERS / BANDS`` compressed registers each. Two sets at 0.85 miss all bands with
-   a chance below 1e-8.
+   a chance below 1e-8, at 0.80 with 5e-6.
 4. *Hubs.* Within a band's group every member is compared with one hub: the member that lies in the most and largest
    groups, which is the text that others were copied from. Pairs whose collision-corrected Jaccard estimate lies far
    (six standard errors) below the threshold are left out; the rest are checked on full sets.

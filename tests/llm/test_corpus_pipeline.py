@@ -48,3 +48,15 @@ def test_odd_rows_pass_through_every_stage(spark, odd_docs, no_docs):
             if name != "token_blocks":
                 assert got.columns == odd_docs.columns
             assert got.count() <= 3 * odd_docs.count()
+
+
+def test_near_dedup_drops_copies_of_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    rows = []
+    for doc, edits in enumerate(([], [40, 80], [8, 22, 40, 60, 80])):  # a word changed changes five shingles
+        rows.append((doc, " ".join(f"x{doc}{i}" if i in edits else w for i, w in enumerate(base)), "en", "s"))
+    sets = {r[0]: shingle_set(r[1]) for r in rows}
+    alike = [len(sets[0] & sets[d]) / len(sets[0] | sets[d]) for d in (1, 2)]
+    assert 0.80 <= alike[0] < 0.85 and alike[1] < 0.80
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in C.near_dedup(spark, docs, SMALL).collect()} == {0, 2}
