@@ -3,7 +3,8 @@
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir). The result of a stage is written as
 Parquet and read again as the next one's documents; all but the last return the columns of ``documents``.
 
-1. ``language_id``: drops documents without a language (no letters, null text) or unlike every profile.
+1. ``language_id``: drops documents without a language (no letters, null text) or unlike every profile
+   (``MIN_LANGUAGE_SCORES``; below 20 letters chance and language scores overlap, so such texts stay).
 2. ``near_dedup``: of each group of near duplicates (``NEAR_PERCENT`` of the five-word shingles) the smallest doc_id
    stays (documents that share an id stay or go together; documents without words or without an id stay).
 3. ``decontaminate``: drops documents that hold a passage of the benchmark.
@@ -25,7 +26,7 @@ from tableprep.llm.langid import UNKNOWN, fold, learn_profiles, predict
 from tableprep.llm.mixing import mix_sources
 from tableprep.llm.token_blocks import encode_documents
 
-MIN_LANGUAGE_SCORE = 0.02  # below it hardly an n-gram of the text is in any profile
+MIN_LANGUAGE_SCORES = ((320, 0.32), (20, 0.40), (0, 0.02))  # (letters, least score): between chance and real texts
 NEAR_PERCENT = 80          # shared of all shingles of two documents, of 100; the query op3 has 85 of its own
 ORACLE_SQL = None          # profiles, sketches and the tokenizer are beyond SQL; tests compare with brute force
 
@@ -42,7 +43,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = learn_profiles(docs.where(fold("doc_id") != 0))
     p = fresh(docs, "prediction")
     known = docs.withColumn(p, predict(profiles, F.col("text")))
-    return known.where((F.col(f"{p}.lang") != UNKNOWN) & (F.col(f"{p}.score") >= MIN_LANGUAGE_SCORE)).drop(p)
+    least = F.lit(None)
+    for letters, score in reversed(MIN_LANGUAGE_SCORES):
+        least = F.when(F.col(f"{p}.letters") >= letters, F.lit(score)).otherwise(least)
+    return known.where((F.col(f"{p}.lang") != UNKNOWN) & (F.col(f"{p}.score") >= least)).drop(p)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tableprep.llm.chars import letter_stream
 
 PROFILE, SEGMENT, UNKNOWN = 400, 2_000_000, "und"
-RESULT = "lang string, score double"
+RESULT = "lang string, score double, letters long"
 
 
 def _codes(stream: np.ndarray) -> np.ndarray:
@@ -105,9 +105,14 @@ class Ranker:
             self.ranks[np.searchsorted(self.names, g), i] = np.arange(len(g))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
+        return self.measured(text)[:2]
+
+    def measured(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and number of letters of a text."""
         codes, counts = gram_counts(text)
+        letters = int(counts[codes < 1 << 21].sum())
         if not len(codes) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, letters
         own = ranked(codes, counts)
         at = np.searchsorted(self.names, own)
         at[(at == len(self.names)) | (self.names[np.minimum(at, len(self.names) - 1)] != own)] = len(self.names)
@@ -115,18 +120,18 @@ class Ranker:
         place = np.arange(len(own))[:, None]
         distance = np.where(theirs >= 0, np.minimum(np.abs(theirs - place), PROFILE), PROFILE).sum(axis=0)
         best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (PROFILE * len(own)))
+        return self.langs[best], float(1 - distance[best] / (PROFILE * len(own))), letters
 
 
 def predict(profiles: dict[str, list[int]], text: Column) -> Column:
-    """Struct (lang, score) of a text column."""
+    """Struct (lang, score, letters) of a text column."""
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(profiles)
         for texts in batches:
-            got = [ranker(t if isinstance(t, str) else None) for t in texts]
-            yield pd.DataFrame(got, columns=["lang", "score"])
+            got = [ranker.measured(t if isinstance(t, str) else None) for t in texts]
+            yield pd.DataFrame(got, columns=["lang", "score", "letters"])
 
     return run(text.cast("string"))
 

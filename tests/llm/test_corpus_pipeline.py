@@ -1,4 +1,6 @@
+import base64
 import collections
+import random
 
 import corpus_pipeline as C
 import pytest
@@ -60,3 +62,21 @@ def test_near_dedup_drops_copies_of_four_fifths(spark):
     assert 0.80 <= alike[0] < 0.85 and alike[1] < 0.80
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert {r["doc_id"] for r in C.near_dedup(spark, docs, SMALL).collect()} == {0, 2}
+
+
+def test_language_id_drops_what_is_no_learned_language(spark, small_docs):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    finnish = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+               "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin "
+               "tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin.")
+    texts = [base64.b64encode(rng.randbytes(n)).decode() for n in (200, 3000)]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)) for n in (40, 500)]
+    texts += [finnish, finnish * 5]
+    short = ["the", "Avec.", "und der", "A.\nAll rights reserved."]
+    rows = [(10**6 + i, t, None, None, None) for i, t in enumerate(texts + short)]
+    docs = small_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in C.language_id(spark, both, SMALL).collect()}
+    assert {d for d in kept if d >= 10**6} == {10**6 + len(texts) + i for i in range(len(short))}
+    assert {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"])} <= kept
