@@ -12,9 +12,10 @@ letters, so inflected and compound forms share the counts of their stem.
 
 A text's features are length-normalised log-likelihood ratios: the mean a word, the mean of its three highest words, the
 mean and the root-normalised sum of what words have above ``EXCESS``, and the logarithm of its words. A logistic model
-on a fold of its own turns them into a score. All counts are Spark aggregates over all training rows; the ratios reach
-the tasks in a table of ``SLOTS`` places (two of 4 bytes each, whatever the corpus), where the more telling beginning
-stays when two share a place, with 16 check bits against mistaken identity.
+on a fold of its own turns them into a score. All counts are Spark aggregates over all training rows, and all ratios stay
+a Spark table: the distinct words of the texts are joined with it, letter by letter. Of the rated words the most frequent
+(``HEAD`` at most, with their whole hashes) reach the tasks as a broadcast, the rest are joined with the documents that
+hold them; which way a word goes does not change its ratio. Ratios are added as whole numbers (``UNIT``), in any order.
 
 Null and empty texts have zero features and get the score of such a text. Repeated labels of one document count once
 (toxic if one says so); labels other than 0 and 1 are ignored; if one class is missing, all scores are the smoothed share
@@ -31,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.base import _powers, mix, stage
+from tableprep.llm.base import BitMap, _powers, mix, odd_constants, salted_lookup, signed, stage
 from tableprep.llm.chars import letter_stream
 from tableprep.llm.langid import fold
+from tableprep.llm.token_blocks import _small_batches
 
 DEPTH, DISCOUNT, EXCESS, ALPHABET = 9, 0.8, 1.5, 50
-SLOTS = 1 << 22
+HEAD, UNIT = 1 << 20, 1 << 24  # rows of 16 bytes; units of one in a fixed-point ratio
 BATCH_LETTERS = 4_000_000
 BROADCAST_LABELS = 2_000_000  # rows of 12 bytes
+_UNSEEN = odd_constants(1, "unseen")[0]  # tells the key of an unseen letter after h from the key of h
 FEATURES = ["mean_ratio", "top_ratio", "mean_excess", "root_excess", "log_words"]
 
 
@@ -88,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_ratios(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(h, ratio, weight) of all seen beginnings and (h, ratio, weight) for an unseen letter after h, from (text, toxic)."""
+    """(h, ratio) of all seen beginnings and (h, ratio) for an unseen letter after h, from (text, toxic)."""
     d = F.lit(DISCOUNT)
     counts = stage(labelled.mapInArrow(_count, "h long, parent long, low long, t long, o long")
                    .groupBy("h", "parent", "low").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
@@ -109,47 +112,164 @@ def learn_ratios(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(F.col(total) > 0, d * F.col(kinds) / F.col(total)).otherwise(F.lit(1.0))
 
     seen = counts.join(parents, "parent").join(stage(shared), "low").select(
-        "h", F.log(chance("t", "nt", "kt") / chance("o", "no", "ko")).alias("ratio"), (F.col("t") + F.col("o")).alias("n"))
-    unseen = parents.select(F.col("parent").alias("h"), F.log(left_over("nt", "kt") / left_over("no", "ko")).alias("ratio"),
-                            (F.col("nt") + F.col("no")).alias("n"))
-    return tuple(x.select("h", F.col("ratio").cast("float").alias("ratio"), (F.abs("ratio") * F.col("n")).alias("weight"))
-                 for x in (seen, unseen))
+        "h", F.log(chance("t", "nt", "kt") / chance("o", "no", "ko")).alias("ratio"))
+    unseen = parents.select(F.col("parent").alias("h"), F.log(left_over("nt", "kt") / left_over("no", "ko")).alias("ratio"))
+    return seen, unseen
 
 
-def slot_table(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(check bits, ratio) by slot: at most SLOTS rows reach the driver, in Arrow batches."""
-    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    best = ratios.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("h", "ratio"), F.struct("weight", "h")).alias("b"))
-    got = best.select("slot", F.shiftrightunsigned("b.h", 48).cast("int").alias("check"), "b.ratio").toArrow()
-    check, ratio = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.float16)
-    at = got.column(0).to_numpy()
-    check[at], ratio[at] = got.column(1).to_numpy(), got.column(2).to_numpy()
-    return check, ratio
+def words_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first letter and end of each word."""
+    c = stream.astype(np.uint64)
+    up, down = _powers(len(c))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c + np.uint64(7)) * up)))
+    space = np.flatnonzero(c == 32)
+    some = np.diff(space) > 1
+    start, end = space[:-1][some] + 1, space[1:][some]
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start, end
 
 
-def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-    ratio = table[1][at]
-    return (table[0][at] == (h >> np.uint64(48))) & (ratio != 0), ratio.astype(np.float64)
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, n, letters) of distinct words, added up over some million letters at a time."""
+    held, letters = [], 0
 
+    def flush() -> pa.RecordBatch:
+        parts = [words_of(s) for s in held]
+        shift = np.repeat(np.cumsum([0] + [len(s) for s in held[:-1]]), [len(p[0]) for p in parts])
+        flat = np.concatenate(held)
+        names, first, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
+        start = (np.concatenate([p[1] for p in parts]) + shift)[first]
+        end = (np.concatenate([p[2] for p in parts]) + shift)[first]
+        spelt = [flat[a:b].tobytes().decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist())]
+        return pa.RecordBatch.from_pydict({"w": signed(names), "n": n.astype(np.int64), "letters": pa.array(spelt, pa.string())})
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            stream = letter_stream(text)
+            if len(stream):
+                held.append(stream)
+                letters += len(stream)
+            if letters > BATCH_LETTERS:
+                yield flush()
+                held, letters = [], 0
+    if letters:
+        yield flush()
 
-def word_ratios(stream: np.ndarray, seen: tuple, unseen: tuple) -> np.ndarray:
-    """Log-likelihood ratio of each word."""
-    h, parent, _, word = beginnings(stream)
-    hit, ratio = _look_up(seen, h)
-    known, left = _look_up(unseen, parent)
-    value = np.where(hit, ratio, np.where(known, left, 0.0))
-    return np.bincount(word, value)[np.bincount(word) > 0]
 
+def rate_words(texts: DataFrame, seen: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(w, n, ratio) of all distinct words of a text column: the occurrences and the log-likelihood ratio in ``UNIT``s."""
+    other = F.lit(int(_UNSEEN.astype(np.int64)))
+    table = stage(seen.select(F.col("h").alias("key"), "ratio").unionByName(
+        unseen.select(F.col("h").bitwiseXOR(other).alias("key"), "ratio")).select(
+        "key", F.round(F.col("ratio") * UNIT).cast("long").alias("ratio")))
+    vocabulary = stage(texts.mapInArrow(_vocabulary, "w long, n long, letters string").groupBy("w").agg(
+        F.sum("n").alias("n"), F.first("letters").alias("letters")))
+    bit_map = BitMap(table, "key", table.count())
 
-def features(stream: np.ndarray, seen: tuple, unseen: tuple) -> tuple[float, ...]:
-    if not len(stream):
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(w, key, fallback): what each letter may find, and what it finds if the map let a strange one through."""
+        may_hold = bit_map.holds()
+        for batch in batches:
+            for i, j in _small_batches(batch.column(1)):
+                spelt = " ".join(["", *batch.column(1).slice(i, j - i).to_pylist(), ""])
+                h, parent, _, word = beginnings(np.frombuffer(spelt.encode("utf-32-le"), np.uint32))
+                after = parent ^ _UNSEEN
+                maybe = may_hold(h)
+                keep = np.flatnonzero(maybe | may_hold(after))
+                w = batch.column(0).slice(i, j - i).to_numpy()
+                yield pa.RecordBatch.from_pydict({"w": w[word[keep]], "key": signed(np.where(maybe, h, after)[keep]),
+                                                  "fallback": signed(after[keep])})
+
+    letters = stage(vocabulary.select("w", "letters").mapInArrow(spell, "w long, key long, fallback long"))
+    first = salted_lookup(letters, table, ["key"], F.col("w"), "left")
+    again = F.when(F.col("ratio").isNull() & (F.col("key") != F.col("fallback")), F.col("fallback"))
+    sums = stage(first.groupBy("w").agg(F.sum("ratio").alias("ratio"), F.collect_list(again).alias("again")))
+    missed = stage(sums.select("w", F.explode("again").alias("key")))
+    more = salted_lookup(missed, table, ["key"], F.col("w")).groupBy("w").agg(F.sum("ratio").alias("more"))
+    zero = F.lit(0).cast("long")
+    return vocabulary.select("w", "n").join(sums.select("w", "ratio"), "w", "left").join(more, "w", "left").select(
+        "w", "n", (F.coalesce("ratio", zero) + F.coalesce("more", zero)).alias("ratio"))
+
+
+def head_count(rated: DataFrame) -> int:
+    """The least number of occurrences from which at most ``HEAD`` words are left (powers of the eighth root of two)."""
+    bins = rated.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("bin")).count().collect()
+    total, least = 0, 1 << 62
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        total += r["count"]
+        if total > HEAD:
+            break
+        least = int(np.ceil(2 ** (r["bin"] / 8) - 1e-9))
+    return least
+
+
+def _features(n: int, total: int, excess: int, top: np.ndarray) -> tuple[float, ...]:
+    if not n:
         return (0.0,) * len(FEATURES)
-    r = word_ratios(stream, seen, unseen)
-    n = len(r)
-    top = np.sort(r[np.argpartition(r, n - 3)[n - 3:]] if n > 3 else r)
-    excess = np.maximum(r - EXCESS, 0).sum()
-    return float(r.mean()), float(top.sum() / 3), float(10 * excess / n), float(excess / np.sqrt(n)), float(np.log(n))
+    excess /= UNIT
+    return total / UNIT / n, float(top.sum()) / UNIT / 3, 10 * excess / n, excess / float(np.sqrt(n)), float(np.log(n))
+
+
+def _sums(ratio: np.ndarray, n: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Sum, sum above EXCESS, and the three highest of words with these ratios that come n times each."""
+    high = np.argsort(ratio, kind="stable")[-3:]
+    return (int((ratio * n).sum()), int((np.maximum(ratio - int(EXCESS * UNIT), 0) * n).sum()),
+            np.repeat(ratio[high], np.minimum(n[high], 3))[-3:])
+
+
+def measure(rows: DataFrame, rated: DataFrame) -> DataFrame:
+    """(doc_id, fold, features) of (doc_id, text, fold) with the words' ratios."""
+    least = head_count(rated)
+    got = rated.where(F.col("n") >= least).select("w", "ratio").toArrow()
+    names, ratio = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(names)
+    head = rows.sparkSession.sparkContext.broadcast((names[order], ratio[order]))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ratio = head.value
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                stream = letter_stream(text)
+                w, n = np.unique(words_of(stream)[0], return_counts=True) if len(stream) else (
+                    np.empty(0, np.uint64), np.empty(0, np.int64))
+                at = np.searchsorted(names, w)
+                hit = np.zeros(len(w), bool)
+                inside = np.flatnonzero(at < len(names))
+                hit[inside] = names[at[inside]] == w[inside]
+                total, excess, top = _sums(ratio[at[hit]], n[hit])
+                out.append((int(n.sum()), total, excess, top.tolist(), signed(w[~hit]).tolist(), n[~hit].tolist()))
+            columns = list(zip(*out)) if out else [[]] * 6
+            lists = pa.list_(pa.int64())
+            types = [pa.int64()] * 3 + [lists] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip(columns, types)]],
+                ["doc_id", "fold", "words", "total", "excess", "top", "rare", "times"])
+
+    summed = stage(rows.select("doc_id", "text", "fold").mapInArrow(
+        add_up, "doc_id long, fold long, words long, total long, excess long, top array<long>, rare array<long>, "
+                "times array<long>").withColumn("row", F.monotonically_increasing_id()))
+    rare = stage(summed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select(
+        "row", F.col("z.rare").alias("w"), F.col("z.times").alias("times")))
+    tail = rated.where(F.col("n") < least).select("w", "ratio")
+    found = salted_lookup(rare, tail, ["w"], F.col("row")).groupBy("row").agg(
+        F.collect_list(F.struct("ratio", "times")).alias("found"))  # no more than the document's own words
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.select(["words", "total", "excess", "top", "found"]).to_pylist():
+                total, excess, top = r["total"], r["excess"], np.array(r["top"], np.int64)
+                if r["found"]:
+                    pairs = np.array([(x["ratio"], x["times"]) for x in r["found"]], np.int64)
+                    a, b, c = _sums(pairs[:, 0], pairs[:, 1])
+                    total, excess, top = total + a, excess + b, np.sort(np.concatenate((top, c)))[-3:]
+                out.append(_features(r["words"], total, excess, top))
+            got = np.array(out).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), *[pa.array(x) for x in got.T]],
+                                             ["doc_id", "fold", *FEATURES])
+
+    return stage(summed.drop("rare", "times").join(found, "row", "left").mapInArrow(
+        finish, "doc_id long, fold long, " + ", ".join(f"{f} double" for f in FEATURES)))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -164,18 +284,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small = taught.count() <= BROADCAST_LABELS
     side = F.broadcast(taught) if small else taught
     labelled = rows.where("fold in (1, 2, 3) and text is not null").join(side, "doc_id").select("text", "toxic")
-    seen, unseen = learn_ratios(labelled)
-    tables = spark.sparkContext.broadcast((slot_table(seen), slot_table(unseen)))  # 8 bytes a slot
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tables.value
-        for batch in batches:
-            got = np.array([features(letter_stream(t), a, b) for t in batch.column(1).to_pylist()]).reshape(
-                -1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x) for x in got.T]],
-                                             ["doc_id", "fold", *FEATURES])
-
-    measured = stage(rows.mapInArrow(measure, "doc_id long, fold long, " + ", ".join(f"{f} double" for f in FEATURES)))
+    rated = stage(rate_words(rows.select("text"), *learn_ratios(labelled)))
+    measured = measure(rows, rated)
     weights, base = _calibrate(measured.where("fold = 4").join(side, "doc_id"))
     linear = F.lit(base)
     for f, w in zip(FEATURES, weights):

@@ -75,3 +75,33 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and len({r["score"] for r in got if r["doc_id"] in (4, 5, 6)}) == 1
     assert toxicity.score(no_docs, labels).count() == 0
     assert toxicity.score(odd_docs, labels.limit(0)).count() == odd_docs.count()
+
+
+def _by_hand(word, seen, unseen):
+    """A word's ratio in units, from whole tables."""
+    h, parent = (x.view(np.int64).tolist() for x in toxicity.beginnings(letter_stream(word))[:2])
+    return sum(round(seen.get(a, unseen.get(b, 0.0)) * toxicity.UNIT) for a, b in zip(h, parent))
+
+
+def test_no_beginning_displaces_another(spark):
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(6000)})
+    rows = [(" ".join(words[i::40]), int(i % 4 == 0)) for i in range(40)]
+    seen, unseen = toxicity.learn_ratios(spark.createDataFrame(rows, "text string, toxic int"))
+    tables = [{r["h"]: r["ratio"] for r in x.collect()} for x in (seen, unseen)]
+    assert len({h % (1 << 22) for h in tables[0]}) < len(tables[0])  # some share a place of 22 bits
+    texts = words + ["abcx", "xyz", "hgfedcbah", words[0]]
+    got = toxicity.rate_words(spark.createDataFrame([(t,) for t in texts], "text string"), seen, unseen).collect()
+    rated = {r["w"]: (r["n"], r["ratio"]) for r in got}
+    assert len(rated) == len(set(texts))
+    for t in set(texts):
+        n, ratio = rated[int(toxicity.words_of(letter_stream(t))[0].view(np.int64)[0])]
+        assert n == texts.count(t) and abs(ratio - _by_hand(t, *tables)) <= 1
+
+
+def test_joined_words_count_like_sent_ones(spark, odd_docs, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-3, 12)], "doc_id long, toxic int")
+    want = sorted(map(tuple, toxicity.score(odd_docs, labels).collect()), key=str)
+    for head in (0, 5):
+        monkeypatch.setattr(toxicity, "HEAD", head)
+        assert sorted(map(tuple, toxicity.score(odd_docs, labels).collect()), key=str) == want
