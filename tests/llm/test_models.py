@@ -79,7 +79,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
 
 def _by_hand(word, seen, unseen):
     """A word's ratio in units, from whole tables."""
-    h, parent = (x.view(np.int64).tolist() for x in toxicity.beginnings(letter_stream(word))[:2])
+    h, parent = (x.view(np.int64).tolist() for x in toxicity.all_letters(letter_stream(word))[:2])
     return sum(round(seen.get(a, unseen.get(b, 0.0)) * toxicity.UNIT) for a, b in zip(h, parent))
 
 
@@ -105,3 +105,17 @@ def test_joined_words_count_like_sent_ones(spark, odd_docs, monkeypatch):
     for head in (0, 5):
         monkeypatch.setattr(toxicity, "HEAD", head)
         assert sorted(map(tuple, toxicity.score(odd_docs, labels).collect()), key=str) == want
+
+
+def test_letters_after_the_ninth_and_ends_count(spark):
+    plain = ["wonderland garden", "underground station", "gardening glove", "zorkelian garden", "zorkelia station"] * 5
+    rows = [("you zorkel", 1)] * 6 + [(t, 0) for t in plain]
+    tables = toxicity.learn_ratios(spark.createDataFrame(rows, "text string, toxic int"))
+    texts = ["wonderland", "wonderlandzorkel", "zorkel", "zorkelian", "zorkeliano"]
+    got = toxicity.rate_words(spark.createDataFrame([(t,) for t in texts], "text string"), *tables).collect()
+    names = {int(toxicity.words_of(letter_stream(t))[0].view(np.int64)[0]): t for t in texts}
+    r = {names[x["w"]]: x["ratio"] / toxicity.UNIT for x in got}
+    assert r["wonderlandzorkel"] > r["wonderland"] + 2  # was equal: only nine letters counted
+    assert r["zorkel"] > r["zorkelian"] + 2
+    h = [toxicity.all_letters(letter_stream(t))[0].tolist() for t in texts]
+    assert [len(x) for x in h] == [len(t) + 1 for t in texts]  # each letter and the end, once
