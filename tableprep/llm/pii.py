@@ -5,7 +5,8 @@ exclusive), each in time linear in the text. Matches that fail their check (part
 dropped, not tried again.
 
 *Bootstrapping.* Base entities are the seeds of a pattern-instance graph. An instance is an identifier-like token (a
-digit or ``@`` in it) with its shape's kind; a pattern is what stands around it: the two words before, the word before,
+digit or ``@`` in it) with its shape's kind, or a card or phone number written in groups (tokens one space apart that fit
+a shape together, the longest first, at most one of them an identifier by itself); a pattern is what stands around it: the two words before, the word before,
 or the words on both sides (lower case, ends stripped). Spark scores the graph iteratively: a pattern's confidence for a
 kind is the confidence of its instances of that kind, weighted by their number, over all identifier-like tokens in that
 context, shrunk by ``PRIOR``; an instance's is the chance that one of its patterns is right. After ``ROUNDS`` rounds,
@@ -103,6 +104,7 @@ SHAPES = (
 EDGE = ".,;:!?\"'()[]{}<>|*&%$#=-"
 MARK = re.compile(r"[0-9@]\S*", re.ASCII)
 SPACES = " \t\n\r\x0b\x0c"
+MOST_GROUPS, MOST_DIGITS = 5, {2: 19, 3: 15}  # what the shapes hold; digits as in the base patterns
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
@@ -114,16 +116,51 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _shape(token: str) -> int:
+    if len(token) > 80:  # longer than the numeric shapes get
+        return 0 if token.count("@") < 2 and SHAPES[0][1].fullmatch(token) else -1
     for kind, pattern in SHAPES:
-        if len(token) <= 80 and pattern.fullmatch(token):
+        if pattern.fullmatch(token):
             return kind
     return -1
 
 
+def _group(text: str, run: list[tuple[int, int, int, int]]) -> tuple[int, int, int, int] | None:
+    """(tokens used, start, end, kind) of the longest number that the first two or more tokens of a run write in groups.
+    A run holds (raw start, raw end, start, end) of tokens one space apart."""
+    lone = 0
+    ends = []
+    for _, _, s, e in run[:MOST_GROUPS]:
+        lone += _shape(text[s:e]) >= 0
+        if lone > 1 or e - s > 80:
+            break
+        ends.append(e)
+    for n in range(len(ends), 1, -1):
+        for s in {run[0][2], run[0][0]}:  # an opening bracket belongs to it where the shape says so
+            for kind in (2, 3):
+                if SHAPES[kind][1].fullmatch(text, s, ends[n - 1]) and (
+                        sum(c.isdigit() for c in text[s:ends[n - 1]]) <= MOST_DIGITS[kind]):
+                    return n, s, ends[n - 1], kind
+    return None
+
+
 def _context(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """The two words before and the word after, lower case, ends stripped; looks at 80 characters a side."""
-    before = text[max(0, start - 80):start].lower().split()[-2:]
-    after = text[end:end + 80].lower().split()[:1]
+    """The two words before and the word after, lower case, ends stripped."""
+    width, before = 80, []
+    while True:
+        piece = text[max(0, start - width):start]
+        before = piece.split()
+        if width >= start or len(before) > 2:  # the first word may go on before the piece
+            break
+        width *= 2
+    width = 80
+    while True:
+        piece = text[end:end + width]
+        after = piece.split(maxsplit=1)
+        if end + width >= len(text) or len(after) > 1 or (after and piece[-1].isspace()):
+            break
+        width *= 2
+    before = [w.lower() for w in before[-2:]]
+    after = [w.lower() for w in after[:1]]
     left = [""] * (2 - len(before)) + [w.strip(EDGE) or w for w in before]
     return left[0], left[1], (after[0].strip(EDGE) or after[0]) if after else ""
 
@@ -142,6 +179,7 @@ def instances(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple
     reach = []
     for s, e, _ in spans:
         reach.append(max(e, reach[-1]) if reach else e)
+    tokens = []
     for start, end in _tokens(text):
         raw = text[start:end]
         s = start + len(raw) - len(raw.lstrip(EDGE))
@@ -151,7 +189,23 @@ def instances(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple
         i = bisect_left(starts, e) - 1
         if i >= 0 and reach[i] > s:
             continue  # a part of it is a base span
-        found.append((s, e, _shape(text[s:e]), False))
+        tokens.append((start, end, s, e))
+    at = 0
+    while at < len(tokens):
+        run = tokens[at:at + 1]
+        while len(run) < MOST_GROUPS and at + len(run) < len(tokens):
+            after = tokens[at + len(run)]
+            if after[0] != run[-1][1] + 1 or text[run[-1][1]] != " ":
+                break
+            run.append(after)
+        group = _group(text, run) if len(run) > 1 else None
+        if group:
+            at += group[0]
+            found.append((*group[1:], False))
+        else:
+            s, e = tokens[at][2:]
+            at += 1
+            found.append((s, e, _shape(text[s:e]), False))
     out = []
     for s, e, k, seed in found:
         two, one, after = _context(text, s, e)

@@ -63,3 +63,32 @@ def test_odd_rows(odd_docs, no_docs):
     empty = hashlib.sha256(b"").hexdigest()
     assert got.where(F.col("doc_id").isin(4, 5)).select("base_sha256", "spans").distinct().collect() == [(empty, "")]
     assert pii.find_personal_data(no_docs).count() == 0
+
+
+def test_numbers_in_groups_are_one_instance(spark):
+    rows = [(i, f"Please call tel: +49 30 5550 10{i:02d} today") for i in range(20)]
+    rows += [(50 + i, f"Paid with card: {n} today") for i, n in enumerate(
+        ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "6011 1111 1111 1117", "4222 2222 2222 2"])]
+    rows += [(100, "Please call tel: 030 1234 5678 today"), (101, "Please call tel: (030) 1234 5678 today"),
+             (102, "Paid with card: 1234 5678 9012 3456 today"), (103, "rows 030 1234 5678 elsewhere")]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100]["spans"] == "phone:17:30" and got[101]["spans"] == "phone:17:32"
+    assert got[102]["spans"] == "card:16:35" and got[102]["n_card"] == 0 and got[103]["n_found"] == 0
+
+
+def test_groups_end_where_the_shapes_end():
+    def found(text):
+        return [(text[s:e], k) for s, e, k, *_ in pii.instances(text, pii.base_spans(text))]
+    assert found("call 030 1234 5678, room 12") == [("030 1234 5678", 3), ("12", -1)]
+    assert found("030  1234 5678 030\n1234 5678") == [("030", -1), ("1234 5678 030", 3), ("1234 5678", 3)]
+    assert found("5550107788 5550107789") == [("5550107788", 3), ("5550107789", 3)]
+    assert found("12 or 345 pieces") == [("12", -1), ("345", -1)]
+
+
+def test_long_tokens_and_neighbours_are_whole():
+    local = "a" * 100
+    assert pii._shape(f"{local}(at)example.org") == 0 and pii._shape("1" * 100) == -1 == pii._shape("a@" * 100)
+    word = "x" * 200
+    text = f"one {word} 12345 {word}y"
+    assert pii._context(text, 205, 210) == ("one", word, word + "y")
+    assert pii._context(" " * 300 + "a b " + " " * 300 + "1", 604, 605) == ("a", "b", "")
