@@ -5,8 +5,9 @@ substituted word at a zero does not change it. Test and training seeds are joine
 around each hit are compared: an item is found in a document where a stretch of the alignment has enough equal words
 and at least ``similarity`` of its words equal. Substitutions are tolerated anywhere in the stretch.
 
-* Items of fewer words than a mask's span get a solid mask of their own length (they are found when all their words
-  occur in a row). Items without words find nothing.
+* Every item also gets a solid mask, as long as the run of equal words that each stretch that counts must hold (at 0.8
+  four words, fewer for items of less than 16), so no pattern of substitutions is missed. Items without words find
+  nothing.
 * A stretch counts when its equal words reach ``similarity`` times the item's words, or ``long_run`` words for longer
   items (a passage of that length is a leak whatever the item's length).
 * A document's seeds first meet a bit map of the items' seeds (size set by their number, at most 32 MB); only
@@ -48,19 +49,27 @@ def seeds(h: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(total)
 
 
-def _item_rows(lengths_only: bool):
+def solid_run(n: int, similarity: float, long_run: int) -> int:
+    """The run of equal words that every stretch of an item of n words that counts holds, however its others lie."""
+    percent = round(100 * similarity)
+    least = min(n, max(1, int(min(np.ceil(similarity * n), long_run))))
+    equal = np.arange(least, n + 1)
+    unequal = np.minimum(n - equal, equal * (100 - percent) // percent if percent else n)
+    return min(len(_MULT) - 1, int((-(-equal // (unequal + 1))).min()))  # a part of a longer run is one too
+
+
+def _item_rows(lengths_only: bool, similarity: float, long_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = len(MASKS[0])
         for batch in batches:
             h, bounds = batch_word_hashes(batch.column(1))
             for item, s, e in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:]):
                 words = h[s:e]
+                solid = solid_run(len(words), similarity, long_run) if len(words) else 0
                 if lengths_only:
                     yield pa.RecordBatch.from_pydict({"item_id": pa.array([item], pa.int64()), "n_words": [len(words)],
-                                                      "words": pa.array([words.tobytes()], pa.binary())})
+                                                      "solid": [solid], "words": pa.array([words.tobytes()], pa.binary())})
                     continue
-                solid = [(1000 + len(words), "1" * len(words))] if 0 < len(words) < span else []
-                for number, mask in [*enumerate(MASKS), *solid]:
+                for number, mask in [*enumerate(MASKS), (1000 + solid, "1" * solid)] if solid else []:
                     got = seeds(words, mask, number)
                     yield pa.RecordBatch.from_pydict({"seed": signed(got), "item_id": pa.array([item] * len(got), pa.int64()),
                                                       "item_pos": np.arange(len(got))})
@@ -85,16 +94,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """One row a document and item found in it: doc_id, item_id, n_words of the item, n_equal, start word, similarity."""
     tests = items.select(F.col(item_id_col).cast("long").alias("item_id"),
                          F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
-    item_words = stage(tests.mapInArrow(_item_rows(True), "item_id long, n_words long, words binary")
+    item_words = stage(tests.mapInArrow(_item_rows(True, similarity, long_run),
+                                        "item_id long, n_words long, solid long, words binary")
                        .where("n_words > 0").distinct())
-    item_seeds = stage(tests.mapInArrow(_item_rows(False), "seed long, item_id long, item_pos long").distinct())
-    facts = item_words.agg(F.max("n_words").alias("longest"), F.sort_array(F.collect_set(
-        F.when(F.col("n_words") < len(MASKS[0]), F.col("n_words")))).alias("short")).first()
-    margin, short = int(facts["longest"] or 0), [int(x) for x in facts["short"]]  # at most span - 1 short lengths
+    item_seeds = stage(tests.mapInArrow(_item_rows(False, similarity, long_run),
+                                        "seed long, item_id long, item_pos long").distinct())
+    facts = item_words.agg(F.max("n_words").alias("longest"), F.sort_array(F.collect_set("solid")).alias("solid")).first()
+    margin, solid = int(facts["longest"] or 0), [int(x) for x in facts["solid"]]  # at most long_run lengths
     n_seeds = item_seeds.count()
     bit_map = BitMap(item_seeds, "seed", n_seeds)
 
-    masks = [*enumerate(MASKS), *[(1000 + n, "1" * n) for n in short]]
+    masks = [*enumerate(MASKS), *[(1000 + n, "1" * n) for n in solid]]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +156,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     diagonals = met.select("region", "item_id", (F.col("at") - F.col("item_pos")).alias("shift")).distinct()
     by_region = diagonals.groupBy("region", "item_id").agg(F.collect_set("shift").alias("shifts"))
     full = by_region.join(regions.select("region", "doc_id", "start", "words"), "region")
-    item_side = item_words.withColumnRenamed("words", "item_words")
+    item_side = item_words.select("item_id", "n_words", F.col("words").alias("item_words"))
     if n_seeds <= BROADCAST_ROWS:  # an item's words are not many more than its seeds
         full = full.join(F.broadcast(item_side), "item_id")
     else:

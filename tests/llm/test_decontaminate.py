@@ -64,3 +64,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = sorted(((r["doc_id"], r["item_id"]) for r in find_leaks(odd_docs, bench).collect()), key=str)
     assert got == sorted([(7, 4), (8, 1), (9, 1), (None, 1)], key=str)
     assert find_leaks(no_docs, bench).count() == 0 and find_leaks(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_no_pattern_of_substitutions_is_missed(spark):
+    rng = random.Random(7)
+    items = {n: _prose(rng, n) for n in range(1, 31)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for _ in range(12):
+            leak = list(item)
+            for at in rng.sample(range(n), n - -(-8 * n // 10)):
+                leak[at] = "changed"
+            want.add((len(rows), n))
+            rows.append((len(rows), " ".join([f"a{i}" for i in range(20)] + leak + [f"z{i}" for i in range(20)])))
+    for n in (20, 25, 30):  # thirteen equal words of sixteen, from inside a longer item
+        for _ in range(30):
+            leak = items[n][2:18]
+            for at in rng.sample(range(16), 3):
+                leak[at] = "changed"
+            want.add((len(rows), n))
+            rows.append((len(rows), " ".join(["before", *leak, "after"])))
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert want <= got
