@@ -126,11 +126,12 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Da
     prefix = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
     kept = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= prefix).where("held > 1")
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(threshold)) + 1e-9).cast("int")
-    rows = stage(kept.withColumn("own", part).withColumn("part", F.explode(F.array(F.col("own"), F.col("own") + 1))))
-    a, b = rows.toDF(*[f"{c}_a" for c in rows.columns]), rows.toDF(*[f"{c}_b" for c in rows.columns])
-    met = a.join(b, (F.col("sig_a") == F.col("sig_b")) & (F.col("part_a") == F.col("part_b"))
-                 & (F.col("n_a") * threshold <= F.col("n_b")) & (F.col("n_b") * threshold <= F.col("n_a"))
-                 & (F.col("rep_a") < F.col("rep_b"))).select("rep_a", "rep_b").distinct()
+    rows = stage(kept.select("rep", "n", "sig", F.explode(F.array(part, part + 1)).alias("part")))
+    a = rows.withColumnsRenamed({"rep": "rep_a", "n": "n_a"})
+    b = rows.withColumnsRenamed({"rep": "rep_b", "n": "n_b"})
+    met = salted_lookup(a, b, ["sig", "part"], F.col("rep_a")).where(
+        (F.col("n_a") * threshold <= F.col("n_b")) & (F.col("n_b") * threshold <= F.col("n_a"))
+        & (F.col("rep_a") < F.col("rep_b"))).select("rep_a", "rep_b").distinct()
     side = classes.select("rep", "fingerprint")
     full = met.join(side.toDF("rep_a", "f_a"), "rep_a").join(side.toDF("rep_b", "f_b"), "rep_b")
 

@@ -64,3 +64,12 @@ def test_near_pairs_equal_brute_force(small_docs, threshold):
     pairs, members = S.near_pairs(prints, threshold)
     assert {(r["rep_a"], r["rep_b"]) for r in pairs.collect()} == want
     assert {(r["doc_id"], r["rep"]) for r in members.collect()} >= {(r["doc_id"], rep[r["fingerprint"]]) for r in rows}
+
+
+def test_a_frequent_signature_is_joined_with_salts(spark, capsys):
+    own = np.arange(1, 1301, dtype="<u4")  # each set holds the frequent signature and one of its own
+    rows = [(i, 2, base64.b64encode(np.array([7_000_000, x], "<u4").tobytes()).decode()) for i, x in enumerate(own)]
+    pairs, _ = S.near_pairs(spark.createDataFrame(rows, "doc_id long, n_signatures long, fingerprint string"), 0.3)
+    pairs.explain()
+    assert "salt" in capsys.readouterr().out
+    assert pairs.count() == 1300 * 1299 // 2
