@@ -65,6 +65,19 @@ def op10_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tableprep.llm.chat import collapse_and_render
     return collapse_and_render(_table(spark, sf_dir, "conversations"))
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.divergence import source_divergences
+    return source_divergences(_table(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.licenses import scan_licenses
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))  # no Python in its tasks: nothing to ship
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tableprep.llm.trie import prefix_trie
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
@@ -78,4 +91,7 @@ QUERIES = {
     "op8_spot_signatures": op8_spot_signatures,
     "op9_token_blocks": op9_token_blocks,
     "op10_snapshot_chats": op10_snapshot_chats,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_license_scan": op12_license_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
