@@ -3,8 +3,8 @@ combined ``Encoder`` that assembles numeric, categorical and text blocks into on
 
 Category lists and the TF-IDF vocabulary are the model: their size is bounded by the
 data's cardinality or by ``max_features``. Per-category statistics come from one
-partial aggregate; vectors are built by JVM stages (StringIndexer, OneHotEncoder,
-CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler).
+partial aggregate; text vectors are built from their sparse parts in Arrow batches (``terms``),
+the others by JVM stages (OneHotEncoder, VectorAssembler).
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, OneHotEncoder,
-                                VectorAssembler, VectorSlicer)
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSlicer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.functions.text import concat_text, word_tokens
 from tableprep.operators import stats
+from tableprep.operators import terms as T
 from tableprep.operators.features import apply_lookup, map_sizes, stats_checkpoint
 from tableprep.operators.profile import TEXT_MEAN_LENGTH, numeric_cols, string_cols, text_columns
 from tableprep.persist import Saved
+from tableprep.session import ship_package
 
 def hash_bucket(id_col: str, buckets: int) -> Column:
     """Deterministic bucket of a row id: first 8 hex digits of md5(id) modulo ``buckets``
@@ -167,65 +168,15 @@ class TargetEncoderModel(Saved, Model):
 # text
 # ----------------------------------------------------------------------------------------
 
-def explode_terms(terms_col: str, alias: str = "term") -> Column:
-    """explode_outer, not explode: for ``explode`` Catalyst infers a ``size(terms) > 0``
-    filter and pushes it below any exchange into the scan, re-evaluating the whole
-    tokenizing expression there. Callers drop the null rows of empty documents."""
-    return F.explode_outer(terms_col).alias(alias)
+def with_tokens(df: DataFrame, text: Column, out_col: str = "tokens", lowercase: bool = True) -> DataFrame:
+    """Add ``out_col``: word tokens of 2+ word characters. Pairs of them are built where they are counted."""
+    return df.withColumn(out_col, word_tokens(F.lower(text) if lowercase else text))
 
 
-def bigrams(tokens: Column) -> Column:
-    n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n),
-                      lambda a, b: F.concat_ws(" ", a, b))
-
-
-def terms(text: Column, ngrams: int = 2, lowercase: bool = True) -> Column:
-    """Word tokens of 2+ word characters, then (for ngrams=2) adjacent pairs joined by a space.
-
-    Prefer ``with_terms`` on a DataFrame: it tokenizes once and builds bigrams from the
-    stored tokens instead of re-evaluating the regex for every reference."""
-    t = word_tokens(F.lower(text) if lowercase else text)
-    return F.concat(t, bigrams(t)) if ngrams >= 2 else t
-
-
-def with_terms(df: DataFrame, text: Column, out_col: str = "terms", ngrams: int = 2,
-               lowercase: bool = True) -> DataFrame:
-    """Add ``out_col``: tokens (computed once, kept in a column) plus their bigrams."""
-    tok = f"_{out_col}_tok"
-    df = df.withColumn(tok, word_tokens(F.lower(text) if lowercase else text))
-    if ngrams >= 2:
-        return df.withColumn(out_col, F.concat(F.col(tok), bigrams(F.col(tok)))).drop(tok)
-    return df.withColumnRenamed(tok, out_col)
-
-
-def term_stats(docs: DataFrame, terms_col: str = "terms", id_col: str | None = None) -> DataFrame:
-    """(term, term_count, doc_freq) over the corpus, from one tokenization and one shuffle of partial counts by term.
-
-    Without a document id a document's terms are sorted and the first of each run is marked, so the marks add up to
-    the document frequency; with one, the counts come from per-(doc, term) rows.
-    """
-    if id_col is not None:
-        return doc_term_counts(docs, id_col, terms_col).groupBy("term").agg(
-            F.sum("tf").cast("bigint").alias("term_count"), F.count(F.lit(1)).cast("bigint").alias("doc_freq"))
-    run = docs.select(F.array_sort(terms_col).alias("s"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))))
-    marked = F.zip_with(F.col("s"), before, lambda a, b: F.when(a.isNotNull(), F.struct(
-        a.alias("term"), F.when(a.eqNullSafe(b), 0).otherwise(1).alias("first"))))
-    each = run.select(F.explode_outer(marked).alias("m")).where(F.col("m").isNotNull())
-    return each.groupBy(F.col("m.term").alias("term")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("term_count"), F.sum("m.first").cast("bigint").alias("doc_freq"))
-
-
-def doc_term_counts(docs: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
-    """(id, term, tf): occurrences of each term in each document."""
-    return docs.select(id_col, explode_terms(terms_col)).where(F.col("term").isNotNull()) \
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def top_terms(docs: DataFrame, max_features: int, terms_col: str = "terms", id_col: str | None = None) -> DataFrame:
-    """The vocabulary: most frequent terms over the corpus, ties by term (top-k, k bounded)."""
-    return term_stats(docs, terms_col, id_col).orderBy(F.desc("term_count"), F.asc("term")).limit(max_features)
+def top_terms(docs: DataFrame, max_features: int, tokens_col: str = "tokens", ngrams: int = 2) -> DataFrame:
+    """(term, term_count, doc_freq) of the ``max_features`` most frequent terms, ties by term."""
+    found = T.frequent_terms(docs, tokens_col, max_features, ngrams)
+    return docs.sparkSession.createDataFrame(found.rows, "term string, term_count long, doc_freq long")
 
 
 @dataclass
@@ -246,14 +197,11 @@ class TfidfVectorizer(Estimator):
 
     def _fit(self, df: DataFrame) -> "TfidfModel":
         cfg = self.config
-        docs = with_terms(df.select(self.input_col), F.coalesce(F.col(self.input_col), F.lit("")), "terms",
-                          cfg.ngrams, cfg.lowercase).select("terms")
-        n_docs = docs.count()
-        vocab = top_terms(docs, cfg.max_features).collect()       # at most max_features rows
-        vocab.sort(key=lambda r: r["term"])
-        words = [r["term"] for r in vocab]
-        idf = [float(__import__("math").log((1 + n_docs) / (1 + r["doc_freq"])) + 1) for r in vocab]
-        return TfidfModel(self.input_col, self.output_col, cfg, words, idf, n_docs)
+        docs = with_tokens(df.select(self.input_col), F.coalesce(F.col(self.input_col), F.lit("")), "tokens", cfg.lowercase)
+        found = T.frequent_terms(docs, "tokens", cfg.max_features, cfg.ngrams)
+        rows = sorted(found.rows, key=lambda r: r[0].encode("utf-8", "surrogatepass"))   # at most max_features
+        return TfidfModel(self.input_col, self.output_col, cfg, [r[0] for r in rows],
+                          [T.smooth_idf(found.n_docs, r[2]) for r in rows], found.n_docs)
 
 
 class TfidfModel(Saved, Model):
@@ -262,66 +210,51 @@ class TfidfModel(Saved, Model):
         self.input_col, self.output_col, self.config = input_col, output_col, config
         self.vocabulary, self.idf, self.n_docs = vocabulary, idf, n_docs
 
-    def idf_table(self, spark) -> DataFrame:
-        return spark.createDataFrame(list(zip(self.vocabulary, self.idf, range(len(self.idf)))),
-                                     "term string, idf double, slot int")
+    def slots(self) -> T.Slots:
+        return T.vocabulary_slots(self.vocabulary, self.idf, self.config.ngrams, self.config.sublinear_tf)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cfg = self.config
         if not self.vocabulary:
             return df.withColumn(self.output_col, F.lit(None))
-        tcol = f"_{self.output_col}_terms"
-        out = with_terms(df, F.coalesce(F.col(self.input_col), F.lit("")), tcol, cfg.ngrams, cfg.lowercase)
-        cv = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol=tcol, outputCol=f"{tcol}_tf")
-        out = cv.transform(out)
-        if cfg.sublinear_tf:
-            raise NotImplementedError("sublinear_tf vectors: use tfidf_long (long form) instead")
-        out = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol=f"{tcol}_tf",
-                                 outputCol=f"{tcol}_w").transform(out)
-        out = Normalizer(p=2.0, inputCol=f"{tcol}_w", outputCol=self.output_col).transform(out)
-        return out.drop(tcol, f"{tcol}_tf", f"{tcol}_w")
+        ship_package(df.sparkSession)
+        tokens = f"_{self.output_col}_tokens"
+        out = with_tokens(df, F.coalesce(F.col(self.input_col), F.lit("")), tokens, self.config.lowercase)
+        vector = T.weight_vector(F.col(tokens), self.slots(), len(self.vocabulary))
+        return out.withColumn(self.output_col, vector.alias(self.output_col, metadata=_width(len(self.vocabulary)))).drop(
+            tokens)
 
 
-def tfidf_long(docs: DataFrame, id_col: str, text_col: str, config: TfidfConfig | None = None) -> DataFrame:
-    """TF-IDF weights in long form (id, term, weight), fitted on ``docs`` itself.
+def _width(n: int) -> dict:
+    return {"ml_attr": {"num_attrs": n}}
 
-    Plan: explode terms -> count per (doc, term) -> join the bounded vocabulary
-    (broadcast, at most max_features rows) -> L2 norm over each document's terms.
-    """
-    cfg = config or TfidfConfig()
-    t = with_terms(docs.select(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")), "terms", cfg.ngrams,
-                   cfg.lowercase).select(id_col, "terms")
-    n_docs = docs.count()
-    tf = doc_term_counts(t, id_col)          # one tokenization; its exchange is reused below
-    vocab = tf.groupBy("term").agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("doc_freq")) \
-        .orderBy(F.desc("term_count"), F.asc("term")).limit(cfg.max_features)
-    idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("doc_freq"))) + 1).alias("idf"))
-    w = tf.join(F.broadcast(idf), "term")     # vocabulary size <= max_features (checked bound)
-    tfw = (F.lit(1.0) + F.log(F.col("tf"))) if cfg.sublinear_tf else F.col("tf").cast("double")
-    w = w.withColumn("w", tfw * F.col("idf"))
-    from pyspark.sql import Window
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+
+def tfidf_long(docs: DataFrame, id_col: str, text_col: str, config: TfidfConfig | None = None) -> DataFrame:
+    """TF-IDF weights in long form (id, term, weight), fitted on ``docs`` itself; each row is a document."""
+    model = TfidfVectorizer(text_col, "tfidf", config).fit(docs)
+    rows = with_tokens(docs.select(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")), "tokens",
+                       model.config.lowercase)
+    return T.weight_rows(rows, id_col, "tokens", model.slots(), model.vocabulary).withColumnRenamed("slot", "term")
 
 
 def hashing_long(docs: DataFrame, id_col: str, text_col: str, num_features: int = 5000) -> DataFrame:
-    """Signed hashing vectorizer in long form (id, bucket, weight): a token's md5 picks its bucket and its sign, so two
-    tokens of one bucket tend to cancel rather than add up; rows are L2-normalised, empty buckets left out."""
-    t = with_terms(docs.select(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")), "terms", 1).select(id_col, "terms")
-    digest = F.md5(F.col("term"))
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(num_features))
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
-    sums = t.select(id_col, explode_terms("terms")).where(F.col("term").isNotNull()).groupBy(
-        id_col, bucket.alias("bucket")).agg(F.sum(sign).alias("s")).where("s <> 0")
-    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy(id_col)))
-    return sums.select(id_col, "bucket", (F.col("s") / norm).alias("weight"))
+    """Signed hashing vectorizer in long form (id, bucket, weight); rows are L2-normalised, empty buckets left out."""
+    rows = with_tokens(docs.select(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")), "tokens")
+    return T.weight_rows(rows, id_col, "tokens", T.hashed_slots(num_features)).withColumnRenamed("slot", "bucket")
+
 
+class SignedHashing(Saved, Model):
+    """The signed hashing vectorizer as a stage: nothing to fit, one sparse L2-normalised vector a text."""
 
-def hashing_stages(input_col: str, tokens_col: str, output_col: str, num_features: int = 5000):
-    """Stateless: HashingTF over word tokens, then L2 norm (Spark's hash, unsigned)."""
-    tf = HashingTF(numFeatures=num_features, inputCol=tokens_col, outputCol=f"{output_col}_raw")
-    norm = Normalizer(p=2.0, inputCol=f"{output_col}_raw", outputCol=output_col)
-    return tf, norm
+    def __init__(self, input_col: str, output_col: str, num_features: int = 5000, lowercase: bool = True):
+        super().__init__()
+        self.input_col, self.output_col, self.num_features, self.lowercase = input_col, output_col, num_features, lowercase
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        ship_package(df.sparkSession)
+        tokens = f"_{self.output_col}_tokens"
+        out = with_tokens(df, F.coalesce(F.col(self.input_col), F.lit("")), tokens, self.lowercase)
+        vector = T.weight_vector(F.col(tokens), T.hashed_slots(self.num_features), self.num_features)
+        return out.withColumn(self.output_col, vector.alias(self.output_col, metadata=_width(self.num_features))).drop(tokens)
 
 
 # ----------------------------------------------------------------------------------------
@@ -334,6 +267,7 @@ class EncodingConfig:
     text_method: str = "tfidf"             # tfidf / hashing
     max_features: int = 5000
     ngrams: int = 2
+    sublinear_tf: bool = False             # 1 + ln(tf) instead of tf
     drop_first: bool = False
     unknown: str = "ignore"                # unseen categories: ignore (zeros, or -1 for ordinal) or error
     feature_cap: int | None = None         # keep only the first columns, if asked for
@@ -384,10 +318,10 @@ class Encoder(Estimator):
         if text:
             prep = prep.withColumn("_text", concat_text(text))
             if cfg.text_method == "tfidf":
-                stages.append(TfidfVectorizer("_text", "_text_vec", TfidfConfig(cfg.max_features, cfg.ngrams)))
+                stages.append(TfidfVectorizer("_text", "_text_vec", TfidfConfig(cfg.max_features, cfg.ngrams,
+                                                                                cfg.sublinear_tf)))
             else:
-                prep = prep.withColumn("_text_tokens", word_tokens(F.lower(F.col("_text"))))
-                stages += list(hashing_stages("_text", "_text_tokens", "_text_vec", cfg.max_features))
+                stages.append(SignedHashing("_text", "_text_vec", cfg.max_features))
             block.append("_text_vec")
         fitted = Pipeline(stages=stages).fit(prep)
         slices = {}
@@ -411,8 +345,6 @@ class EncoderModel(Saved, Model):
         prep = df.withColumns({f"{c}_num": F.col(c).cast("double") for c in self.num})
         if self.text:
             prep = prep.withColumn("_text", concat_text(self.text))
-            if self.config.text_method == "hashing":
-                prep = prep.withColumn("_text_tokens", word_tokens(F.lower(F.col("_text"))))
         out = self.fitted.transform(prep)
         block = list(self.block)
         for col, idx in self.slices.items():        # drop_first: remove each one-hot block's first category

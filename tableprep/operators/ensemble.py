@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +55,20 @@ def hard_vote(preds: list[Column]) -> Column:
     return F.array_min(counted)["v"]
 
 
+def meta_features(df: DataFrame, models: list, n_classes: int) -> DataFrame:
+    """``_meta_x`` for stacking: a class model gives its probability vector (without one, its class as ones and zeros,
+    so that class numbers never count as magnitudes), a regression model its prediction."""
+    if not n_classes:
+        return VectorAssembler(inputCols=[f"_p{i}" for i in range(len(models))], outputCol="_meta_x").transform(df)
+    parts = [vector_to_array(f"_prob{i}") if _has_probability(m) else
+             F.array(*[(F.col(f"_p{i}") == c).cast("double") for c in range(n_classes)]) for i, m in enumerate(models)]
+    return df.withColumn("_meta_x", array_to_vector(F.concat(*parts)))
+
+
 class EnsembleModel(Saved, Model):
-    def __init__(self, models, method, task, weights=None, meta=None, output_col="prediction"):
+    def __init__(self, models, method, task, weights=None, meta=None, output_col="prediction", n_classes=0):
         super().__init__()
-        self.models, self.method, self.task = models, method, task
+        self.models, self.method, self.task, self.n_classes = models, method, task, n_classes
         self.weights, self.meta, self.output_col = weights, meta, output_col
 
     def _base_outputs(self, df: DataFrame) -> DataFrame:
@@ -90,9 +100,7 @@ class EnsembleModel(Saved, Model):
             else:
                 res = out.withColumn(self.output_col, hard_vote(preds))
         else:  # stacking
-            res = VectorAssembler(inputCols=[f"_p{i}" for i in range(len(self.models))], outputCol="_meta_x") \
-                .transform(out)
-            res = self.meta.transform(res)
+            res = self.meta.transform(meta_features(out, self.models, self.n_classes))
             tmp.append("_meta_x")
             for c in ("rawPrediction", "probability"):
                 if c in res.columns and c not in df.columns:
@@ -114,16 +122,28 @@ def build_ensemble(estimators: list, method: str, task: str, train: DataFrame, l
     if id_col is None:
         raise ValueError("stacking needs a row id for its folds")
     fold = hash_bucket(id_col, folds)
+    n_classes = int(train.agg(F.max(label)).first()[0] or 0) + 1 if cls else 0
     held = []
     for f in range(folds):
         fit_part, hold = train.where(fold != f), train.where(fold == f)
+        fitted = [e.fit(fit_part) for e in estimators]
         out = hold
-        for i, e in enumerate(estimators):
-            out = _with_outputs(e.fit(fit_part), i).transform(out)
-        held.append(out.select(label, *[F.col(f"_p{i}") for i in range(len(estimators))]))
+        for i, m in enumerate(fitted):
+            out = _with_outputs(m, i).transform(out)
+            if isinstance(m, OneVsRestModel):
+                out = out.drop("rawPrediction")
+        held.append(meta_features(_same_length(out, fitted, n_classes), fitted, n_classes).select(label, "_meta_x"))
     oof = reduce(lambda a, b: a.unionByName(b), held)
-    oof = VectorAssembler(inputCols=[f"_p{i}" for i in range(len(estimators))], outputCol="_meta_x").transform(oof)
     meta_est = (LogisticRegression(maxIter=100) if cls else LinearRegression())
     meta = meta_est.setFeaturesCol("_meta_x").setLabelCol(label).fit(oof)
     models = [e.fit(train) for e in estimators]
-    return EnsembleModel(models, "stacking", task, meta=meta)
+    return EnsembleModel(models, "stacking", task, meta=meta, n_classes=n_classes)
+
+
+def _same_length(df: DataFrame, models: list, n_classes: int) -> DataFrame:
+    """Probability vectors of ``n_classes`` values each: a fold that lacks the last classes yields shorter ones."""
+    for i, m in enumerate(models):
+        if n_classes and _has_probability(m) and m.numClasses < n_classes:
+            fill = F.array_repeat(F.lit(0.0), n_classes - m.numClasses)
+            df = df.withColumn(f"_prob{i}", array_to_vector(F.concat(vector_to_array(f"_prob{i}"), fill)))
+    return df

@@ -36,14 +36,14 @@ def stage_scores(log: DataFrame, task_col: str | None = None, metric: str = "aut
     score = val + 0.2 (val - previous val) - 0.3 max(0, train - val) - 0.2 tanh(seconds / 10)
             + 0.1 / (1 + ln(1 + n_features)), -0.08 for forest/boosting models, -0.08 above
             500 features, +0.05 when |train - val| < 0.05, clipped to [0.01, 0.99];
-            text runs score 0.3. For regression scored by RMSE the remembered previous
-            value is the negated one.
+            text runs score 0.3. An error (RMSE of a regression) enters everywhere as its share of goodness
+            1 / (1 + error), so that a smaller error never scores less; a stage of 0.5 that fits no model stays 0.5.
     """
     w = Window.partitionBy("run_id").orderBy("stage_idx")
-    val, tr = F.col("val_score"), F.col("train_score")
     task = F.col(task_col) if task_col else F.lit("classification")
-    remembered = F.when((task == "regression") & F.lit(metric == "rmse"), -val).otherwise(val)
-    prev = F.coalesce(F.lag(remembered, 1).over(w), F.lit(0.0))
+    error = (task == "regression") & F.lit(metric == "rmse") & (F.col("model_name") != "none")
+    val, tr = [F.when(error, 1.0 / (1.0 + F.col(c))).otherwise(F.col(c)) for c in ("val_score", "train_score")]
+    prev = F.coalesce(F.lag(val, 1).over(w), F.lit(0.0))
     raw = (val + F.lit(IMPROVEMENT_WEIGHT) * (val - prev)
            - F.lit(OVERFIT_WEIGHT) * F.greatest(F.lit(0.0), tr - val)
            - F.tanh(F.col("seconds") / F.lit(TIME_SCALE)) * F.lit(TIME_WEIGHT)

@@ -28,7 +28,7 @@ from tableprep.operators.profile import infer_task
 from tableprep.operators.runlog import report_frame, stage_scores
 from tableprep.persist import Saved
 from tableprep.session import cut_lineage
-from tableprep.sources.files import Dataset
+from tableprep.sources.files import Dataset, in_file_order
 
 STAGES = ("cleaning", "engineering", "encoding", "scaling", "selection", "model_select", "tuning", "ensemble")
 
@@ -64,18 +64,25 @@ def _renamed(names: dict[str, str], wanted) -> tuple:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A deterministic id for tables that have none: a hash of the row and, among equal rows, their running number."""
+    """A deterministic id for tables that have none: a hash of the row and, among equal rows, their running number.
+
+    Two different rows with the same hash share the numbers, so an id stays unique (hash and number together).
+    """
     from pyspark.sql import Window
 
     from tableprep.operators.stats import row_hash
     h = row_hash(df)
     twin = F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(0)))
-    return df.withColumn("_h", h).withColumn(name, F.xxhash64("_h", twin)).drop("_h")
+    return df.withColumn("_h", h).withColumn("_n", twin).withColumn(
+        name, F.concat_ws("-", F.hex("_h"), "_n")).drop("_h", "_n")
 
 
 def run(dataset: Dataset, config: "PipelineConfig | None" = None, run_id: str = "run") -> "PipelineResult":
-    """From a routed file to a finished run: adds a row id and takes the pipeline of the dataset's modality."""
-    df = with_row_id(dataset.df)
+    """From a routed file to a finished run: numbers the rows in file order and takes the pipeline of the modality.
+
+    Of repeated rows the cleaner keeps the one with the smallest number, so the first one of the file stays.
+    """
+    df = in_file_order(dataset.df, "row_id")
     if dataset.modality == "text":
         return run_text_pipeline(df, "text", "row_id", run_id=run_id)
     return run_pipeline(df, dataset.label_col, "row_id", config, run_id)
@@ -209,35 +216,47 @@ def run_text_pipeline(df: DataFrame, text_col: str, id_col: str, label_col: str
     """Four stages for a text table: cleaning -> TF-IDF model choice -> tuning -> ensemble.
 
     Without labels the run is unsupervised: the vectorizer is the model and every stage
-    scores as a text run. With labels the sparse rule picks a logistic model.
+    scores as a text run. With labels the sparse rule picks a logistic model. Names are
+    standardised once at entry (text, id and label follow) and every stage is fitted on
+    the train split only, as in :func:`run_pipeline`.
     """
     spark = df.sparkSession
+    names = dict(zip(df.columns, C.standardize_names(df.columns)))
+    df = df.toDF(*names.values())
+    text_col, id_col = names[text_col], names[id_col]
+    label_col = names[label_col] if label_col is not None else None
     task = "text" if label_col is None else infer_task(df, label_col)
     log, reports, fitted = [], {}, []
 
     def record(stage, val, tr, secs, width, name):
         log.append((run_id, len(log) + 1, stage, float(val), float(tr), float(secs), int(width), name))
 
+    work_label, n_classes, idx = label_col, 0, None
+    if label_col is not None:
+        df = df.where(F.col(label_col).isNotNull())
+        if task == "classification":
+            work_label = "label_idx"
+            while work_label in df.columns:
+                work_label = "_" + work_label
+            idx, df = M.index_label(df, label_col, work_label)
+            n_classes = idx.sizes[0]
+    train_raw, test_raw = M.hash_split(df, id_col)
+
     t0 = time.time()
     ccfg = _replace(cleaning or C.CleaningConfig(), row_id_col=id_col, label_col=label_col,
                     id_cols=tuple(c for c in df.columns if c not in (text_col, id_col)))
-    cleaner = C.DataCleaner(ccfg).fit(df)
-    clean_df = cleaner.transform(df)
+    cleaner = C.DataCleaner(ccfg).fit(train_raw)
+    train, test = cleaner.transform(train_raw), cleaner.without_dedup().transform(test_raw)
     fitted.append(cleaner.without_dedup())
     reports["cleaning"] = cleaner.report
     record("cleaning", 0.5, 0.5, time.time() - t0, 1, "none")
 
     t0 = time.time()
-    work_label, n_classes = label_col, 0
-    if label_col is not None and task == "classification":
-        idx, clean_df = M.index_label(clean_df, label_col, "label_idx")
-        work_label, n_classes = "label_idx", idx.sizes[0]
-    train, test = M.hash_split(clean_df, id_col)
     tf = E.TfidfVectorizer(text_col, "x", E.TfidfConfig(max_features, 1)).fit(train)
     fitted.append(tf)
     width = len(tf.vocabulary)
     if label_col is None:
-        reports["model_select"] = {"selected_model": "TF-IDF Vectorizer", "n_features": width}
+        reports["model_select"] = {"selected_model": "tf-idf", "n_features": width}
         record("model_select", 0.5, 0.5, time.time() - t0, width, "TfidfVectorizer")
         record("tuning", 0.5, 0.5, 0.0, width, "TfidfVectorizer")
         record("ensemble", 0.5, 0.5, 0.0, width, "TfidfVectorizer")
@@ -262,11 +281,7 @@ def run_text_pipeline(df: DataFrame, text_col: str, id_col: str, label_col: str
         fitted.append(ens)
     log_df = spark.createDataFrame(log, LOG_SCHEMA)
     scored = stage_scores(log_df.withColumn("task", F.lit(task)), "task")
-    return PipelineResult(PipelineModel(stages=fitted), task, scored, report_frame(spark, run_id, reports), preds)
-
-
-def _str(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, F.col(col).cast("string"))
+    return PipelineResult(PipelineModel(stages=fitted), task, scored, report_frame(spark, run_id, reports), preds, idx)
 
 
 def _replace(obj, **kw):

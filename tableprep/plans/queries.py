@@ -346,7 +346,7 @@ def _clean_docs(spark, sf):
 
 @query
 def q_tfidf_top_terms(spark, sf):
-    docs = E.with_terms(_clean_docs(spark, sf), F.col("text"), "terms", 2).select("terms")
+    docs = E.with_tokens(_clean_docs(spark, sf), F.col("text")).select("tokens")
     return E.top_terms(docs, 1000)
 
 

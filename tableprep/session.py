@@ -76,3 +76,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where their PYTHONPATH does not hold it (one small zip, sent once)."""
+    import zipfile
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if top in known or top.endswith(".zip") or getattr(sc, "_tableprep_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tableprep-zip-"), "tableprep_src.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "tableprep")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, top))
+    sc.addPyFile(target)
+    sc._tableprep_shipped = True
