@@ -144,15 +144,17 @@ class ChunkEncoder:
 
     Exact for tokenizers that drop white space and never merge across it: a text's ids are the ids of its pieces, so
     those are remembered (up to ``limit`` pieces). Pieces are the chunks between ASCII white space, with punctuation
-    that ends a chunk cut off behind a letter, as the tokenizer's own rule does. A piece of plain letters goes straight
+    that ends a chunk cut off behind a plain letter, as the tokenizer's own rule does; behind any other letter a mark may
+    come out of composing or lower-casing, which the tokenizer joins with the punctuation, so such chunks stay whole. A piece of plain letters goes straight
     to the tokenizer's model, any other through the whole tokenizer. The tests compare with whole-text encoding.
     """
 
     #: letters below U+0250 that lower-casing and composing leave as single letters
-    PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
-    CUT = r"(\pL)([.,;:!?*%&#$|]+)([\t-\r ]|$)"
+    LETTER = "[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]"
+    PLAIN = re.compile(LETTER + "+")
+    CUT = f"({LETTER})" + r"([.,;:!?*%&#$|]+)([\t-\r ]|$)"
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tokenizer.model
@@ -239,7 +241,7 @@ def _encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def _small_batches(texts: pa.Array, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _small_batches(texts: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of up to ``chars`` characters (one row at least), so that a batch of long texts stays small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     i = 0

@@ -16,7 +16,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def near_groups(sets):
+def near_groups(sets, percent=85):
     """doc -> smallest reachable doc, by brute force over shared shingles."""
     held = collections.defaultdict(list)
     for doc, s in sets.items():
@@ -32,7 +32,7 @@ def near_groups(sets):
     for doc, s in sets.items():
         common = collections.Counter(o for x in s for o in held[x] if o < doc)
         for other, n in common.items():
-            if 100 * n >= 85 * (len(s) + len(sets[other]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[other]) - n):
                 a, b = sorted((find(doc), find(other)))
                 up[b] = a
     return {d: find(d) for d in sets}

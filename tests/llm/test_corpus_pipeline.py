@@ -29,7 +29,7 @@ def test_columns_and_names(stages, small_docs):
 def test_each_stage_against_brute_force(spark, stages):
     first, lang, dedup, clean, mixed, tokens = (s.collect() for s in stages)
     assert {r["doc_id"] for r in lang} >= {r["doc_id"] for r in first if any(c.isalpha() for c in r["text"])}
-    groups = near_groups({r["doc_id"]: shingle_set(r["text"]) for r in lang})
+    groups = near_groups({r["doc_id"]: shingle_set(r["text"]) for r in lang}, C.NEAR_PERCENT)
     assert {r["doc_id"] for r in dedup} == {d for d, g in groups.items() if d == g}
     items = [b" ".join(words(r["text"])) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     exact = {r["doc_id"] for r in dedup if any(i in b" ".join(words(r["text"])) for i in items)}

@@ -69,3 +69,18 @@ def test_ids_and_manifest(spark, small_docs, tmp_path):
     text = small_docs.where("doc_id = 3").first()["text"]
     assert np.frombuffer(one["ids"], "<u4").tolist() == Tokenizer.from_file(PATH).encode(
         text, add_special_tokens=False).ids + [2]
+
+
+def test_every_letter_before_every_cut_sign():
+    """Composing and lower-casing may end a letter in a mark, which the tokenizer joins with the punctuation."""
+    import unicodedata
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]
+    dense = [c for c in letters if "\u3400" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" or c >= "\U00017000"]
+    texts = [" ".join(f"a{c}{s}" for s in ".,;:!?*%&#$|") for c in sorted({*letters} - {*dense}) + dense[::16]]
+    texts += ["AD\u0130. x\u0130, y \u0958. \ufb2a. I\u0307. e\u0301."]
+    whole, encoder = Tokenizer.from_file(PATH), T.ChunkEncoder(PATH)
+    for i in range(0, len(texts), 2000):
+        ids, n = encoder.encode(pa.array(texts[i:i + 2000]), 2)
+        want = [e.ids + [2] for e in whole.encode_batch(texts[i:i + 2000], add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [x for w in want for x in w]
