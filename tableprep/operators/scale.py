@@ -2,9 +2,9 @@
 
 Statistics follow the reference definitions (population std; zero spread divides by
 1; min-max of a constant column gives 0; robust = (x - median) / interpolated IQR),
-which differ from MLlib's scaler classes. Vector statistics come from ``Summarizer``
-(one tree aggregate whatever the width); a sparse vector is only ever scaled, never
-centred, so it stays sparse.
+which differ from MLlib's scaler classes. Statistics of sparse vectors and quantiles of
+all vectors are tables by slot (``slots``), those of dense ones come from ``Summarizer``
+(one tree aggregate); a sparse vector is only ever scaled, never centred, so it stays sparse.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprep.operators import slots as SL
 from tableprep.operators import stats
 from tableprep.persist import Saved
 
@@ -80,7 +81,14 @@ class VectorScaler(Estimator):
             return VectorScalerModel(self.input_col, self.output_col, None, None)
         method = "standard" if self.sparse else cfg.method
         with_mean = cfg.with_mean and not self.sparse
-        if method in ("standard", "minmax"):
+        if method == "standard" and not with_mean and SL.is_sparse(df, self.input_col):
+            n, width = SL.rows_and_width(df, self.input_col)
+            stats_by_slot = SL.slot_statistics(SL.entries(df, self.input_col), n)
+            div = [1.0] * width
+            for r in (SL.slot_table(stats_by_slot).collect() if cfg.with_std else ()):  # what the model holds
+                div[r["slot"]] = r["divisor"]
+            shift = None
+        elif method in ("standard", "minmax"):
             summ = df.select(Summarizer.metrics("mean", "variance", "count", "min", "max")
                              .summary(F.col(self.input_col)).alias("s")).first()["s"]
             n = summ["count"]
@@ -93,12 +101,12 @@ class VectorScaler(Estimator):
                 div = [_safe(b - a) for a, b in zip(lo, hi)]
                 shift = list(lo)
         else:
-            width = len(df.select(self.input_col).first()[0])
-            arr = df.select(vector_to_array(self.input_col).alias("a"))
-            cols = arr.select(*[F.col("a")[i].alias(f"x{i}") for i in range(width)])
-            q = stats.exact_quantiles(cols, [f"x{i}" for i in range(width)], [0.25, 0.5, 0.75])
-            shift = [q[f"x{i}"][1] or 0.0 for i in range(width)]
-            div = [_safe((q[f"x{i}"][2] or 0.0) - (q[f"x{i}"][0] or 0.0)) for i in range(width)]
+            n, width = SL.rows_and_width(df, self.input_col)
+            shift, low, high = [0.0] * width, [0.0] * width, [0.0] * width
+            found = SL.grouped_quantiles(SL.entries(df, self.input_col), "slot", "value", [0.25, 0.5, 0.75], n)
+            for r in found.collect():  # three numbers a slot, as the model holds them
+                {0.25: low, 0.5: shift, 0.75: high}[r["prob"]][r["slot"]] = r["quantile"]
+            div = [_safe(b - a) for a, b in zip(low, high)]
         return VectorScalerModel(self.input_col, self.output_col, shift, div)
 
 

@@ -21,6 +21,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprep.operators import slots as SL
 from tableprep.persist import Saved
 
 METHODS = ("variance", "correlation", "kbest", "model", "none")
@@ -37,6 +38,12 @@ class FeatureSelectionConfig:
 
 
 def population_variances(df: DataFrame, col: str) -> np.ndarray:
+    if SL.is_sparse(df, col):  # a row a slot that occurs, no buffer of the whole width in any task
+        n, width = SL.rows_and_width(df, col)
+        out = np.zeros(width)
+        for r in SL.slot_statistics(SL.entries(df, col), n).select("slot", "variance").collect():
+            out[r["slot"]] = r["variance"]
+        return out
     s = df.select(Summarizer.metrics("variance", "count").summary(F.col(col)).alias("s")).first()["s"]
     n = s["count"]
     return s["variance"].toArray() * ((n - 1) / n if n > 1 else 0.0)
@@ -119,7 +126,7 @@ class FeatureSelector(Estimator):
             m = max_abs_corr_with_earlier(df, self.input_col)
             return m, [i for i, x in enumerate(m) if x is None or x <= cfg.corr_threshold]
         if cfg.method in ("kbest", "model") and not self.label_col:
-            raise ValueError("Target required for supervised selection")
+            raise ValueError(f"{cfg.method} scores features against a label: name one")
         if cfg.method == "kbest":
             f = anova_f(df, self.input_col, self.label_col) if task == "classification" \
                 else regression_f(df, self.input_col, self.label_col)
@@ -128,9 +135,8 @@ class FeatureSelector(Estimator):
             cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
             label = self.label_col
             if dict(df.dtypes)[label] == "string":
-                from pyspark.ml.feature import StringIndexer
-                df = StringIndexer(inputCol=label, outputCol="_label_idx", stringOrderType="alphabetAsc").fit(df) \
-                    .transform(df)
+                from tableprep.operators.model import index_label
+                _, df = index_label(df, label, "_label_idx")
                 label = "_label_idx"
             rf = cls(numTrees=100, seed=cfg.seed, featuresCol=self.input_col, labelCol=label).fit(df)
             imp = rf.featureImportances.toArray()

@@ -473,3 +473,31 @@ s AS (SELECT doc_id, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 5000 AS bucket,
 SELECT doc_id, bucket, {r6('CAST(s AS DOUBLE) / sqrt(sum(CAST(s * s AS DOUBLE)) OVER (PARTITION BY doc_id))')} AS weight
 FROM s WHERE s <> 0
 """
+
+ORACLE["slot_quantiles"] = f"""
+WITH l AS (SELECT l_partkey % 5000 AS slot, l_extendedprice FROM lineitem),
+q AS (SELECT slot, unnest([0.25e0, 0.5e0, 0.75e0]) AS prob, unnest(quantile_cont(l_extendedprice, [0.25, 0.5, 0.75])) AS quantile
+      FROM l GROUP BY slot)
+SELECT slot, prob, {r6('quantile')} AS quantile FROM q"""
+
+# every order has a value in every slot, zero in all but its own
+ORACLE["slot_quantiles_sparse"] = f"""
+WITH o AS (SELECT o_orderstatus || '/' || o_orderpriority AS slot, o_totalprice - 150000 AS value FROM orders),
+s AS (SELECT DISTINCT slot FROM o),
+q AS (SELECT s.slot, unnest([0.01e0, 0.03e0, 0.5e0, 0.97e0, 0.99e0]) AS prob,
+             unnest(quantile_cont(CASE WHEN o.slot = s.slot THEN value ELSE 0e0 END, [0.01, 0.03, 0.5, 0.97, 0.99])) AS quantile
+      FROM s CROSS JOIN o GROUP BY s.slot)
+SELECT slot, prob, {r6('quantile')} AS quantile FROM q"""
+
+ORACLE["slot_scale_customer"] = f"""
+WITH n AS (SELECT count(*) AS n, count(DISTINCT c_name) AS names, count(DISTINCT c_mktsegment) AS segments,
+                  var_pop(c_acctbal) AS v FROM customer),
+e AS (SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS slot, 1e0 AS value FROM customer
+      UNION ALL
+      SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 + names, 1e0 FROM customer, n
+      UNION ALL
+      SELECT c_custkey, names + segments, c_acctbal FROM customer, n),
+k AS (SELECT slot, count(*) / any_value(n.n)::DOUBLE AS share, any_value(CASE WHEN slot = names + segments THEN v END) AS v
+      FROM e, n GROUP BY slot),
+t AS (SELECT slot, coalesce(v, share * (1 - share)) AS variance FROM k)
+SELECT c_custkey, slot, {r6('value / sqrt(variance)')} AS value FROM e JOIN t USING (slot) WHERE variance > 0.0001"""

@@ -400,6 +400,7 @@ def q_nan_fill(spark, sf):
 
 from tableprep.operators import scale as S  # noqa: E402
 from tableprep.operators import select as SEL  # noqa: E402
+from tableprep.operators import slots as SL  # noqa: E402
 
 CONST_COLS = ["o_totalprice", "k13", "k_const"]
 
@@ -478,6 +479,41 @@ def q_select_model(spark, sf):
                       SEL.FeatureSelectionConfig(method="model", task="classification"))
 
 
+# statistics by slot
+
+@query
+def q_slot_quantiles(spark, sf):
+    """Quartiles of the price in each of 5,000 groups of parts, all from one plan."""
+    lines = read_table(spark, sf, "lineitem").select((F.col("l_partkey") % 5000).alias("slot"), "l_extendedprice")
+    out = SL.grouped_quantiles(lines, "slot", "l_extendedprice", [0.25, 0.5, 0.75])
+    return out.select("slot", "prob", r6(F.col("quantile")).alias("quantile"))
+
+
+@query
+def q_slot_quantiles_sparse(spark, sf):
+    """Quantiles of sparse rows: an order has one non-zero entry, in the slot of its status and priority."""
+    orders = read_table(spark, sf, "orders").select(
+        F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("slot"), (F.col("o_totalprice") - 150000).alias("value"))
+    out = SL.grouped_quantiles(orders, "slot", "value", [0.01, 0.03, 0.5, 0.97, 0.99], orders.count())
+    return out.select("slot", "prob", r6(F.col("quantile")).alias("quantile"))
+
+
+@query
+def q_slot_scale_customer(spark, sf):
+    """Customers as sparse rows (one-hot of the near-unique name and of the segment, the balance), scaled and selected by
+    slot tables: no array as wide as the names in any task or on the driver."""
+    df = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    index = E.CategoryIndexer(["c_name", "c_mktsegment"]).fit(df)
+    n_names, n_segments = index.sizes
+    rows = index.transform(df).select(
+        "c_custkey", F.array(F.col("c_name_idx").cast("long"), (F.col("c_mktsegment_idx") + n_names).cast("long"),
+                             F.lit(n_names + n_segments).cast("long")).alias("slots"),
+        F.array(F.lit(1.0), F.lit(1.0), F.col("c_acctbal")).alias("values"))
+    out = SL.SlotScaler("c_custkey", threshold=1e-4).fit(rows).transform(rows)
+    long = out.select("c_custkey", F.explode(F.arrays_zip("slots", "values")).alias("e"))
+    return long.select("c_custkey", F.col("e.slots").alias("slot"), r6(F.col("e.values")).alias("value"))
+
+
 # ----------------------------------------------------------------------------------------
 # models, metrics, ensembles
 # ----------------------------------------------------------------------------------------
