@@ -4,10 +4,13 @@
 exclusive), each in time linear in the text. Matches that fail their check (parts over 255, Luhn, number of digits) are
 dropped, not tried again.
 
-*Bootstrapping.* Base entities are the seeds of a pattern-instance graph. An instance is an identifier-like token (a
+*Secrets.* A quoted value of 8 to 200 characters with a digit, assigned to a name that ends in a secret's word (``token =
+"..."``, ``api_key: '...'``), is a span of the kind ``secret``. It is no base span, but a seed like one.
+
+*Bootstrapping.* Base entities and secrets are the seeds of a pattern-instance graph. An instance is an identifier-like token (a
 digit or ``@`` in it) with its shape's kind, or a card or phone number written in groups (tokens one space apart that fit
 a shape together, the longest first, at most one of them an identifier by itself); a pattern is what stands around it: the two words before, the word before,
-or the words on both sides (lower case, ends stripped). Spark scores the graph iteratively: a pattern's confidence for a
+or the words on both sides (lower case, ends stripped), and for secret-like tokens their own form (alphabet and length). Spark scores the graph iteratively: a pattern's confidence for a
 kind is the confidence of its instances of that kind, weighted by their number, over all identifier-like tokens in that
 context, shrunk by ``PRIOR``; an instance's is the chance that one of its patterns is right. After ``ROUNDS`` rounds,
 instances that are no base span, whose shape fits the kind, found by a pattern with at least ``SUPPORT`` different seeds
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from tableprep.llm.base import salted_lookup, stage
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET, NAMES = len(KINDS), (*KINDS, "secret")
 ROUNDS, SUPPORT, ACCEPT, PRIOR = 3, 3, 0.8, 1.0
 
 # The base patterns (fixed values), written without nested repetition that could backtrack.
@@ -90,8 +94,23 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+# Words that name a secret (fixed values), at the end of an assigned name.
+ASSIGNED = re.compile(r"(?:token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)"
+                      r"[\"']?[ \t]{0,3}(?::=|=>|=|:)[ \t]{0,3}([\"'])([!-~]{8,200}?)\1", re.IGNORECASE | re.ASCII)
+
+
+def secrets(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Assigned secrets outside the base spans."""
+    out = []
+    for m in ASSIGNED.finditer(text or ""):
+        s, e = m.span(2)
+        if any(c.isdigit() for c in m[2]) and not any(a < e and s < b for a, b, _ in spans):
+            out.append((s, e, SECRET))
+    return out
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
+    return ",".join(f"{NAMES[k]}:{s}:{e}" for s, e, k in spans)
 
 
 # Shapes of tokens that are no base span (fixed values): at most one kind a token.
@@ -100,6 +119,7 @@ SHAPES = (
     (1, re.compile(r"[0-9]{1,3}(?:[.:][0-9]{1,3}){3,5}|[0-9a-f]{1,4}(?:::?[0-9a-f]{1,4}){3,7}", re.ASCII | re.IGNORECASE)),
     (2, re.compile(r"[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}[0-9]{0,3}", re.ASCII)),
     (3, re.compile(r"\(?[0-9]{2,5}\)?(?:[ ./-]?[0-9]{2,5}){2,4}", re.ASCII)),
+    (4, re.compile(r"(?=(?:\D*\d){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9_+/=-]{24,80}", re.ASCII)),
 )
 EDGE = ".,;:!?\"'()[]{}<>|*&%$#=-"
 MARK = re.compile(r"[0-9@]\S*", re.ASCII)
@@ -170,10 +190,18 @@ def _hash(*parts: str) -> int:
                           "big", signed=True)
 
 
+def _form(token: str) -> str:
+    """Alphabet and length of a secret-like token."""
+    kinds = ("0-9a-f", re.fullmatch("[0-9a-f]+", token)), ("0-9A-F", re.fullmatch("[0-9A-F]+", token)), (
+        "0-9A-Z", re.fullmatch("[0-9A-Z]+", token))
+    return f"{next((name for name, m in kinds if m), 'mixed')}:{len(token)}"
+
+
 def instances(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, int, list[int]]]:
-    """(start, end, kind or -1, is a seed, surface, patterns) of each base span and each other identifier-like token."""
+    """(start, end, kind or -1, is a seed, surface, patterns) of each seed span and each other identifier-like token."""
     if not text:
         return []
+    spans = sorted(spans)
     found = [(s, e, k, True) for s, e, k in spans]
     starts = [s for s, _, _ in spans]
     reach = []
@@ -210,6 +238,8 @@ def instances(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple
     for s, e, k, seed in found:
         two, one, after = _context(text, s, e)
         patterns = [_hash("L2", two, one), _hash("L", one), _hash("LR", one, after)] if one else []
+        if k == SECRET:
+            patterns.append(_hash("F", _form(text[s:e])))
         out.append((s, e, k, seed, _hash("S", text[s:e].lower()), patterns))
     return out
 
@@ -230,7 +260,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 spans = base_spans(text)
                 base.append([{"s": s, "e": e, "k": k} for s, e, k in spans])
                 inst.append([{"s": s, "e": e, "k": k, "seed": seed, "surface": surface, "patterns": p}
-                             for s, e, k, seed, surface, p in instances(text, spans)])
+                             for s, e, k, seed, surface, p in instances(text, spans + secrets(text, spans))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans_type), pa.array(inst, inst_type)],
                                              ["doc_id", "base", "inst"])
 
@@ -259,7 +289,8 @@ def score_graph(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found."""
+    """One row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (spans beyond the base ones),
+    n_secret (of them secrets), n_spans (all)."""
     scanned = stage(scan(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     edges = scanned.select("row", F.explode("inst").alias("i")).select(
         "row", "i.s", "i.e", "i.k", "i.seed", "i.surface", F.explode("i.patterns").alias("pattern"))
@@ -268,8 +299,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     patterns, _ = score_graph(graph)
     good = patterns.where((F.col("conf") >= ACCEPT) & (F.col("seeds") >= SUPPORT)).select("pattern", "k")
     new = salted_lookup(edges.where("k >= 0 and not seed"), good, ["pattern", "k"], F.col("row"), "left_semi")
-    found = new.select("row", "s", "e", "k").distinct().groupBy("row").agg(
-        F.collect_list(F.struct("s", "e", "k")).alias("found"))
+    named = scanned.select("row", F.explode("inst").alias("i")).where((F.col("i.k") == SECRET) & F.col("i.seed"))
+    new = new.select("row", "s", "e", "k").unionByName(named.select("row", "i.s", "i.e", "i.k"))
+    found = new.distinct().groupBy("row").agg(F.collect_list(F.struct("s", "e", "k")).alias("found"))
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -279,13 +311,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 extra = [] if more is None else [(r["s"], r["e"], r["k"]) for r in more]
                 count = [sum(k == i for _, _, k in spans) for i in range(4)]
                 everything = sorted(spans + extra, key=lambda x: (x[0], x[2]))
-                out.append((doc, *count, hashlib.sha256(listed(spans).encode()).hexdigest(), listed(everything), len(extra)))
+                out.append((doc, *count, hashlib.sha256(listed(spans).encode()).hexdigest(), listed(everything), len(extra),
+                            sum(k == SECRET for _, _, k in extra), len(everything)))
             yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
 
     return scanned.select("row", "doc_id", "base").join(found, "row", "left").select(
         "doc_id", "base", "found").mapInPandas(digest, RESULT)
 
 
-COLUMNS = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found"]
+COLUMNS = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found", "n_secret", "n_spans"]
 RESULT = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
-          "n_found long")
+          "n_found long, n_secret long, n_spans long")

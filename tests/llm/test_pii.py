@@ -92,3 +92,26 @@ def test_long_tokens_and_neighbours_are_whole():
     text = f"one {word} 12345 {word}y"
     assert pii._context(text, 205, 210) == ("one", word, word + "y")
     assert pii._context(" " * 300 + "a b " + " " * 300 + "1", 604, 605) == ("a", "b", "")
+
+
+def test_assigned_secrets_and_tokens_of_their_form(spark):
+    rows = [(i, f'config token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end') for i in range(8)]
+    other = hashlib.sha1(b"other").hexdigest()
+    rows += [(100, f"left over {other} in a line"), (101, 'password = "changeme" api_key: \'k3y-value-9\''),
+             (102, "secret = none, token: 12345678 and " + "a1" * 8), (103, f'passwd="x@y.example.org1"'),
+             (104, f'token = "{other}')]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["spans"] == "secret:16:56" and got[i]["n_secret"] == 1 for i in range(8))
+    assert got[100]["spans"] == "secret:10:50"      # found by the form that the named ones have
+    assert got[101]["spans"] == "secret:32:43" and got[102]["spans"] == ""
+    assert got[103]["spans"] == "email:8:24" and got[103]["n_spans"] == 1 and got[103]["n_secret"] == 0
+    assert got[104]["n_secret"] == 1
+
+
+def test_secret_seeds_are_linear_in_the_text():
+    import time
+    t0 = time.time()
+    for text in ("token = \"" * 100_000, "token" * 200_000, "token = '" + "a" * 1_000_000, "\"" * 500_000 + "1"):
+        pii.secrets(text, [])
+        pii.instances(text, [])
+    assert time.time() - t0 < 20
