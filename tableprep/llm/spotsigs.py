@@ -4,9 +4,10 @@ A spot is an occurrence of a very common word (an anchor); its signature is the
 words (words that are no anchors). A text's fingerprint is the set of its signatures, written as base64 of the sorted
 32-bit signature hashes, so equal texts (up to letter case and white space) have equal fingerprints. Words are those of
 ``base.words``, without ASCII punctuation at their ends. So that texts poor in common words have spots too (tables,
-other languages), words whose hash is a multiple of ``SPARE`` are spots as well, and in texts of fewer than ``SHORT``
-words every word is. A chain that reaches the end of the text is cut there. Null and blank texts have the empty
-fingerprint.
+other languages), words whose hash is a multiple of ``SPARE`` are spots as well, and so is a text's first word. The rule
+is the same at every length. A chain that the end of the text cuts gives no signature, so that a word more at the end adds
+signatures but changes none; only the first word's chain counts even if cut, so no text with a word has an empty
+fingerprint. Null and blank texts have the empty fingerprint.
 
 Likeness is the Jaccard index of two fingerprints: 1 for two empty ones, 0 for an empty and another.
 ``near_pairs`` finds all like pairs: fingerprints are partitioned by set length so that a pair that can reach the
@@ -46,7 +47,7 @@ el los las y del se por con una su al lo no si como más para ha son o
 CHAIN = 2
 _MULT = odd_constants(CHAIN + 1, "spot")
 _ANCHOR_SET = np.unique(batch_word_hashes(pa.array([" ".join(ANCHORS)]))[0])
-SPARE, SHORT = 8, 32
+SPARE = 4
 PUNCTUATION = r"[!-/:-@\[-`{-~]+([\t-\r ]|$)"
 
 
@@ -58,14 +59,19 @@ def signature_sets(texts: pa.Array) -> list[np.ndarray]:
     common = np.isin(h, _ANCHOR_SET)
     sizes = np.diff(bounds)
     doc_of = np.repeat(np.arange(len(texts)), sizes)
-    spots = np.flatnonzero(common | (h % np.uint64(SPARE) == 0) | (sizes < SHORT)[doc_of])
+    first = np.zeros(len(h), bool)
+    first[bounds[:-1][sizes > 0]] = True
+    spots = np.flatnonzero(common | first | (h % np.uint64(SPARE) == 0))
     content = np.flatnonzero(~common)
     at = np.searchsorted(content, spots, "right")
-    total = h[spots] * _MULT[0]
+    total, whole = h[spots] * _MULT[0], np.full(len(spots), bool(len(content)))
     for k in range(CHAIN if len(content) else 0):
         nxt = content[np.minimum(at + k, len(content) - 1)]
         inside = (at + k < len(content)) & (doc_of[nxt] == doc_of[spots])
         total += np.where(inside, h[nxt], np.uint64(0)) * _MULT[k + 1]
+        whole &= inside
+    whole |= first[spots]
+    spots, total = spots[whole], total[whole]
     sigs, owner = (mix(total) >> np.uint64(32)).astype(np.uint32), doc_of[spots]
     keyed = np.unique((owner.astype(np.uint64) << np.uint64(32)) | sigs.astype(np.uint64))
     cut = np.searchsorted(keyed, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))

@@ -73,3 +73,19 @@ def test_a_frequent_signature_is_joined_with_salts(spark, capsys):
     pairs.explain()
     assert "salt" in capsys.readouterr().out
     assert pairs.count() == 1300 * 1299 // 2
+
+
+def test_a_word_more_changes_little_at_any_length():
+    """The rule is the same at every length: a text and itself with a word appended share nearly all signatures."""
+    worst = {}
+    for seed in range(20):
+        for n in range(10, 101):
+            words = [f"w{seed}x{i}" for i in range(n + 1)]
+            if seed % 2:
+                words[3::7] = ["the"] * len(words[3::7])
+            a, b = S.signature_sets(pa.array([" ".join(words[:-1]), " ".join(words)]))
+            got = S.likeness(a, b)
+            assert len(a) and set(a.tolist()) <= set(b.tolist())
+            worst[n] = min(worst.get(n, 1.0), got)
+    assert min(worst.values()) >= 0.3 and min(worst[n] for n in range(40, 101)) >= 0.75
+    assert np.mean([worst[n] for n in (31, 32, 33)]) > 0.6
