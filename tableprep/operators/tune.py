@@ -2,19 +2,23 @@
 
 The prepared split is checkpointed once (reliable storage, survives executor loss) and
 every trial fits on it; trials run as concurrent Spark jobs from a small thread pool,
-results are ordered by trial index so the outcome does not depend on timing.
+results are ordered by trial index so the outcome does not depend on timing. Penalties of a
+linear regression are not refitted at all: one pass gives them all (``ridge``).
 """
 
 from __future__ import annotations
 
 import itertools
 import random
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tableprep.operators.model import build_estimator, higher_is_better, train_and_score
+from tableprep.operators import ridge
+from tableprep.operators.model import SGD_ALPHA, build_estimator, higher_is_better, train_and_score
 
 # Fixed parameter spaces of the search (None depth = unlimited).
 PARAM_SPACES = {
@@ -88,7 +92,7 @@ def tune(name: str, train: DataFrame, test: DataFrame, task: str, label: str, n_
     def run(i_params) -> Trial:
         i, params = i_params
         try:
-            est = build_estimator(name, n_classes, n_train, features_col, label, cfg.seed, **params)
+            est = build_estimator(name, n_classes, n_train, features_col, label, cfg.seed, **as_mllib(params))
             got = train_and_score(est, name, train, test, task, label, cfg.metric)
         except Exception as e:  # noqa: BLE001 - a trial may fail in any way; the others go on
             errors[i] = e
@@ -96,6 +100,16 @@ def tune(name: str, train: DataFrame, test: DataFrame, task: str, label: str, n_
         return Trial(i, params, got.val_score, got.train_score, got.seconds, got.model)
 
     draws = sample_trials(space_for(name), cfg.n_trials, cfg.seed)
+    if name == "LinearRegression(sgd)" and _one_pass(train, features_col, draws):
+        return _tune_ridge(train, test, label, features_col, draws, cfg)
+    spread = None
+    if name == "LinearRegression(sgd)":
+        spread = train.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0]
+
+    def as_mllib(params: dict) -> dict:
+        """MLlib divides a linear regression's penalty by the label's deviation; here it is the penalty itself."""
+        return params | {"alpha": params["alpha"] * spread} if spread and "alpha" in params else params
+
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
         trials = sorted(pool.map(run, list(enumerate(draws))), key=lambda t: t.number)
     ranked = sorted((t for t in trials if t.error is None), key=lambda t: (-sign * t.val_score, t.number))
@@ -104,6 +118,26 @@ def tune(name: str, train: DataFrame, test: DataFrame, task: str, label: str, n_
     return TuneResult(ranked[0].model, ranked[0].params, ranked[0].val_score, trials, ranked)
 
 
+def _one_pass(train: DataFrame, features_col: str, draws: list[dict]) -> bool:
+    """Whether all trials follow from one matrix of co-moments that the driver can hold."""
+    if any(set(d) - {"alpha"} or d.get("alpha", 0) < 0 for d in draws):
+        return False
+    first = train.select(features_col).first()
+    return first is not None and len(first[0]) <= ridge.MOST_WIDTH
+
+
+def _tune_ridge(train: DataFrame, test: DataFrame, label: str, features_col: str, draws: list[dict],
+                cfg: TuningConfig) -> TuneResult:
+    t0 = time.time()
+    found = ridge.search(train, test, label, features_col, [d.get("alpha", SGD_ALPHA) for d in draws], cfg.metric)
+    seconds = (time.time() - t0) / len(found)
+    trials = [Trial(i, d, f.val_score, f.train_score, seconds, ridge.RidgeModel(features_col, f.coefficients, f.intercept))
+              for i, (d, f) in enumerate(zip(draws, found))]
+    sign = 1.0 if higher_is_better(cfg.metric) else -1.0
+    ranked = sorted(trials, key=lambda t: (-sign * t.val_score, t.number))
+    return TuneResult(ranked[0].model, ranked[0].params, ranked[0].val_score, trials, ranked)
+
+
 def trials_frame(spark: SparkSession, result: TuneResult) -> DataFrame:
     rows = [(t.number, str(sorted(t.params.items())), t.val_score, t.train_score, t.error) for t in result.trials]
     return spark.createDataFrame(rows, "trial int, params string, val_score double, train_score double, error string")

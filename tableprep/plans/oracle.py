@@ -501,3 +501,25 @@ k AS (SELECT slot, count(*) / any_value(n.n)::DOUBLE AS share, any_value(CASE WH
       FROM e, n GROUP BY slot),
 t AS (SELECT slot, coalesce(v, share * (1 - share)) AS variance FROM k)
 SELECT c_custkey, slot, {r6('value / sqrt(variance)')} AS value FROM e JOIN t USING (slot) WHERE variance > 0.0001"""
+
+_B100_LINE = _B100.replace("o_orderkey", "l_orderkey")
+_RIDGE = ", ".join([*[f"{sig10(c, 6)} AS {c}" for c in ("first", "last", "intercept")],
+                    *[f"{r6(c)} AS {c}" for c in ("train_r2", "val_r2")]])
+# (v + alpha) b = covariance with the label, for one and for two features; errors on the rows themselves
+ORACLE["tune_search"] = f"""
+WITH l AS (SELECT l_quantity AS x, l_discount AS z, l_extendedprice AS y, {_B100_LINE} < 20 AS held FROM lineitem),
+m AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS vx, var_pop(z) AS vz, covar_pop(x, z) AS xz,
+             covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM l WHERE NOT held),
+a AS (SELECT unnest([0.0001e0, 0.01e0, 1e0, 100e0]) AS alpha),
+one AS (SELECT 1 AS n_features, alpha, xy / (vx + alpha) AS first, 0e0 AS second FROM a, m),
+two AS (SELECT 2 AS n_features, alpha, ((vz + alpha) * xy - xz * zy) / ((vx + alpha) * (vz + alpha) - xz * xz) AS first,
+               ((vx + alpha) * zy - xz * xy) / ((vx + alpha) * (vz + alpha) - xz * xz) AS second FROM a, m),
+f AS (SELECT *, my - first * mx - second * mz AS intercept FROM (SELECT * FROM one UNION ALL SELECT * FROM two), m),
+s AS (SELECT n_features, alpha, any_value(first) AS first, any_value(second) AS second, any_value(intercept) AS intercept,
+             1 - avg((y - intercept - first * x - second * z) ^ 2) FILTER (WHERE NOT held) / var_pop(y) FILTER (WHERE NOT held)
+               AS train_r2,
+             1 - avg((y - intercept - first * x - second * z) ^ 2) FILTER (WHERE held) / var_pop(y) FILTER (WHERE held) AS val_r2
+      FROM f, l GROUP BY n_features, alpha),
+r AS (SELECT n_features, alpha, first, CASE WHEN n_features = 1 THEN first ELSE second END AS last, intercept, train_r2, val_r2,
+             row_number() OVER (PARTITION BY n_features ORDER BY val_r2 DESC, alpha) = 1 AS chosen FROM s)
+SELECT n_features, alpha, {_RIDGE}, chosen FROM r"""

@@ -671,8 +671,31 @@ def q_gbt_fit(spark, sf):
     return _group_means(est.fit(df), df)
 
 
+def _line_model_data(spark, sf, names):
+    lines = read_table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", *names)
+    return M.hash_split(S.assemble(lines, names), "l_orderkey")
+
+
 @query
 def q_tune_search(spark, sf):
+    """Penalties of a linear model searched on one and on two features: fits and scores of all trials."""
+    from tableprep.operators import ridge
+    parts = []
+    for names in (["l_quantity"], ["l_quantity", "l_discount"]):
+        train, test = _line_model_data(spark, sf, names)
+        found = ridge.search(train, test, "l_extendedprice", "features", [1e-4, 1e-2, 1.0, 100.0])
+        best = max(found, key=lambda t: t.val_score)
+        parts += [(len(names), t.alpha, *[float(x) for x in t.coefficients][:1], float(t.coefficients[-1]), t.intercept,
+                   t.train_score, t.val_score, t is best) for t in found]
+    rows = spark.createDataFrame(parts, "n_features int, alpha double, first double, last double, intercept double, "
+                                        "train_r2 double, val_r2 double, chosen boolean")
+    return rows.select("n_features", "alpha", *[significant(F.col(c), 6).alias(c) for c in ("first", "last", "intercept")],
+                       *[r6(F.col(c)).alias(c) for c in ("train_r2", "val_r2")], "chosen")
+
+
+@query
+def q_tune_classes(spark, sf):
+    """The random search over logistic models of three classes, trial by trial."""
     train, test = _orders_model_data(spark, sf)
     res = TU.tune("LogisticRegression", train, test, "classification", "label", 3, 12000)
     return TU.trials_frame(spark, res)

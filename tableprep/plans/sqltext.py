@@ -44,7 +44,7 @@ def terms_from_tokens_sql(col: str, ngrams: int = 2) -> str:
     return f"list_concat({col}, list_transform(range(1, len({col})), lambda i: {col}[i] || ' ' || {col}[i + 1]))"
 
 
-def sig10(expr: str) -> str:
-    """Round to 10 significant digits (same arithmetic as the Spark side)."""
+def sig10(expr: str, digits: int = 10) -> str:
+    """Round to 10 (or ``digits``) significant digits (same arithmetic as the Spark side)."""
     p = f"pow(10.0, floor(log10(abs({expr}))))"
-    return f"CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {p}, 9) * {p} END"
+    return f"CASE WHEN ({expr}) = 0 THEN 0.0 ELSE round(({expr}) / {p}, {digits - 1}) * {p} END"
