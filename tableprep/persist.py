@@ -10,7 +10,7 @@ import dataclasses
 import importlib
 
 import numpy as np
-from pyspark.ml.param import Params
+from pyspark.ml.param import Param, Params
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 
@@ -75,7 +75,7 @@ class _Writer(MLWriter):
     def saveImpl(self, path: str) -> None:
         spark, made = self.sparkSession, [0]
         state = {k: _pack(v, path, spark, made) for k, v in vars(self.instance).items()
-                 if not k.startswith("_") and k != "uid"}
+                 if not k.startswith("_") and k != "uid" and not isinstance(v, Param)}
         DefaultParamsWriter.saveMetadata(self.instance, path, spark, extraMetadata={"state": state})
 
 
