@@ -13,9 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableprep import session
 from tableprep.session import ensure_checkpoint_dir
 
 MASK = (1 << 64) - 1
+ROW_GROUP = 16 << 20       # bytes of a staged row group
+ARROW_BATCH = 8 << 20      # bytes of an Arrow batch between Spark and Python
 
 
 def words(text: str | None) -> list[bytes]:
@@ -54,10 +57,13 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
+    """Write a table to the shared checkpoint folder and read it back: cuts the lineage, survives lost executors.
+
+    Row groups are small, so that neither a writer nor a reader of long texts holds much of them at once.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -163,26 +169,15 @@ def running_total(df: DataFrame, group: list[str], chunk: str, order: list[Colum
 
 
 def ship_package(spark) -> None:
-    """Let Python workers import this package where their PYTHONPATH does not hold it (one small zip, sent once)."""
-    import os
-    import tempfile
-    import zipfile
-
-    import tableprep
-    top = os.path.dirname(os.path.dirname(os.path.abspath(tableprep.__file__)))
-    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    sc = spark.sparkContext
-    if top in known or top.endswith(".zip") or getattr(sc, "_tableprep_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="tableprep-zip-"), "tableprep_src.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(top, "tableprep")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, top))
-    sc.addPyFile(target)
-    sc._tableprep_shipped = True
+    """Let Python workers import this package, and bound Arrow batches by bytes for this session.
+
+    A batch of 10,000 rows of texts or shingle sets is tens of MB, held several times over on both sides; ARROW_BATCH
+    bytes keep the memory of a task independent of how long the rows are (one row longer than that is a batch alone).
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:  # the cluster's own setting stays
+        spark.conf.set(key, str(ARROW_BATCH))
+    session.ship_package(spark)
 
 
 # --- words of a whole batch -------------------------------------------------------------------------------------

@@ -196,14 +196,15 @@ def _close(percent: int):
     return run
 
 
-def _overlaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with both sets: the size of their intersection."""
-    for pdf in frames:
-        common = np.zeros(len(pdf), np.int64)
-        for i, (x, y) in enumerate(zip(pdf["set_a"], pdf["set_b"])):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common[i] = len(u) + len(v) - len(np.unique(np.concatenate((u, v))))
-        yield pdf[["a", "b", "na", "nb"]].assign(common=common)
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both sets: the size of their intersection. The sets are read where Arrow holds them."""
+    for batch in batches:
+        common = np.zeros(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
+            u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            common[i] = len(np.intersect1d(u, v, assume_unique=True))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "na", "nb")], pa.array(common)],
+                                         ["a", "b", "na", "nb", "common"])
 
 
 def _checked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +214,7 @@ def _checked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -
     near = near.join(sketch.toDF("b", "nb", "sb", "lb"), "b").mapInPandas(_close(percent), "a long, b long, na long, nb long")
     near = stage(near)
     full = salted_lookup(near, sets.toDF("a", "set_a"), ["a"], F.col("b")).join(sets.toDF("b", "set_b"), "b")
-    return stage(full.mapInPandas(_overlaps, "a long, b long, na long, nb long, common long"))
+    return stage(full.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long"))
 
 
 def _linked(checked: DataFrame, percent: int) -> DataFrame:

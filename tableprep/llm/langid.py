@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,13 +127,18 @@ class Ranker:
 def predict(profiles: dict[str, list[int]], text: Column) -> Column:
     """Struct (lang, score, letters) of a text column."""
 
-    @F.pandas_udf(RESULT)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ranker = Ranker(profiles)
-        for texts in batches:
-            got = [ranker.measured(t if isinstance(t, str) else None) for t in texts]
-            yield pd.DataFrame(got, columns=["lang", "score", "letters"])
+    rankers: list[Ranker] = []
 
+    def run(texts: pa.Array) -> pa.Array:
+        if not rankers:  # once a worker
+            rankers.append(Ranker(profiles))
+        lang, score, letters = zip(*[rankers[0].measured(t.as_py()) for t in texts]) if len(texts) else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                                           pa.array(letters, pa.int64())], ["lang", "score", "letters"])
+
+    # an Arrow function is told by the kinds of its arguments; texts become Python strings one at a time
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    run = F.arrow_udf(run, RESULT)
     return run(text.cast("string"))
 
 
