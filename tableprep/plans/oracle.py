@@ -523,3 +523,50 @@ s AS (SELECT n_features, alpha, any_value(first) AS first, any_value(second) AS
 r AS (SELECT n_features, alpha, first, CASE WHEN n_features = 1 THEN first ELSE second END AS last, intercept, train_r2, val_r2,
              row_number() OVER (PARTITION BY n_features ORDER BY val_r2 DESC, alpha) = 1 AS chosen FROM s)
 SELECT n_features, alpha, {_RIDGE}, chosen FROM r"""
+
+ORACLE["csv_route"] = """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, 'structured' AS modality,
+       'c_mktsegment' AS label_col, CAST(3 AS BIGINT) AS n_features FROM customer"""
+
+ORACLE["text_lines"] = """
+SELECT CAST(length(line) AS BIGINT) AS n_chars, count(*) AS n_lines
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"""
+
+ORACLE["file_order"] = """
+SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_number FROM orders"""
+
+ORACLE["clean_report"] = f"""
+WITH {v('dirty_orders')}
+SELECT 'orders' AS run_id, 'cleaning' AS stage, 'n_rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM dirty_orders
+UNION ALL SELECT 'orders', 'cleaning', 'dropped_columns_missing',
+  CASE WHEN avg(CASE WHEN o_note IS NULL THEN 1e0 ELSE 0e0 END) > 0.4 THEN '["o_note"]' ELSE '[]' END FROM dirty_orders
+UNION ALL SELECT 'orders', 'cleaning', 'converted_numeric',
+  CASE WHEN count(TRY_CAST(o_orderpriority AS DOUBLE)) >= 0.5 * count(o_orderpriority) THEN '["o_orderpriority"]' ELSE '[]' END
+FROM dirty_orders"""
+
+ORACLE["model_analysis"] = f"""
+SELECT count(*) AS n_samples, count(DISTINCT o_orderstatus) + count(DISTINCT o_orderpriority) AS n_features, true AS is_sparse,
+       {r6('2e0 / (count(DISTINCT o_orderstatus) + count(DISTINCT o_orderpriority))')} AS density FROM orders"""
+
+# the share of the label's variance that a feature's groups explain, in shares of their sum
+ORACLE["select_informative"] = """
+WITH o AS (SELECT o_orderkey % 13 AS k13, CASE WHEN o_orderkey % 13 >= 7 THEN 1e0 ELSE 0e0 END AS y FROM orders),
+g AS (SELECT k13, avg(y) AS m, count(*) AS n FROM o GROUP BY k13),
+s AS (SELECT sum(n * (m - (SELECT avg(y) FROM o)) ^ 2) / (SELECT var_pop(y) * count(*) FROM o) AS share FROM g),
+f AS (SELECT 'k13' AS feature, round(share, 9) AS statistic FROM s UNION ALL SELECT unnest(['seven', 'one']), 0e0)
+SELECT feature, statistic, statistic >= (SELECT avg(statistic) FROM f) AS kept FROM f"""
+
+ORACLE["soft_voting_rates"] = """
+WITH o AS (SELECT o_orderpriority, CAST(o_orderkey % 13 AS VARCHAR) AS k13,
+                  CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END AS y FROM orders),
+a AS (SELECT o_orderpriority, avg(y) AS a FROM o GROUP BY 1), b AS (SELECT k13, avg(y) AS b FROM o GROUP BY 1)
+SELECT o_orderpriority, k13, CAST(CASE WHEN a + b > 1 THEN 1 ELSE 0 END AS BIGINT) AS prediction, count(*) AS n
+FROM o JOIN a USING (o_orderpriority) JOIN b USING (k13) GROUP BY o_orderpriority, k13, a, b"""
+
+ORACLE["stacking_means"] = f"""
+WITH o AS (SELECT o_orderpriority AS g, o_totalprice AS y, {_FOLD} AS fold FROM orders),
+p AS (SELECT g, fold, sum(y) AS s, count(*) AS n FROM o GROUP BY g, fold),
+t AS (SELECT g, sum(s) AS s, sum(n) AS n FROM p GROUP BY g),
+m AS (SELECT p.g, p.fold, (t.s - p.s) / (t.n - p.n) AS x FROM p JOIN t USING (g)),
+r AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM o JOIN m USING (g, fold))
+SELECT {sig10('slope', 6)} AS slope, {sig10('intercept', 6)} AS intercept FROM r"""

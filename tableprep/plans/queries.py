@@ -773,3 +773,109 @@ def q_run_leaderboard(spark, sf):
     out = RL.leaderboard(RL.stage_scores(view(spark, sf, "run_log")))
     return out.select("run_id", "n_stages", r6(F.col("mean_score")).alias("mean_score"), "success",
                       r6(F.col("progress")).alias("progress"))
+
+
+# ----------------------------------------------------------------------------------------
+# scans, reports and combinations with a closed form
+# ----------------------------------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the checkpoint folder, for a file that a query writes and scans again."""
+    import uuid
+
+    from tableprep.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+@query
+def q_csv_route(spark, sf):
+    """Customers written as CSV with a header, routed by name and header, with inferred types and the label named."""
+    from tableprep.sources.files import route
+    path = _folder(spark, "customer.csv")
+    read_table(spark, sf, "customer").write.option("header", True).csv(path)
+    ds = route(spark, path, "c_mktsegment", ("c_custkey",))
+    return ds.df.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("bigint"), "c_acctbal",
+                        "c_mktsegment", F.lit(ds.modality).alias("modality"), F.lit(ds.label_col).alias("label_col"),
+                        F.lit(len(ds.feature_cols)).cast("bigint").alias("n_features"))
+
+
+@query
+def q_text_lines(spark, sf):
+    """Documents written as text and scanned line by line: lines by length."""
+    from tableprep.sources.files import route
+    path = _folder(spark, "documents.txt")
+    read_table(spark, sf, "documents").select("text").write.text(path)
+    lines = route(spark, path).df
+    return lines.groupBy(F.length("text").cast("bigint").alias("n_chars")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query
+def q_file_order(spark, sf):
+    """Orders written as sorted CSV files and numbered in file order, however the files are split."""
+    from tableprep.sources.files import in_file_order, read_csv
+    path = _folder(spark, "orders.csv")
+    read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").write.option(
+        "header", True).csv(path)
+    rows = in_file_order(read_csv(spark, path, "o_orderkey bigint, o_totalprice double"), "row_number")
+    return rows.select("o_orderkey", "o_totalprice", F.col("row_number").cast("bigint"))
+
+
+@query
+def q_clean_report(spark, sf):
+    """The cleaner's report in long form: rows seen, columns dropped, columns made numeric."""
+    found = C.DataCleaner(C.CleaningConfig(row_id_col="o_orderkey")).fit(view(spark, sf, "dirty_orders")).report
+    report = RL.report_frame(spark, "orders", {"cleaning": found})
+    return report.where(F.col("key").isin("n_rows", "dropped_columns_missing", "converted_numeric"))
+
+
+@query
+def q_model_analysis(spark, sf):
+    """Rows, width and density of orders' one-hot status and priority, as the model choice sees them."""
+    from pyspark.ml import Pipeline
+    df = read_table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority")
+    cols = ["o_orderstatus", "o_orderpriority"]
+    rows = Pipeline(stages=list(E.onehot_stages(cols))).fit(df).transform(df)
+    meta = M.analyze(S.assemble(rows, [f"{c}_oh" for c in cols], "x"), "x", True)
+    return spark.createDataFrame([(meta.n_samples, meta.n_features, meta.is_sparse, meta.density)],
+                                 "n_samples long, n_features long, is_sparse boolean, density double").withColumn(
+        "density", r6(F.col("density")))
+
+
+@query
+def q_select_informative(spark, sf):
+    """Selection by model where one feature decides the label and the others are constant."""
+    df = read_table(spark, sf, "orders").select(
+        (F.col("o_orderkey") % 13).cast("double").alias("k13"), F.lit(7.0).alias("seven"), F.lit(1.0).alias("one"),
+        (F.col("o_orderkey") % 13 >= 7).cast("double").alias("label"))
+    return _selection(spark, df, ["k13", "seven", "one"], "label", SEL.FeatureSelectionConfig(
+        method="model", task="classification"))
+
+
+@query
+def q_soft_voting_rates(spark, sf):
+    """Soft vote of two unpenalised logistic models, each on its own one-hot category: the mean of two group rates."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    df = read_table(spark, sf, "orders").select(
+        "o_orderpriority", (F.col("o_orderkey") % 13).cast("string").alias("k13"),
+        (F.col("o_orderstatus") == "F").cast("double").alias("label"))
+    cols = ["o_orderpriority", "k13"]
+    data = Pipeline(stages=list(E.onehot_stages(cols))).fit(df).transform(df)
+    from tableprep.session import cut_lineage
+    data = cut_lineage(data.select(*cols, "label", *[f"{c}_oh" for c in cols]))
+    models = [LogisticRegression(featuresCol=f"{c}_oh", maxIter=1000, tol=1e-12, regParam=0.0).fit(data) for c in cols]
+    out = ENS.EnsembleModel(models, "voting", "classification").transform(data)
+    return out.groupBy(*cols, F.col("prediction").cast("bigint").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_stacking_means(spark, sf):
+    """Stacking one tree on a one-hot category: the line of the label on its out-of-fold group means."""
+    from tableprep.session import cut_lineage
+    df = cut_lineage(_priority_model_data(spark, sf).select(
+        "o_orderkey", "o_orderpriority", "features", F.col("o_totalprice").alias("label")))
+    est = M.build_estimator("RandomForestRegressor", n_estimators=1, max_depth=10).setBootstrap(False)
+    ens = ENS.build_ensemble([est], "stacking", "regression", df, "label", "o_orderkey")
+    row = spark.createDataFrame([(float(ens.meta.coefficients[0]), float(ens.meta.intercept))],
+                                "slope double, intercept double")
+    return row.select(*[significant(F.col(c), 6).alias(c) for c in ("slope", "intercept")])
