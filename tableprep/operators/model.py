@@ -103,6 +103,10 @@ def build_estimator(name: str, n_classes: int = 2, n_train: int = 1, features_co
         _checkpoint_dir()
         return RandomForestRegressor(numTrees=trees, maxDepth=params.get("max_depth") or UNLIMITED_DEPTH,
                                      featureSubsetStrategy="all", seed=seed, **FOREST_OPTS, **common)
+    if name.startswith("GBTClassifier") and n_classes > 2:
+        from tableprep.operators.boost import BoostedClassifier
+        return BoostedClassifier(n_classes, params.get("n_estimators", 100), params.get("learning_rate", 0.1),
+                                 params.get("max_depth", 3), seed, features_col, label_col)
     if name.startswith("GBTClassifier"):
         return GBTClassifier(maxIter=params.get("n_estimators", 100), stepSize=params.get("learning_rate", 0.1),
                              maxDepth=3, seed=seed, **common)

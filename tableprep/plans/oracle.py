@@ -570,3 +570,15 @@ t AS (SELECT g, sum(s) AS s, sum(n) AS n FROM p GROUP BY g),
 m AS (SELECT p.g, p.fold, (t.s - p.s) / (t.n - p.n) AS x FROM p JOIN t USING (g)),
 r AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM o JOIN m USING (g, fold))
 SELECT {sig10('slope', 6)} AS slope, {sig10('intercept', 6)} AS intercept FROM r"""
+
+# one Newton step from the log shares, then the softmax of the scores
+ORACLE["boost_classes"] = f"""
+WITH c AS (SELECT o_orderstatus, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS class FROM
+           (SELECT DISTINCT o_orderstatus FROM orders)),
+o AS (SELECT o_orderpriority AS g, class AS own FROM orders JOIN c USING (o_orderstatus)),
+k AS (SELECT own AS class, count(*) / (SELECT count(*) FROM o)::DOUBLE AS share FROM o GROUP BY own),
+r AS (SELECT g, class, any_value(share) AS share, count(*) AS n, sum((own = class)::INT - share) AS r,
+             sum(abs((own = class)::INT - share) * (1 - abs((own = class)::INT - share))) AS h
+      FROM o CROSS JOIN k GROUP BY g, class),
+f AS (SELECT g, class, n, exp(ln(share) + 2e0 / 3 * r / h) AS e FROM r)
+SELECT g AS o_orderpriority, class, n, {r6('e / sum(e) OVER (PARTITION BY g)')} AS probability FROM f"""

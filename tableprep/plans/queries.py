@@ -879,3 +879,16 @@ def q_stacking_means(spark, sf):
     row = spark.createDataFrame([(float(ens.meta.coefficients[0]), float(ens.meta.intercept))],
                                 "slope double, intercept double")
     return row.select(*[significant(F.col(c), 6).alias(c) for c in ("slope", "intercept")])
+
+
+@query
+def q_boost_classes(spark, sf):
+    """One boosting step at full rate for three classes on a one-hot category: the probabilities of each group."""
+    from pyspark.ml.functions import vector_to_array
+    data = _priority_model_data(spark, sf).select("o_orderkey", "o_orderpriority", "features").join(
+        read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    _, data = M.index_label(data, "o_orderstatus", "label")
+    model = M.build_estimator("GBTClassifier", 3, n_estimators=1, learning_rate=1.0, max_depth=6).fit(data)
+    rows = model.transform(data).select("o_orderpriority", F.posexplode(vector_to_array("probability")).alias("class", "p"))
+    return rows.groupBy("o_orderpriority", F.col("class").cast("bigint").alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("p")).alias("probability"))
