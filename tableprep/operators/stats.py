@@ -45,14 +45,6 @@ def null_ratios(df: DataFrame, cols: list[str]) -> dict[str, float]:
     return {c: (row[i] if row[i] is not None else 0.0) for i, c in enumerate(cols)}
 
 
-def null_counts(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, int]]:
-    """Row count and null count per column in one job."""
-    exprs = [F.count(F.lit(1)).alias("_n")] + [
-        F.sum(F.col(c).isNull().cast("long")).alias(f"_{i}") for i, c in enumerate(cols)]
-    row = df.agg(*exprs).first()
-    return row["_n"], {c: int(row[i + 1] or 0) for i, c in enumerate(cols)}
-
-
 def means(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     if not cols:
         return {}
@@ -78,11 +70,6 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: found.get(i) for i, c in enumerate(cols)}
 
 
-def distinct_count_capped(df: DataFrame, col: str, cap: int) -> int:
-    """Distinct non-null values of ``col``, counting stops at ``cap`` (cheap early stop)."""
-    return df.select(col).where(F.col(col).isNotNull()).distinct().limit(cap).count()
-
-
 # ----------------------------------------------------------------------------------------
 # exact quantiles
 # ----------------------------------------------------------------------------------------

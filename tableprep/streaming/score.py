@@ -40,14 +40,6 @@ def dedup_stream(stream: DataFrame, feature_cols: list[str], event_time: str, de
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(feature_cols)
 
 
-def run_to_memory(stream: DataFrame, query_name: str, checkpoint: str, mode: str = "append"):
-    """Drive a stream to completion into an in-memory table (tests and smoke runs)."""
-    q = (stream.writeStream.format("memory").queryName(query_name).outputMode(mode)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
-
-
 def event_counts_stream(stream: DataFrame, time_col: str, window: str = "1 hour",
                         delay: str = "10 minutes") -> DataFrame:
     """Windowed event-type counts with a watermark (late rows beyond the delay are dropped)."""

@@ -101,3 +101,17 @@ def test_row_ids_of_tables_are_unique_and_repeatable(spark):
     df = spark.range(50).select((F.col("id") % 5).alias("a"), F.lit("x").alias("b"))
     ids = [sorted(r["row_id"] for r in with_row_id(d).collect()) for d in (df, df.repartition(7))]
     assert ids[0] == ids[1] and len(set(ids[0])) == 50
+
+
+def test_preview_dummy_label_and_methods_that_do_nothing(spark):
+    from tableprep.operators import select as SEL
+    from tableprep.sources.files import preview, with_dummy_label
+    df = spark.range(20).select("id", (F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    assert preview(df, 3).count() == 3 and preview(df.limit(2)).count() == 2
+    assert {r["label"] for r in with_dummy_label(df.drop("label")).collect()} == {0.0}
+    data = S.assemble(df, ["x", "id"], "features")
+    model = SEL.FeatureSelector("features", "s", None, SEL.FeatureSelectionConfig(method="none")).fit(data)
+    assert model.indices == [0, 1] and all(r["s"] == r["features"] for r in model.transform(data).collect())
+    est = M.build_estimator("DecisionTreeClassifier(depth=10)", 2)
+    one = ENS.build_ensemble([est, est], "none", "classification", data, "label").transform(data)
+    assert one.select("prediction").collect() == est.fit(data).transform(data).select("prediction").collect()
