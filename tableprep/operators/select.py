@@ -122,6 +122,13 @@ class FeatureSelector(Estimator):
         if cfg.method == "variance":
             v = population_variances(df, self.input_col)
             return list(map(float, v)), [i for i, x in enumerate(v) if x > cfg.threshold]
+        if cfg.method == "correlation" and SL.is_sparse(df, self.input_col) and cfg.corr_threshold >= 0.5:
+            # only pairs above the threshold are ever held; a slot goes if an earlier one is among its pairs
+            _, width = SL.rows_and_width(df, self.input_col)
+            found = SL.correlated_slots(df, self.input_col, cfg.corr_threshold).groupBy("j").agg(
+                F.max(F.abs("r")).alias("r")).collect()
+            above = {r["j"]: float(r["r"]) for r in found}
+            return [above.get(i) for i in range(width)], [i for i in range(width) if i not in above]
         if cfg.method == "correlation":
             m = max_abs_corr_with_earlier(df, self.input_col)
             return m, [i for i, x in enumerate(m) if x is None or x <= cfg.corr_threshold]

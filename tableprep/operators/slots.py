@@ -216,3 +216,80 @@ def _scaled_block(rows: pa.Table, params: pa.Table) -> pa.Table:
     offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sizes))))).astype(np.int32)
     return pa.table({"id": rows.column("id"), "slots": pa.ListArray.from_arrays(offsets, pa.array(flat[kept])),
                      "values": pa.ListArray.from_arrays(offsets, pa.array(x[kept] / divisor[at[kept]] if len(known) else x[kept]))})
+
+
+# --- correlation of wide sparse rows ----------------------------------------------------------------------------------
+
+PAIRS_HELD = 2_000_000     # pair sums that a task keeps before it sends them on
+
+
+def _pair_products(batches):
+    """Partial sums (i, j, s) of the products of each row's entries, i < j; a pair is one number, i * 2^31 + j."""
+    keys, sums = np.empty(0, np.int64), np.empty(0)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.concatenate([keys, *[k for k, _ in held]])
+        values = np.concatenate([sums, *[v for _, v in held]])
+        order = np.argsort(pairs, kind="stable")
+        pairs, values = pairs[order], values[order]
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, np.int64)
+        return pairs[first], np.add.reduceat(values, first) if len(first) else values
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"i": keys >> 31, "j": keys & ((1 << 31) - 1), "s": sums})
+
+    for batch in batches:
+        for slots, values in zip(batch.column(0), batch.column(1)):
+            at = np.array(slots.values.to_numpy(), np.int64)
+            order = np.argsort(at)
+            at, x = at[order], np.array(values.values.to_numpy(), np.float64)[order]
+            step = max(1, PAIRS_HELD // len(at))
+            for a in range(0, len(at) - 1, step):  # some entries with all later ones of their row
+                left, right = np.triu_indices(min(step, len(at) - a), 1, len(at) - a)
+                left, right = left + a, right + a
+                held.append(((at[left] << 31) | at[right], x[left] * x[right]))
+                size += len(left)
+                if size > PAIRS_HELD:
+                    (keys, sums), held, size = merged(), [], 0
+                    if len(keys) > PAIRS_HELD // 2:
+                        yield sent()
+                        keys, sums = keys[:0], sums[:0]
+    keys, sums = merged()
+    if len(keys):
+        yield sent()
+
+
+def correlated_slots(df: DataFrame, col: str, threshold: float) -> DataFrame:
+    """(i, j, r) of all pairs of slots i < j with |Pearson correlation| above ``threshold`` (0.5 or more), without a matrix.
+
+    Only slots that share a row have a product to sum, so the pairs are those that rows hold, summed in each task, then by
+    key. For a pair that never meets, r = -a_i a_j with a = mean / deviation; that exceeds the threshold only if one of
+    them has a^2 above it, so fills at least a third of the rows: there are at most three times as many such slots as a row
+    has entries, and they are paired with all others by formula. A slot without spread has no correlation.
+    """
+    if threshold < 0.5:
+        raise ValueError("thresholds below 0.5 leave too many pairs")
+    ship_package(df.sparkSession)
+    flat = entries(df, col)
+    n = df.count()
+    stats = cut_lineage(slot_statistics(flat, n).where("variance > 0").select(
+        "slot", "mean", F.sqrt("variance").alias("sd"), (F.col("mean") / F.sqrt("variance")).alias("a")))
+    raw = df.select(F.unwrap_udt(F.col(col)).alias("v"))
+    every = F.sequence(F.lit(0), F.size("v.values") - 1)
+    at = F.when(F.col("v.type") == 0, F.col("v.indices")).otherwise(F.when(F.size("v.values") > 0, every))
+    kept = F.filter(F.arrays_zip(at.alias("slot"), F.col("v.values").alias("value")), lambda e: e["value"] != 0)
+    rows = raw.select(kept.alias("e")).where(F.size("e") > 1).select(F.col("e.slot").alias("slots"), F.col("e.value").alias("x"))
+    sums = rows.mapInArrow(_pair_products, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    dense = [(r["slot"], r["a"]) for r in stats.where(F.col("a") * F.col("a") > threshold).collect()]
+    if dense:  # their pairs with slots that they never meet
+        with_dense = stats.select("slot", "a", F.explode(F.array(*[
+            F.struct(F.lit(s).alias("d"), F.lit(float(a)).alias("da")) for s, a in dense])).alias("e")).where(
+            (F.col("slot") != F.col("e.d")) & (F.abs(F.col("a") * F.col("e.da")) > threshold))
+        sums = sums.unionByName(with_dense.select(F.least("slot", "e.d").alias("i"), F.greatest("slot", "e.d").alias("j"),
+                                                  F.lit(0.0).alias("s")).distinct()).groupBy("i", "j").agg(F.sum("s").alias("s"))
+    left = stats.select(F.col("slot").alias("i"), F.col("mean").alias("mi"), F.col("sd").alias("si"))
+    right = stats.select(F.col("slot").alias("j"), F.col("mean").alias("mj"), F.col("sd").alias("sj"))
+    r = (F.col("s") / F.lit(float(n)) - F.col("mi") * F.col("mj")) / (F.col("si") * F.col("sj"))
+    return sums.join(left, "i").join(right, "j").select("i", "j", r.alias("r")).where(F.abs("r") > threshold)

@@ -240,6 +240,23 @@ def weight_vector(tokens: Column, slots: Slots, width: int) -> Column:
     return F.arrow_udf(vectors, VectorUDT())(tokens)
 
 
+def count_vector(tokens: Column, vocabulary: list[str], ngrams: int = 1) -> Column:
+    """The counts of the vocabulary's terms in a token array as a sparse vector column."""
+    names = pa.array(vocabulary, pa.string())
+
+    def vectors(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column], ["tokens"])
+        parts = []
+        for part in slices(batch):
+            rows, slots, counts = _summed(*slots_of(part.column(0), names, ngrams), None, len(vocabulary))
+            ends = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
+            parts.append(sparse_vectors(ends, slots, counts, len(vocabulary)))
+        return pa.concat_arrays(parts) if parts else sparse_vectors(np.zeros(1, np.int32), *[np.empty(0)] * 2, len(vocabulary))
+
+    vectors.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(vectors, VectorUDT())(tokens)
+
+
 def weight_rows(docs: DataFrame, id_col: str, tokens_col: str, slots: Slots, names: list[str] | None = None) -> DataFrame:
     """Long form (id, slot or term, weight) of the normalised weights; a document never leaves its row until the end."""
     ship_package(docs.sparkSession)

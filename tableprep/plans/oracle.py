@@ -582,3 +582,17 @@ r AS (SELECT g, class, any_value(share) AS share, count(*) AS n, sum((own = clas
       FROM o CROSS JOIN k GROUP BY g, class),
 f AS (SELECT g, class, n, exp(ln(share) + 2e0 / 3 * r / h) AS e FROM r)
 SELECT g AS o_orderpriority, class, n, {r6('e / sum(e) OVER (PARTITION BY g)')} AS probability FROM f"""
+
+# presence of a term in a document as 0 and 1; pairs that share no document cannot correlate above 0.95 here
+ORACLE["correlated_terms"] = f"""
+WITH {_CLEAN_DOCS},
+tk AS (SELECT doc_id, {tokens_re_sql('text')} AS t FROM cd),
+occ AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(t) AS term FROM tk)),
+top AS (SELECT term, count(*)::DOUBLE AS k FROM occ GROUP BY term ORDER BY k DESC, term LIMIT 5000),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+o AS (SELECT doc_id, term, k FROM occ JOIN top USING (term)),
+p AS (SELECT a.term AS term_a, b.term AS term_b, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*)::DOUBLE AS s
+      FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL),
+r AS (SELECT term_a, term_b, (s / n - ka / n * kb / n) / sqrt(ka / n * (1 - ka / n) * kb / n * (1 - kb / n)) AS r
+      FROM p, n WHERE ka < n AND kb < n)
+SELECT term_a, term_b, {r6('r')} AS r FROM r WHERE abs(r) > 0.95"""

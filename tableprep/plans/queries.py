@@ -892,3 +892,16 @@ def q_boost_classes(spark, sf):
     rows = model.transform(data).select("o_orderpriority", F.posexplode(vector_to_array("probability")).alias("class", "p"))
     return rows.groupBy("o_orderpriority", F.col("class").cast("bigint").alias("class")).agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("p")).alias("probability"))
+
+
+@query
+def q_correlated_terms(spark, sf):
+    """Pairs of the corpus's 5,000 most frequent terms that go together in documents (presence, |r| above 0.95)."""
+    docs = E.with_tokens(_clean_docs(spark, sf), F.col("text")).select("doc_id", F.array_distinct("tokens").alias("tokens"))
+    from tableprep.operators import terms as TE
+    words = sorted(r[0] for r in TE.frequent_terms(docs, "tokens", 5000, 1).rows)
+    vector = TE.count_vector(F.col("tokens"), words)
+    pairs = SL.correlated_slots(docs.select(vector.alias("v")), "v", 0.95)
+    names = spark.createDataFrame(list(enumerate(words)), "slot long, term string")  # 5,000 rows
+    left, right = (F.broadcast(names.toDF(k, t)) for k, t in (("i", "term_a"), ("j", "term_b")))
+    return pairs.join(left, "i").join(right, "j").select("term_a", "term_b", r6(F.col("r")).alias("r"))

@@ -98,3 +98,26 @@ def test_vector_scaler_and_selection_through_slots(spark):
     standard = S.VectorScaler("v", "s", S.ScalingConfig("standard")).fit(sparse)
     assert np.allclose(standard.div, np.where(kept.std(axis=0) == 0, 1.0, kept.std(axis=0)))
     assert np.allclose(SEL.population_variances(sparse, "v"), kept.var(axis=0))
+
+
+def test_correlated_pairs_equal_the_matrix(spark, monkeypatch):
+    from tableprep.operators import select as SEL
+    x = dense_rows(8, 200, 14)
+    x[:, 1], x[:, 2], x[:, 6] = 2 * x[:, 0], x[:, 0] + 0.1 * (np.arange(200) % 2), 5 + 0.01 * x[:, 7]
+    x[:, 9] = np.where(x[:, 8] == 0, 3.0, 0.0)       # never meets slot 8
+    x[:, 8] = np.where(x[:, 8] != 0, 3.0, 0.0)
+    df = vectors(spark, x)
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x.T)
+    pairs = {(i, j): want[i, j] for i in range(14) for j in range(i + 1, 14) if abs(want[i, j]) > 0.6}
+    for held in (2_000_000, 50):
+        monkeypatch.setattr(SL, "PAIRS_HELD", held)
+        got = {(r["i"], r["j"]): r["r"] for r in SL.correlated_slots(df, "v", 0.6).collect()}
+        assert got.keys() == pairs.keys() and all(abs(got[k] - v) < 1e-6 for k, v in pairs.items())
+    assert (8, 9) in pairs and (0, 1) in pairs
+    sparse = df.where("id % 3 <> 0")
+    cfg = SEL.FeatureSelectionConfig(method="correlation", corr_threshold=0.6)
+    kept = SEL.FeatureSelector("v", "s", None, cfg).fit(sparse).indices
+    with np.errstate(all="ignore"):
+        m = np.abs(np.corrcoef(x[np.arange(200) % 3 != 0].T))
+    assert kept == [j for j in range(14) if not any(m[i, j] > 0.6 for i in range(j))]
