@@ -119,3 +119,42 @@ def test_letters_after_the_ninth_and_ends_count(spark):
     assert r["zorkel"] > r["zorkelian"] + 2
     h = [toxicity.all_letters(letter_stream(t))[0].tolist() for t in texts]
     assert [len(x) for x in h] == [len(t) + 1 for t in texts]  # each letter and the end, once
+
+
+def test_languages_equal_brute_force(spark, small_docs):
+    """Profiles and distances counted with plain dictionaries give every prediction and score."""
+    import collections
+    import re
+    import zlib
+
+    def grams(text):
+        out = collections.Counter()
+        for word in re.findall(r"[^\W\d_]+", text or ""):
+            padded = f" {word.lower()} "
+            out.update(padded[1:-1])
+            out.update(padded[i:i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+        return out
+
+    def number(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | ord(c)
+        return value
+
+    def first(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))[:langid.PROFILE]]
+
+    rows = small_docs.select("doc_id", "text", "lang").collect()
+    totals = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None:
+            totals[r["lang"]].update(grams(r["text"]))
+    profiles = {lang: {g: i for i, g in enumerate(first(c))} for lang, c in sorted(totals.items())}
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 12)) for r in langid.identify(small_docs).collect()}
+    for r in rows:
+        own = first(grams(r["text"]))
+        distances = {lang: sum(min(abs(p[g] - i), langid.PROFILE) if g in p else langid.PROFILE for i, g in enumerate(own))
+                     for lang, p in profiles.items()}
+        best = min(distances, key=distances.get) if own else langid.UNKNOWN
+        score = 1 - distances[best] / (langid.PROFILE * len(own)) if own else 0.0
+        assert got[r["doc_id"]] == (best, round(score, 12))
