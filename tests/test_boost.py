@@ -33,17 +33,17 @@ def by_hand(data, steps, rate):
 
 def test_steps_equal_the_loop(spark):
     data, df = rows(spark)
-    est = M.build_estimator("GBTClassifier", 3, n_estimators=3, learning_rate=0.4, max_depth=3)
+    est = M.build_estimator("GBTClassifier", 3, n_estimators=2, learning_rate=0.4, max_depth=3)
     out = est.fit(df).transform(df).orderBy("id").select(vector_to_array("probability").alias("p"), "prediction").collect()
-    want = by_hand(data, 3, 0.4)
+    want = by_hand(data, 2, 0.4)
     assert np.allclose([r["p"] for r in out], want, atol=1e-9)
     assert [r["prediction"] for r in out] == want.argmax(1).tolist()
 
 
 def test_separable_classes_saving_and_voting(spark, tmp_path):
-    df = S.assemble(spark.range(300).select("id", (F.col("id") % 20 / 2.0).alias("x")).withColumn(
+    df = S.assemble(spark.range(300).select("id", (F.col("id") % 10 * 1.0).alias("x")).withColumn(
         "label", F.when(F.col("x") < 3, 1.0).when(F.col("x") < 7, 0.0).otherwise(2.0)), ["x"], "features")
-    model = M.build_estimator("GBTClassifier", 3, n_estimators=4, learning_rate=0.8).fit(df)
+    model = M.build_estimator("GBTClassifier", 3, n_estimators=2, learning_rate=1.0).fit(df)
     assert M.score(model.transform(df), "classification", "label") > 0.99
     model.write().save(str(tmp_path / "m"))
     again = type(model).load(str(tmp_path / "m"))
