@@ -34,7 +34,8 @@ def _wrapped(value):
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv, turn, role, text, position, h1..h4): position from 1, and the rolling hash of the turns up to this one."""
+    """(conv, turn, role, text, position, n_turns, h0..h3): position from 1 of n_turns, and the rolling hash of the turns up
+    to this one. The number of turns comes with the parts' totals, so no row of a long conversation is joined by its id."""
     cols = ["conv", "turn", "role", "text"]
     rows = turns.select(*cols).where("conv is not null").distinct()
     rows = rows.withColumn("chunk", F.floor(F.coalesce(F.col("turn"), F.lit((1 << 62))) / CHUNK).cast("long"))
@@ -51,12 +52,12 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     inside = Window.partitionBy("conv", "part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = out.groupBy("conv", "part").agg(*[F.sum(f"t{i}").alias(f"s{i}") for i in range(4)])
+    totals = out.groupBy("conv", "part").agg(*[F.sum(f"t{i}").alias(f"s{i}") for i in range(4)], F.count(F.lit(1)).alias("c"))
     starts = totals.select("conv", "part", *[F.coalesce(F.sum(f"s{i}").over(across), F.lit(0)).alias(f"a{i}")
-                                             for i in range(4)])
+                                             for i in range(4)], F.sum("c").over(Window.partitionBy("conv")).alias("n_turns"))
     local = out.select(*cols, "position", "part", *[F.sum(f"t{i}").over(inside).alias(f"l{i}") for i in range(4)])
     joined = local.join(starts, ["conv", "part"])
-    return joined.select(*cols, "position", *[(F.col(f"l{i}") + F.col(f"a{i}")).alias(f"h{i}") for i in range(4)])
+    return joined.select(*cols, "position", "n_turns", *[(F.col(f"l{i}") + F.col(f"a{i}")).alias(f"h{i}") for i in range(4)])
 
 
 NAME = ["position", "h0", "h1", "h2", "h3"]
@@ -64,13 +65,9 @@ NAME = ["position", "h0", "h1", "h2", "h3"]
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
     """(conv, n_turns, copies): conversations that no other one begins with; copies counts the equal ones."""
-    lengths = hashed.groupBy("conv").agg(F.max("position").alias("n_turns"))
-    ends = stage(hashed.select("conv", *NAME).join(
-        lengths.select(F.col("conv").alias("c"), "n_turns"), (F.col("conv") == F.col("c"))
-        & (F.col("position") == F.col("n_turns"))).select("conv", *NAME))
+    ends = hashed.where("position = n_turns")
     whole = ends.groupBy(*NAME).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("copies"))
-    last = lengths.select(F.col("conv").alias("c"), "n_turns")
-    inner = hashed.select("conv", *NAME).join(last, (F.col("conv") == F.col("c")) & (F.col("position") < F.col("n_turns")))
+    inner = hashed.where("position < n_turns")
     prefixes = inner.select(*NAME).distinct()
     kept = whole.join(prefixes, NAME, "left_anti")
     return kept.select("conv", F.col("position").alias("n_turns"), "copies")
