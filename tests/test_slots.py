@@ -121,3 +121,24 @@ def test_correlated_pairs_equal_the_matrix(spark, monkeypatch):
     with np.errstate(all="ignore"):
         m = np.abs(np.corrcoef(x[np.arange(200) % 3 != 0].T))
     assert kept == [j for j in range(14) if not any(m[i, j] > 0.6 for i in range(j))]
+
+
+def test_quantiles_deal_rows_out_by_their_number(spark, monkeypatch):
+    """Each row goes once, not once a target, to one of as many tasks as there are rows for."""
+    import re
+    monkeypatch.setattr(SL, "INSIDE", 200)
+    rows = [(i % 7, float((i * 37) % 1009)) for i in range(2000)]
+    out = SL.grouped_quantiles(spark.createDataFrame(rows, "k int, x double"), "k", "x", [0.25, 0.5, 0.75])
+    dealt = re.findall(r"RepartitionByExpression \[key.*\], (\d+)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert dealt == ["10"]
+    for r in out.collect():
+        assert abs(r["quantile"] - np.quantile([x for k, x in rows if k == r["k"]], r["prob"])) < 1e-9
+
+
+def test_quantiles_of_many_brackets_joined_by_key(spark, monkeypatch):
+    monkeypatch.setattr(SL, "BRACKETS_SENT", 2)
+    rows = [(i % 50, float((i * 37) % 211)) for i in range(3000)]
+    out = SL.grouped_quantiles(spark.createDataFrame(rows, "k int, x double"), "k", "x", [0.1, 0.5], None, 20, 4).collect()
+    assert len(out) == 100
+    for r in out:
+        assert abs(r["quantile"] - np.quantile([x for k, x in rows if k == r["k"]], r["prob"])) < 1e-9
