@@ -142,3 +142,36 @@ def test_quantiles_of_many_brackets_joined_by_key(spark, monkeypatch):
     assert len(out) == 100
     for r in out:
         assert abs(r["quantile"] - np.quantile([x for k, x in rows if k == r["k"]], r["prob"])) < 1e-9
+
+
+@pytest.mark.parametrize("kind,threshold", [("presence", 0.5), ("presence", 0.95), ("counts", 0.6), ("offset", 0.9)])
+def test_correlation_of_values_without_negative_ones_makes_few_products(spark, monkeypatch, kind, threshold):
+    rng = np.random.default_rng(5)
+    n, width = 400, 40
+    x = (rng.random((n, width)) < np.geomspace(0.9, 0.01, width)).astype(float)
+    if kind == "counts":
+        x *= rng.integers(1, 9, x.shape)
+    if kind == "offset":
+        x[:, :8] += 1000.0
+    for k, (a, b) in enumerate([(5, 20), (9, 30), (12, 39), (3, 4), (2, 33)]):  # near copies, three scaled, one opposite
+        x[:, b] = x[:, a] * (1 + k % 3)
+        x[rng.integers(0, n, 3), b] = 0.0
+    x[:, 1] = (x[:, 0] == 0) * 2.0
+    x[:, 7] = 3.0
+    rows = [(Vectors.sparse(width, {j: float(v) for j, v in enumerate(r) if v}),) for r in x]
+    df = spark.createDataFrame(rows, ["v"]).repartition(2)
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x.T)
+    pairs = {(i, j): want[i, j] for i in range(width) for j in range(i + 1, width) if abs(want[i, j]) > threshold}
+    assert len(pairs) >= 2 and (kind != "presence" or any(v < 0 for v in pairs.values()))
+    for held in (2_000_000, 30):
+        monkeypatch.setattr(SL, "PAIRS_HELD", held)
+        got = {(r["i"], r["j"]): r["r"] for r in SL.correlated_slots(df, "v", threshold).collect()}
+        assert got.keys() == pairs.keys() and all(abs(got[k] - v) < 1e-6 for k, v in pairs.items())
+    if kind == "presence":  # products of a few slots of like frequency, not of all pairs of a row
+        stats = [{"slot": j, "mean": x[:, j].mean(), "sd": x[:, j].std(), "max": x[:, j].max()}
+                 for j in range(width) if x[:, j].std()]
+        of = SL._partners(stats, threshold)
+        made = sum(len(i) for r in x for i, _, _ in SL._partner_pairs(np.flatnonzero(r), r[r != 0], of))
+        every = sum(k * (k - 1) // 2 for k in (x != 0).sum(axis=1))
+        assert made < every * (0.8 if threshold == 0.5 else 0.45)
