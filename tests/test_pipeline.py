@@ -151,3 +151,35 @@ def test_a_saved_run_predicts_the_same(spark, tmp_path):
         again = PipelineModel.load(path)
         a, b = (m.transform(df.drop(label)).select(key, "prediction").orderBy(key).collect() for m in (res.model, again))
         assert a == b and len(a) == df.count()
+
+
+def test_tuning_takes_the_fit_of_equal_settings_and_fits_the_others(spark, monkeypatch):
+    """The model choice's fit is one of the trials and is not fitted again; the threads it leaves free fit classes."""
+    name, made = "LinearSVC(sgd-hinge)", []
+
+    def fitted(e, *_):
+        made.append(e)
+        alpha = e.getClassifier().getRegParam()
+        return M.TrainResult(f"model {alpha}", name, alpha, alpha, 0.0)
+
+    monkeypatch.setattr(T, "train_and_score", fitted)
+    est = M.build_estimator(name, 3, parallelism=4)
+    res = M.TrainResult("chosen", name, 1e-4, 1e-4, 0.0)
+    plain = T.tune(name, None, None, "classification", "label", 3, 120)
+    assert len(made) == 3
+    made.clear()
+    shared = T.tune(name, None, None, "classification", "label", 3, 120, fitted=(est, res))
+    assert sorted(e.getClassifier().getRegParam() for e in made) == [1e-3, 1e-2]
+    assert all(e.getParallelism() == 2 for e in made)  # four threads for two trials
+    assert [(t.params, t.val_score) for t in shared.ranked] == [(t.params, t.val_score) for t in plain.ranked]
+    assert [t.model for t in shared.ranked] == ["model 0.01", "model 0.001", "chosen"]
+
+
+def test_settings_tell_estimators_apart(spark):
+    settings, forest = T.settings, "RandomForestRegressor(200)"
+    assert settings(M.build_estimator(forest)) == settings(M.build_estimator(forest, n_estimators=200, max_depth=None))
+    for a, b in ((M.build_estimator(forest), M.build_estimator(forest, n_estimators=50)),
+                 (M.build_estimator(forest), M.build_estimator(forest, seed=1)),
+                 (M.build_estimator("LinearSVC(sgd-hinge)", 3), M.build_estimator("LinearSVC(sgd-hinge)", 3, alpha=0.1)),
+                 (M.build_estimator("GBTClassifier", 3), M.build_estimator("GBTClassifier", 3, learning_rate=0.5))):
+        assert settings(a) != settings(b)
